@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-SAMPLE_ROWS, TIER_ENTRIES, CACHE_ENTRIES, KEY_BYTES = 2048, 65_536, 400_000, 64
+SAMPLE_ROWS, TIER_ENTRIES, CACHE_ENTRIES, KEY_BYTES = 512, 65_536, 400_000, 64
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Below this every character is classed alike by all Unicode versions in use.
 _LATE = re.compile("[԰-\U0010ffff]")
@@ -84,23 +84,14 @@ def count(text: str, pieces, special, lengths: Lengths) -> int:
 
 
 def frequent_lengths(df: DataFrame, text_col: str, path: str, sample_rows: int = SAMPLE_ROWS, entries: int = TIER_ENTRIES) -> dict[str, int]:
-    """The lengths of the most frequent pre-tokens of a few rows: at most ``entries``."""
-
-    def top(batches):
-        pieces, _ = splitter(path)
-        seen: collections.Counter = collections.Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    seen.update(pieces.findall(t))
-                    if len(seen) > 8 * entries:  # bounded: the rare ones go
-                        seen = collections.Counter(dict(seen.most_common(2 * entries)))
-        lengths = Lengths(path, {})
-        keys = [k for k, _ in seen.most_common(entries) if len(k) <= KEY_BYTES]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([lengths[k] for k in keys], pa.int32())], ["piece", "n"])
-
-    rows = df.select(F.col(text_col).alias("text")).limit(sample_rows).coalesce(1).mapInArrow(top, "piece string, n int").collect()
-    return {r.piece: r.n for r in rows}
+    """The lengths of the most frequent pre-tokens of a few rows: at most ``entries``.  The rows come by the incremental
+    limit, which reads as few partitions as it needs."""
+    pieces, _ = splitter(path)
+    seen: collections.Counter = collections.Counter()
+    for r in df.select(F.col(text_col).alias("text")).limit(sample_rows).collect():
+        seen.update(pieces.findall(r.text or ""))
+    lengths = Lengths(path, {})
+    return {k: lengths[k] for k, _ in seen.most_common(entries) if len(k) <= KEY_BYTES}
 
 
 def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
