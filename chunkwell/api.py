@@ -6,13 +6,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sources.hdf5 import CATALOG, Hdf5Source
+from .plans.selection import bounds
+from .sources.hdf5 import Hdf5Source
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
 def register(spark: SparkSession) -> SparkSession:
-    """Makes format("hdf5") and the SQL functions known to a session, and lets it push filters to Python sources."""
+    """Makes format("hdf5") and the SQL functions known to a session, and allows the option pushdown=true."""
     spark.conf.set(PUSHDOWN, "true")
     spark.dataSource.register(Hdf5Source)
     from .functions.udtf import register_functions
@@ -23,13 +24,31 @@ def register(spark: SparkSession) -> SparkSession:
 
 def read(spark: SparkSession, path: str, mode: str = "array", **options) -> DataFrame:
     reader = spark.read.format("hdf5").option("path", path).option("mode", mode)
-    if spark.conf.get(PUSHDOWN, "false") == "true" and mode not in CATALOG:
-        reader = reader.option("pushdown", "true")
     for k, v in options.items():
         reader = reader.option(k, str(v).lower() if isinstance(v, bool) else v)
     return reader.load()
 
 
+def where(spark: SparkSession, path: str, dataset: str, condition: str, mode: str = "array", **options) -> DataFrame:
+    """The rows of a dataset that meet a SQL condition.  Its comparisons of index columns with numbers become the selection, so
+    only chunks that it touches are read; the whole condition stays as a filter.
+
+    This prunes without Spark's own pushdown to Python sources, which keeps the first pushed filters of a DataFrame for all
+    later uses of it.  The option pushdown=true turns that on for DataFrames that are used once.
+    """
+    from .fmt.file import H5File
+    from .sources.hdf5 import files_of
+
+    found = bounds(condition)
+    files = files_of(path)
+    if found and "selection" not in options and len(files) == 1:
+        with H5File(files[0]) as f:
+            ds = f.dataset(dataset)
+            if ds is not None and all(d < ds.ndim for d in found):
+                options["selection"] = ",".join(f"{min(a, n)}:{max(min(a, n), min(z, n))}" for n, (a, z) in zip(ds.shape, (found.get(d, (0, n)) for d, n in enumerate(ds.shape)), strict=True))
+    return read(spark, path, mode, dataset=dataset, **options).where(condition)
+
+
 def list_datasets(spark: SparkSession, path: str, **options) -> DataFrame:
     """All datasets, by path within a file."""
     return read(spark, path, "datasets", **options)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import product
 
@@ -64,3 +65,40 @@ def strides(shape: tuple[int, ...]) -> tuple[int, ...]:
 def cells(box: Box, chunk: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
     """Element offsets of the chunks that a box touches, in row-major order."""
     yield from product(*(range(a // c * c, b, c) for (a, b), c in zip(box, chunk, strict=True)))
+
+
+_WORD = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|\w+|\S")
+_COMPARED = re.compile(r"i(\d+) (<=|>=|<|>|=|==) (\d+)")
+_LISTED = re.compile(r"i(\d+) in \( (\d+(?: , \d+)*) \)")
+
+
+def bounds(condition: str) -> dict[int, tuple[int, int]]:
+    """By dimension, the half-open range that the conjuncts of a SQL condition leave of an index column.
+
+    Only plain comparisons and IN lists at the top level count; anything else leaves the range as it is.
+    """
+    words = [w.lower() for w in _WORD.findall(condition)]
+    parts: list[list[str]] = [[]]
+    depth = 0
+    for w in words:
+        depth += (w == "(") - (w == ")")
+        if depth == 0 and w == "and":
+            parts.append([])
+        else:
+            parts[-1].append(w)
+        if depth == 0 and w in ("or", "between", "case", "not"):
+            return {}
+    out: dict[int, tuple[int, int]] = {}
+    for p in parts:
+        text = " ".join(p).replace("< =", "<=").replace("> =", ">=").replace("= =", "=")
+        if m := _COMPARED.fullmatch(text):
+            v = int(m[3])
+            a, z = {"<": (0, v), "<=": (0, v + 1), ">": (v + 1, 1 << 63), ">=": (v, 1 << 63)}.get(m[2], (v, v + 1))
+        elif m := _LISTED.fullmatch(text):
+            values = [int(x) for x in m[2].split(" , ")]
+            a, z = min(values), max(values) + 1
+        else:
+            continue
+        b, y = out.get(int(m[1]), (0, 1 << 63))
+        out[int(m[1])] = (max(a, b), max(max(a, b), min(z, y)))
+    return out

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..errors import CorruptError, InvalidSelectionError, StoreError, UnsupportedError
 from ..fmt import messages
@@ -155,7 +155,9 @@ class CatalogReader(DataSourceReader):
     def partitions(self) -> list[FilePart]:
         return [FilePart(f) for f in self.files]
 
-    def read(self, part: FilePart) -> Iterator[pa.RecordBatch]:
+    def read(self, part: FilePart | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # how Spark calls a scan without partitions
+            return
         kind = [("file", pa.string())] * (self.options.get("file_column") == "true") + ARROW[self.mode]
         with H5File(part.file, ReadOptions.of(self.options)) as f:
             rows = list(getattr(self, self.mode)(f))
@@ -227,7 +229,9 @@ class ArrayReader(DataSourceReader):
 
     # reading
 
-    def read(self, part: ArrayPart) -> Iterator[pa.RecordBatch]:
+    def read(self, part: ArrayPart | None) -> Iterator[pa.RecordBatch]:
+        if part is None:
+            return
         options = ReadOptions.of(self.options)
         source = ByteSource.open(part.file, options)
         try:
@@ -347,35 +351,34 @@ class ArrayReader(DataSourceReader):
 
 
 class PushingReader(ArrayReader):
-    """Turns comparisons of index columns with numbers into bounds of the selection."""
+    """Turns comparisons of index columns with numbers into bounds of the selection.
+
+    Opt-in, by the option pushdown=true: Spark 4.1 keeps the reader of a DataFrame, with the filters that were pushed first, for all
+    later uses of that DataFrame, so this is right only for a DataFrame that is used once.  api.where prunes without that.
+    All filters also go back to Spark, so that plans of different filters differ.
+    """
 
     def pushFilters(self, filters):
         for f in filters:
-            name = ".".join(f.attribute) if hasattr(f, "attribute") else ""
-            m = re.fullmatch(r"i(\d+)", name)
-            # in rows the last dimension is packed, and it has no column
-            if m is None or isinstance(f, IsNotNull):
-                if m is None:
-                    yield f
-                continue
-            d, v = int(m[1]), getattr(f, "value", None)
-            if isinstance(f, In) and f.value and all(isinstance(x, int) for x in f.value):
-                self._bound(d, min(f.value), max(f.value) + 1)
-                yield f
-            elif not isinstance(v, int):
-                yield f
-            elif isinstance(f, EqualTo):
-                self._bound(d, v, v + 1)
-            elif isinstance(f, GreaterThan):
-                self._bound(d, v + 1, None)
-            elif isinstance(f, GreaterThanOrEqual):
-                self._bound(d, v, None)
-            elif isinstance(f, LessThan):
-                self._bound(d, None, v)
-            elif isinstance(f, LessThanOrEqual):
-                self._bound(d, None, v + 1)
-            else:
-                yield f
+            m = re.fullmatch(r"i(\d+)", ".".join(f.attribute)) if hasattr(f, "attribute") else None
+            v = getattr(f, "value", None)
+            if m is not None and isinstance(f, In) and f.value and all(isinstance(x, int) for x in f.value):
+                self._bound(int(m[1]), min(f.value), max(f.value) + 1)
+            elif m is not None and isinstance(v, int):
+                self._compare(int(m[1]), f, v)
+            yield f
+
+    def _compare(self, d: int, f, v: int) -> None:
+        if isinstance(f, EqualTo):
+            self._bound(d, v, v + 1)
+        elif isinstance(f, GreaterThan):
+            self._bound(d, v + 1, None)
+        elif isinstance(f, GreaterThanOrEqual):
+            self._bound(d, v, None)
+        elif isinstance(f, LessThan):
+            self._bound(d, None, v)
+        elif isinstance(f, LessThanOrEqual):
+            self._bound(d, None, v + 1)
 
     def _bound(self, d: int, low: int | None, high: int | None) -> None:
         a, z = self.bounds.get(d, (0, 1 << 63))
