@@ -10,15 +10,14 @@ window reaches over its first ``floor((1 - t) n) + 1`` pivots, and any two linke
 (Documents as first pivots do not work here: unrelated documents are all at distance 1 from
 each other, so every window would hold everything.)
 
-Inside a region the join goes on with documents as pivots.  A round takes centres, measures the exact
-distance of every other member to them, and links those within ``1 - t``.  Members of one
-component need no further test among them.  The others become centres in turn, and are
-compared only where sizes, positions in the order and the triangle inequality on the distances to the
-first centre allow a link; a centre that was compared leaves the region.  Rounds go on until every
-region holds one component.  So a group of near copies costs as many tests as it has members, and no
-pair is left out.
+Inside regions the join goes on with documents as pivots.  The member with the smallest hash is a region's centre; regions
+with the same centre are one.  A region of at most ``BLOCK`` members is compared in one task, which returns a spanning
+forest of its links.  A larger one is dealt into parts, each with a copy of the centre: a part returns its forest and the
+distance of each member to the centre.  Then members are dealt anew into zones of that distance, and by the
+triangle inequality only blocks of the same or of neighbouring zones are compared, and of those only blocks that do
+not lie in one component already.  So no pair is left out, none is written, and a task holds at most two blocks.
 
-Shingles are hashed to 64 bits for regions only; every link is decided on the words themselves.
+Shingles are hashed to 64 bits from the words' own 64-bit hashes.
 
 Defined cases: lower-casing is of A-Z; words are what ASCII white space separates; a text with fewer
 words than a shingle is one shingle; null and wordless texts have no shingle and link with nothing;
@@ -41,7 +40,7 @@ from .common import bounded_batches, materialise
 from .components import components
 
 WORDS, PERCENT = 3, 90
-SLOTS, CENTRES, MAX_ROUNDS, SALT = 1 << 18, 2, 40, 64
+SLOTS, BLOCK, DENSE = 1 << 18, 512, 24
 _CACHE: dict[bytes, int] = {}
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -129,82 +128,119 @@ def described(docs: DataFrame, table, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, sig binary, pivots array<long>")
 
 
-def overlap_needed(a, b, percent: int):
-    """Smallest common size of two linked sets: 100 I >= percent (a + b - I)."""
-    return F.ceil(percent * (a + b) / F.lit(100.0 + percent) - 1e-9)
+def may_link(a, b, percent: int):
+    """Whether sizes and places in the order allow two sets that share a shingle to link.  a, b: structs of n and i."""
+    need = F.ceil(percent * (a["n"] + b["n"]) / F.lit(100.0 + percent) - 1e-9)
+    room = F.least(a["i"], b["i"]) + F.least(a["n"] - a["i"], b["n"] - b["i"])
+    return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & (room >= need)
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections of sorted hash sets: frequent shingles by a matrix product, the others from their lists."""
+    g = len(sets)
+    where = np.repeat(np.arange(g), [len(s) for s in sets])
+    order = np.argsort(values := np.concatenate(sets), kind="stable")
+    values, where = values[order], where[order]
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    size = np.diff(np.append(starts, len(values)))
+    out = np.zeros((g, g), np.float32)
+    dense = np.flatnonzero(size > DENSE)
+    for k in range(0, len(dense), 2048):
+        part = dense[k : k + 2048]
+        x = np.zeros((g, len(part)), np.float32)
+        for j, s in enumerate(part):
+            x[where[starts[s] : starts[s] + size[s]], j] = 1
+        out += x @ x.T
+    for n in range(2, DENSE + 1):
+        lists = starts[size == n]
+        if len(lists):
+            docs = where[lists[:, None] + np.arange(n)]
+            flat = (docs[:, :, None] * g + docs[:, None, :]).ravel()
+            out += np.bincount(flat, minlength=g * g).reshape(g, g)
+    np.fill_diagonal(out, [len(s) for s in sets])
+    return out
 
 
-def measured(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (c, x) with the exact sizes of intersection and union.  A centre's text is dealt out in salted copies."""
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALT)))
-    centres = pairs.select("c", "salt").distinct().join(texts.select(F.col("rep").alias("c"), F.col("text").alias("tc")), "c")
-    whole = pairs.join(texts.select(F.col("rep").alias("x"), F.col("text").alias("tx")), "x").join(centres, ["c", "salt"])
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """An edge from each member to the first of its component, from a symmetric matrix of links."""
+    left = np.ones(len(linked), bool)
+    out = []
+    for root in range(len(linked)):
+        if not left[root]:
+            continue
+        left[root] = False
+        front = np.array([root])
+        while len(front):
+            front = np.flatnonzero(linked[front].any(0) & left)
+            left[front] = False
+            out += [(root, int(x)) for x in front]
+    return out
 
-    def run(batches):
-        last, own = None, None
-        for b in batches:
-            both, union = [], []
-            for c, tc, tx in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if c != last:
-                    last, own = c, exact_shingles(tc, k)
-                other = exact_shingles(tx, k)
-                n = len(own & other)
-                both.append(n)
-                union.append(len(own) + len(other) - n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64()), pa.array(union, pa.int64())], ["c", "x", "both", "total"])
 
-    return whole.select("c", "x", "tc", "tx").mapInArrow(run, "c long, x long, both long, total long")
+def compare(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """rows (c, part, x): groups of at most 2 BLOCK members and a centre.  a, b: a spanning forest of the links in each group; and
+    (c, x, d): the distance of each member to the centre if that is in the group, as rows with a null b."""
+    whole = rows.join(texts.select(F.col("rep").alias("x"), "text"), "x").select("c", "part", "x", "text")
+
+    def run(key, t):
+        c = t.column("c")[0].as_py()
+        xs = np.array(t.column("x").to_pylist())
+        sets = [shingles(word_hashes(words(s)), k) for s in t.column("text").to_pylist()]
+        inter = common(sets)
+        n = np.array([len(s) for s in sets])
+        total = n[:, None] + n[None, :] - inter
+        linked = 100 * inter >= percent * total
+        edges = [(c, int(xs[i]), int(xs[j]), None) for i, j in forest(linked)]
+        at = np.flatnonzero(xs == c)
+        if len(at):
+            d = 1 - inter[at[0]] / total[at[0]]
+            edges += [(c, int(x), None, float(v)) for x, v in zip(xs, d, strict=True)]
+        cols = list(zip(*edges, strict=True)) or [(), (), (), ()]
+        return pa.table([pa.array(v, kind) for v, kind in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["c", "a", "b", "d"])
+
+    return whole.groupBy("c", "part").applyInArrow(run, "c long, a long, b long, d double")
 
 
 def linked_classes(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """rep, component of the classes that have links.  members: region p, class x, its size n and place i."""
+    """node, component of the classes that have links.  members: (region p, class x).
+
+    Regions with the same centre, the member with the smallest hash, are joined as one: near copies share their centre in nearly
+    all their regions, so a member is sent once instead of once for each shingle.
+    """
     eps = (100 - percent) / 100
-    members = members.withColumn("comp", F.col("x")).withColumn("d", F.lit(None).cast("double"))
-    comps = tested = None
-    for turn in range(MAX_ROUNDS):
-        # regions with more than one component stay; the largest component waits, the others send centres
-        kinds = members.groupBy("p", "comp").agg(F.count("*").alias("size"))
-        tops = kinds.groupBy("p").agg(F.count("*").alias("kinds"), F.max(F.struct("size", "comp"))["comp"].alias("top")).where("kinds > 1")
-        members = materialise(members.join(tops.select("p", "top"), "p"), "regions")
-        if members.isEmpty():
-            break
-        if turn == 0:  # the same centre for copies in all their regions
-            chosen = members.groupBy("p").agg(F.min_by(F.struct(*[F.col(a) for a in ("x", "n", "i", "comp", "d")]), F.struct(F.xxhash64("x"), "x")).alias("c"))
-            chosen = chosen.select("p", F.array("c").alias("cs"))
-        else:
-            order = W.partitionBy("p").orderBy(F.xxhash64("x"), "x")
-            chosen = members.where("comp <> top").withColumn("k", F.row_number().over(order)).where(F.col("k") <= CENTRES << min(turn, 10))
-            chosen = chosen.groupBy("p").agg(F.collect_list(F.struct("x", "n", "i", "comp", "d")).alias("cs"))
-        both = members.join(chosen, "p").select("p", "x", "n", "i", "comp", "d", F.explode("cs").alias("c"))
-        n, m = F.col("n"), F.col("c.n")
-        room = F.least(F.col("i"), F.col("c.i")) + 1 + F.least(n - F.col("i"), m - F.col("c.i")) - 1
-        may = (F.col("comp") != F.col("c.comp")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (room >= overlap_needed(n, m, percent))
-        near = F.col("d").isNull() | F.col("c.d").isNull() | (F.abs(F.col("d") - F.col("c.d")) <= eps + 1e-9)
-        pairs = both.where(may & near).select(F.col("c.x").alias("c"), "x")
-        # a pair of two centres is one pair
-        pairs = pairs.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b"), "c", "x").groupBy("a", "b").agg(F.min_by(F.struct("c", "x"), F.xxhash64("c")).alias("s")).select("s.c", "s.x")
-        if tested is not None:
-            known = tested.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b"))
-            pairs = pairs.join(known, (F.least("c", "x") == known.a) & (F.greatest("c", "x") == known.b), "left_anti")
-        found = materialise(measured(pairs, texts, k, percent), "measured")
-        tested = found if tested is None else tested.unionAll(found)
-        new = found.where(100 * F.col("both") >= percent * F.col("total")).select(F.col("c").alias("a"), F.col("x").alias("b"))
-        if not new.isEmpty():
-            known = new if comps is None else new.unionAll(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            comps = materialise(components(known), "comps")
-        if turn == 0:  # distances to the region's first centre
-            dist = found.select("c", "x", (1 - F.col("both") / F.col("total")).alias("d0"))
-            dist = dist.union(dist.select(F.col("x").alias("c"), F.col("c").alias("x"), "d0"))
-            first = chosen.select("p", F.col("cs")[0]["x"].alias("c"))
-            members = members.join(first, "p").join(dist, ["c", "x"], "left").withColumn("d", F.coalesce("d", "d0")).drop("d0", "c")
-        gone = chosen.select("p", F.explode("cs.x").alias("x"))
-        members = members.join(gone, ["p", "x"], "left_anti")
-        if comps is not None:
-            members = members.drop("comp").join(comps.select(F.col("node").alias("x"), F.col("component").alias("c2")), "x", "left").withColumn("comp", F.coalesce("c2", "x")).drop("c2")
-        members = members.drop("top")
-    else:
-        raise RuntimeError("regions did not settle")
-    return comps
+    centres = members.groupBy("p").agg(F.min_by("x", F.struct(F.xxhash64("x"), "x")).alias("c"))
+    joined = materialise(members.join(centres, "p").select("c", "x").distinct(), "joined")
+    size = joined.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    joined = joined.join(size, "c")
+    own = joined.withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("string"))
+    # the centre of a region of several parts is in each of them
+    copies = size.where("parts > 1").select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<string>")).alias("part"), F.col("c").alias("x"))
+    found = materialise(compare(own.select("c", "part", "x").unionByName(copies).distinct(), texts, k, percent), "compared")
+    edges = found.where("b is not null").select("a", "b")
+    comps = None if edges.isEmpty() else materialise(components(edges), "comps")
+
+    # regions of several parts: members of different parts, in zones of their distance to the centre
+    large = joined.where("parts > 1").select("c", "x").join(found.where("b is null").select("c", F.col("a").alias("x"), "d").distinct(), ["c", "x"])
+    if large.isEmpty():
+        return comps
+    known = None if comps is None else comps.select(F.col("node").alias("x"), "component")
+    large = large.withColumn("comp", F.col("x")) if known is None else large.join(known, "x", "left").withColumn("comp", F.coalesce("component", "x")).drop("component")
+    # by the triangle inequality, members whose distances differ by more than eps have no link: zones of that width meet their neighbours only
+    large = large.withColumn("zone", F.floor(F.col("d") / (eps + 1e-9)).cast("int"))
+    counts = large.groupBy("c", "zone").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("subs"))
+    large = materialise(large.join(counts, ["c", "zone"]).withColumn("sub", F.pmod(F.xxhash64("x", F.lit(1)), F.col("subs")).cast("int")), "zones")
+    blocks = large.groupBy("c", "zone", "sub").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    l, r = blocks.alias("l"), blocks.alias("r")
+    first, second = F.struct("l.zone", "l.sub"), F.struct("r.zone", "r.sub")
+    pairs = l.join(r, (F.col("l.c") == F.col("r.c")) & (F.col("r.zone") - F.col("l.zone")).between(0, 1) & (first <= second))
+    # blocks that hold one component between them need no test
+    pairs = pairs.where((F.least("l.low", "r.low") != F.greatest("l.high", "r.high"))).select(F.col("l.c").alias("c"), F.concat_ws("/", "l.zone", "l.sub", "r.zone", "r.sub").alias("part"), F.explode(F.array_distinct(F.array(first, second))).alias("b"))
+    pairs = pairs.select("c", "part", F.col("b.zone").alias("zone"), F.col("b.sub").alias("sub"))
+    across = materialise(compare(large.join(pairs, ["c", "zone", "sub"]).select("c", "part", "x"), texts, k, percent), "across")
+    new = across.where("b is not null").select("a", "b")
+    if comps is not None:
+        new = new.unionAll(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return comps if new.isEmpty() else materialise(components(new), "comps")
 
 
 def jaccard_components(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,8 +253,11 @@ def jaccard_components(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id
     classes = kept.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     reps = kept.join(classes, (kept.sig == classes.sig) & (kept.doc_id == classes.rep)).groupBy("rep").agg(F.first("n").alias("n"), F.first("pivots").alias("pivots"))
     spread = reps.select(F.col("rep").alias("x"), "n", F.posexplode("pivots").alias("i", "p"))
-    shared = spread.groupBy("p").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size")).where("size > 1").select("p")
-    members = materialise(spread.join(shared, "p").select("p", "x", F.col("n").cast("long").alias("n"), "i"), "members")
+    # regions of one class are empty work; one of two is if they can't link
+    place = F.struct("n", "i", "x")
+    shared = spread.groupBy("p").agg(F.count("*").alias("size"), F.min(place).alias("a"), F.max(place).alias("b")).where("size > 1")
+    shared = shared.where((F.col("size") > 2) | may_link(F.col("a"), F.col("b"), percent)).select("p")
+    members = materialise(spread.join(shared, "p").select("p", "x"), "members")
     wanted = members.select(F.col("x").alias("rep")).distinct()
     texts = materialise(docs.join(wanted, docs.doc_id == wanted.rep).groupBy("rep").agg(F.first("text").alias("text")), "texts")
     comps = linked_classes(members, texts, k, percent)

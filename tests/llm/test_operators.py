@@ -255,6 +255,34 @@ def test_jaccard_components(spark, k, percent, seed):
     assert got == brute_components(data, k, percent)
 
 
+@pytest.mark.parametrize("block", [1, 3, 10])
+def test_jaccard_regions_of_several_parts(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    vocab = [f"w{i}" for i in range(300)]
+    base = list(rng.choice(vocab, 120))
+    data = []
+    for i in range(70):
+        x = list(base)
+        for _ in range(int(rng.integers(0, 9))):
+            x[int(rng.integers(len(x)))] = str(rng.choice(vocab))
+        data.append((i + 1, " ".join(x)))
+    for k, percent in ((3, 90), (2, 75)):
+        got = collections.Counter(tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"), k, percent).collect())
+        assert got == brute_components(data, k, percent)
+
+
+def test_common_and_forest():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 60 if i % 3 else 9000, int(rng.integers(1, 90)))).astype(np.uint64) for i in range(80)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert (jaccard_join.common(sets) == want).all()
+    links = np.zeros((6, 6), bool)
+    for a, b in ((0, 3), (3, 5), (1, 2)):
+        links[a, b] = links[b, a] = True
+    assert sorted(jaccard_join.forest(links)) == [(0, 3), (0, 5), (1, 2)]
+
+
 def test_jaccard_documents(docs, odd):
     for df in (docs, odd):
         data = [(r.doc_id, r.text) for r in df.collect()]
