@@ -10,7 +10,7 @@ Bytes never seen in training cost the same under every language.  The last conte
 over 256 values.
 
 Training takes at most ``DOCS_PER_LANG`` documents of a language and ``BYTES_PER_LANG`` bytes of
-them (whole documents); scoring always reads whole texts.
+them (whole documents of at most ``MAX_DOC_BYTES``); scoring always reads whole texts.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; without any training
 rows every text is ``und``; ties go to the alphabetically first language; a null lang is not learned.
@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 
 from .common import bounded_batches, id_bucket, id_bucket_col
 
-ORDER, DOCS_PER_LANG, BYTES_PER_LANG = 3, 400, 1_000_000
+ORDER, DOCS_PER_LANG, BYTES_PER_LANG, MAX_DOC_BYTES = 3, 400, 1_000_000, 65_536
 SLICE_BYTES = 2 << 20
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -118,7 +118,7 @@ def mixed(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
 def learning_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, parts: int, held: int) -> DataFrame:
     """Rows with a language outside the held-out fold, at most DOCS_PER_LANG of each language, chosen by a hash of the id."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_bucket_col(F.col("doc_id"), parts) != held))
+    rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") <= MAX_DOC_BYTES) & (id_bucket_col(F.col("doc_id"), parts) != held))
     # the row number over the hash alone is pre-limited in each partition by Spark (WindowGroupLimit)
     order = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), F.col("doc_id"))
     keys = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS_PER_LANG).select("doc_id", "lang")

@@ -8,7 +8,7 @@ prefixes, so inflected forms share weight.  Only features that are clearly more
 in U are trained (``SCREEN_Z`` standard errors and ``SCREEN_RATIO`` times), and soft thresholding
 shrinks their weights, which stay non-negative, so the chance words of long clean documents carry none.
 
-Training takes at most ``POSITIVES`` and ``UNLABELLED`` documents, chosen by a hash of the id;
+Training takes at most ``POSITIVES`` and ``UNLABELLED`` documents of at most ``MAX_DOC_BYTES``, chosen by a hash of the id;
 scoring reads whole texts.  The prior is the share of toxic documents among the labelled rows of
 the learning fold.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, id_bucket, id_bucket_col
 
-POSITIVES, UNLABELLED, PREFIXES = 2000, 4000, (4, 5, 6)
+POSITIVES, UNLABELLED, MAX_DOC_BYTES, PREFIXES = 2000, 4000, 65_536, (4, 5, 6)
 SCREEN_Z, SCREEN_RATIO = 5.0, 2.5
 EPOCHS, BATCHES, RATE, SHRINK, CLIP = 60, 8, 0.05, 5e-4, 1e-6
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -141,6 +141,7 @@ def train(positive: list[str], unlabelled: list[str], prior: float, seed: int =
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 5, held: int = 0) -> Model:
     """P: labelled toxic rows of the learning fold; U: rows of the learning fold without a toxic label of 1."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (id_bucket_col(F.col("doc_id"), parts) != held))
+    docs = docs.where(F.octet_length("text") <= MAX_DOC_BYTES)
     known = labels.select(F.col("doc_id"), F.col("toxic")).where(F.col("toxic").isNotNull() & (id_bucket_col(F.col("doc_id"), parts) != held))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first().p
