@@ -5,9 +5,9 @@ or a ``revisit`` record when an equal payload belongs to a smaller page id.  A b
 ``segment_bytes`` is cut: the first record carries segment number 1, ``continuation`` records follow
 with the origin's id, and the last one states the total length.
 
-Reading.  Each archive is parsed record by record.  Unsegmented records need no shuffle.  Segments
-are grouped by origin id, ordered by number, checked for gaps and for the total length, and joined;
-then the chunked framing is decoded and the payload digest is verified.
+Reading.  Each archive, gzipped or not, is parsed record by record.  Segments are grouped by origin
+id, first within the archive and then, for those that lie apart, by a shuffle; they are ordered by number, checked
+for gaps and for the total length, and joined; then the chunked framing is decoded and the payload digest is verified.
 
 Archives are written through Spark's own writer and read through its ``binaryFile`` reader, so any
 store that Spark reaches will do.  ``ARCHIVE_ROWS`` bounds the size of a file.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,7 @@ SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_ROWS = 16 << 10, 4 << 10, 1500
 VERSION, CRLF = b"WARC/1.1", b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-PART = "origin string, segment int, total long, kind string, headers map<string,string>, block binary, error string"
+SEGMENT = "origin string, segment int, total long, kind string, headers map<string,string>, block binary"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
 
 
@@ -141,7 +142,7 @@ def first_of_equal(pages: DataFrame, min_bytes: int) -> DataFrame:
     return keys.join(firsts, "d").where("page_id > first").groupBy("page_id").agg(F.min("first").alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, compress: bool = True) -> None:
     """One record per row of pages (page_id, url, html), and continuations, as .warc files under path."""
     spark = pages.sparkSession
     bounded_batches(spark)
@@ -157,32 +158,21 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment_byte
                 out.append("".join(r.decode() for r in page_records(page_id, url, html, refers_to, segment_bytes))[:-2])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    named.mapInArrow(run, "value string").write.option("lineSep", "\r\n").option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
+    named.mapInArrow(run, "value string").write.option("lineSep", "\r\n").option("maxRecordsPerFile", ARCHIVE_ROWS).option("compression", "gzip" if compress else "none").text(path)
 
 
-def read_parts(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record of all archives under path, in segments still."""
-    bounded_batches(spark)
-
-    def run(batches):
-        for b in batches:
-            for content in b.column(0):
-                rows = []
-                try:
-                    for head, block in parse(content.as_buffer().to_pybytes() if content.is_valid else b""):
-                        segment, total = head.get("warc-segment-number"), head.get("warc-segment-total-length")
-                        rows.append({"origin": head.get("warc-segment-origin-id") or head["warc-record-id"], "segment": int(segment) if segment else None, "total": int(total) if total else None, "kind": head["warc-type"], "headers": list(head.items()), "block": block, "error": None})
-                except (ValueError, KeyError) as e:
-                    rows.append({"origin": None, "segment": None, "total": None, "kind": None, "headers": None, "block": None, "error": f"{type(e).__name__}: {e}"})
-                yield from batches_of(rows)
-
-    kind = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary()), ("error", pa.string())])
-
-    def batches_of(rows, n=256):
-        for i in range(0, len(rows), n):
-            yield pa.RecordBatch.from_pylist(rows[i : i + n], schema=kind)
-
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, PART)
+def plain(content: bytes) -> bytes:
+    """An archive without its gzip members, if it has any."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out = []
+    while content:
+        d = zlib.decompressobj(31)
+        out.append(d.decompress(content))
+        if not d.eof:
+            raise ValueError("gzip member is cut")
+        content = d.unused_data
+    return b"".join(out)
 
 
 def decode(head: dict[str, str], kind: str, block: bytes) -> dict:
@@ -214,45 +204,66 @@ def joined(segments: list[tuple[int | None, int | None, bytes]]) -> bytes:
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row per whole record.  payloads=False leaves the payload column null."""
-    parts = read_parts(spark, path)
-    kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
+    """A row per whole record of all archives under path.  payloads=False leaves the payload column null.
+
+    Records whose segments all lie in one archive are joined where that is read; only segments that lie apart are shuffled.
+    """
+    bounded_batches(spark)
+    record = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
+    segment = [("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())]
+    both = pa.schema([*record, *segment])
 
-    def emit(rows: list[dict]):
-        if not payloads:
-            rows = [r | {"payload": None} for r in rows]
-        return pa.RecordBatch.from_pylist(rows, schema=kind)
+    def emit(rows: list[dict], schema: pa.Schema):
+        for i in range(0, len(rows), 256):
+            part = rows[i : i + 256]
+            yield pa.RecordBatch.from_pylist(part if payloads else [r | {"payload": None} for r in part], schema=schema)
 
     def whole(batches):
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                if r["error"]:
-                    rows.append({"record_type": None, "error": r["error"]})
-                elif r["kind"] in ("response", "revisit"):
-                    rows.append(decode(dict(r["headers"]), r["kind"], r["block"]))
-            yield emit(rows)
-
-    def reassembled(batches):
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                parts, heads = r["parts"], [p for p in r["parts"] if p["kind"] != "continuation"]
-                if not heads:
-                    rows.append({"record_type": "continuation", "error": "segments without an origin"})
-                    continue
-                head = dict(heads[0]["headers"])
+            for content in b.column(0):
+                rows: list[dict] = []
+                apart: dict[str, list[dict]] = {}
                 try:
-                    rows.append(decode(head, heads[0]["kind"], joined([(p["segment"], p["total"], p["block"]) for p in parts])))
-                except ValueError as e:
-                    rows.append({"record_type": heads[0]["kind"], "error": str(e)})
-            yield emit(rows)
-
-    # one scan of the archives feeds both ways: the parsed records are kept in the shared folder
-    kept = materialise(parts, "warc-parts")
-    single = kept.where("segment is null").mapInArrow(whole, RECORD)
-    grouped = kept.where("segment is not null").groupBy("origin").agg(F.collect_list(F.struct("segment", "total", "kind", "headers", "block")).alias("parts"))
-    return single.unionByName(grouped.mapInArrow(reassembled, RECORD))
+                    for head, block in parse(plain(content.as_buffer().to_pybytes() if content.is_valid else b"")):
+                        kind, number = head["warc-type"], head.get("warc-segment-number")
+                        if number is None:
+                            if kind in ("response", "revisit"):
+                                rows.append(decode(head, kind, block))
+                            continue
+                        origin, total = head.get("warc-segment-origin-id") or head["warc-record-id"], head.get("warc-segment-total-length")
+                        apart.setdefault(origin, []).append({"origin": origin, "segment": int(number), "total": int(total) if total else None, "kind": kind, "headers": list(head.items()), "block": block})
+                except (ValueError, KeyError, zlib.error) as e:
+                    rows.append({"error": f"{type(e).__name__}: {e}"})
+                for parts in apart.values():
+                    rows += [reassembled(parts)] if complete(parts) else parts
+                yield from emit(rows, both)
+
+    def late(batches):
+        for b in batches:
+            yield from emit([reassembled(r["parts"]) for r in b.to_pylist()], record)
+
+    # one scan feeds both ways; what is kept has payloads only if they are asked for, and segments that lie apart
+    kept = materialise(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(whole, f"{RECORD}, {SEGMENT}"), "warc-records")
+    names = record.names
+    grouped = kept.where("origin is not null").groupBy("origin").agg(F.collect_list(F.struct("segment", "total", "kind", "headers", "block")).alias("parts")).select("parts")
+    return kept.where("origin is null").select(*names).unionByName(grouped.mapInArrow(late, RECORD))
+
+
+def complete(parts: list[dict]) -> bool:
+    """Whether all segments are there: numbers from 1 to that of the one that states the total length."""
+    last = next((p["segment"] for p in parts if p["total"] is not None), None)
+    return last is not None and sorted({p["segment"] for p in parts}) == list(range(1, last + 1))
+
+
+def reassembled(parts: list[dict]) -> dict:
+    """The record of an origin from its segments."""
+    first = next((p for p in parts if p["kind"] != "continuation"), None)
+    if first is None:
+        return {"record_type": "continuation", "error": "segments without an origin"}
+    try:
+        return decode(dict(first["headers"]), first["kind"], joined([(p["segment"], p["total"], p["block"]) for p in parts]))
+    except ValueError as e:
+        return {"record_type": first["kind"], "error": str(e)}
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

@@ -372,11 +372,12 @@ def test_warc(spark, sf):
         assert tuple(got[r.page_id])[1:] == want
 
 
-def test_warc_payloads_and_odd_rows(spark, tmp_path):
+@pytest.mark.parametrize("compress", [False, True])
+def test_warc_payloads_and_odd_rows(spark, tmp_path, compress):
     big = "é日🙂\r\n0\r\n\r\nWARC/1.1\r\n" * 9000
     pages = [(1, "http://a/", big), (2, "http://b/\r\nX: y", None), (3, None, ""), (4, "u", big), (5, "u", "x"), (5, "u", "x"), (None, "u", "x"), (6, "u", "x")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    warc.write_archives(df, f"file://{tmp_path}/w", min_bytes=1, segment_bytes=5000)
+    warc.write_archives(df, f"file://{tmp_path}/w", min_bytes=1, segment_bytes=5000, compress=compress)
     back = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
     assert len(back) == len(pages) and not any(r.error for r in back)
     by = collections.defaultdict(list)
@@ -387,6 +388,17 @@ def test_warc_payloads_and_odd_rows(spark, tmp_path):
     assert [r.record_type for r in by[5]] == ["response"] * 2
 
 
+def test_warc_segments_in_other_archives(spark, tmp_path):
+    html = "words é " * 2000
+    records = warc.page_records(7, "u", html, None, 3000) + warc.page_records(8, "v", "x" * 9000, None, 4000)[:-1]
+    for i, r in enumerate(records):
+        (tmp_path / f"{i}.warc").write_bytes(r)
+    (tmp_path / "z.warc").write_bytes(b"WARC/1.1\r\nnothing")
+    back = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    assert [bytes(r.payload).decode() for r in back if not r.error] == [html]
+    assert sorted(r.record_type or "" for r in back if r.error) == ["", "response"]
+
+
 def test_warc_damage():
     parts = warc.page_records(1, "u", "text " * 900, None, 1000)
     found = [(h, b) for r in parts for h, b in warc.parse(r)]
