@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import math
 import tempfile
 import uuid
 import zlib
@@ -82,9 +81,14 @@ def id_bucket_col(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def gb_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def hash_share(id_col: str, rows: int, most: int, seed: int = 0) -> Column:
+    """A filter by a hash of the id that keeps about 2 * most of rows rows, so that picking the first most of them by that hash
+    never gathers more than a bounded number, whatever the number of partitions."""
+    share = 1.0 if rows <= 2 * most else 2 * most / rows
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
 
 
-def ceil_div(a: int, b: int) -> int:
-    return -(-a // b) if b else math.inf
+def hash_sample(df: DataFrame, id_col: str, most: int, seed: int = 0) -> DataFrame:
+    """At most most rows, those with the smallest hashes of their ids among about twice as many: a bounded training sample."""
+    kept = df.where(hash_share(id_col, df.count(), most, seed))
+    return kept.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(most)

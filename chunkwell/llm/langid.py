@@ -19,6 +19,7 @@ rows every text is ``und``; ties go to the alphabetically first language; a null
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded_batches, id_bucket, id_bucket_col
+from .common import bounded_batches, hash_share, id_bucket, id_bucket_col
 
 ORDER, DOCS_PER_LANG, BYTES_PER_LANG, MAX_DOC_BYTES = 3, 400, 1_000_000, 65_536
 SLICE_BYTES = 2 << 20
@@ -119,9 +120,12 @@ def learning_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, part
     """Rows with a language outside the held-out fold, at most DOCS_PER_LANG of each language, chosen by a hash of the id."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") <= MAX_DOC_BYTES) & (id_bucket_col(F.col("doc_id"), parts) != held))
-    # the row number over the hash alone is pre-limited in each partition by Spark (WindowGroupLimit)
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return rows
+    share = reduce(lambda a, b: a | b, [(F.col("lang") == lang) & hash_share("doc_id", n, DOCS_PER_LANG) for lang, n in counts.items()])
     order = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), F.col("doc_id"))
-    keys = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS_PER_LANG).select("doc_id", "lang")
+    keys = rows.select("doc_id", "lang").where(share).withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS_PER_LANG).select("doc_id", "lang")
     return rows.join(F.broadcast(keys), ["doc_id", "lang"], "left_semi")
 
 

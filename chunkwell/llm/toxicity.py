@@ -7,6 +7,7 @@ term gives a gradient, as that of the maximum does.  Features are the presence o
 prefixes, so inflected forms share weight.  Only features that are clearly more frequent in P than
 in U are trained (``SCREEN_Z`` standard errors and ``SCREEN_RATIO`` times), and soft thresholding
 shrinks their weights, which stay non-negative, so the chance words of long clean documents carry none.
+The bias is then set where the same corrected risk, of the zero-one loss, is least.
 
 Training takes at most ``POSITIVES`` and ``UNLABELLED`` documents of at most ``MAX_DOC_BYTES``, chosen by a hash of the id;
 scoring reads whole texts.  The prior is the share of toxic documents among the labelled rows of
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_bucket, id_bucket_col
+from .common import bounded_batches, hash_sample, id_bucket, id_bucket_col
 
 POSITIVES, UNLABELLED, MAX_DOC_BYTES, PREFIXES = 2000, 4000, 65_536, (4, 5, 6)
-SCREEN_Z, SCREEN_RATIO = 5.0, 2.5
+SCREEN_Z, SCREEN_RATIO, SUPPORT = 5.0, 2.5, 0.01
 EPOCHS, BATCHES, RATE, SHRINK, CLIP = 60, 8, 0.05, 5e-4, 1e-6
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -90,27 +91,34 @@ def logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def screened(sets_p: list[set[str]], sets_u: list[set[str]]) -> list[str]:
-    """Features whose share of P exceeds their share of U by SCREEN_Z standard errors and SCREEN_RATIO times."""
-    in_p, in_u = Counter(f for s in sets_p for f in s), Counter(f for s in sets_u for f in s)
-    n_p, n_u = len(sets_p), max(1, len(sets_u))
+def screened(positive: list[str], unlabelled: list[str]) -> dict[str, int]:
+    """Features of a share SUPPORT of P whose share there exceeds that of U by SCREEN_Z standard errors and SCREEN_RATIO times,
+    with their column numbers.  One document's features are held at a time, besides the counts of P."""
+    in_p: Counter = Counter()
+    for t in positive:
+        in_p.update(features(t))
+    n_p, n_u = len(positive), max(1, len(unlabelled))
+    in_p = {f: n for f, n in in_p.items() if n >= max(4, SUPPORT * n_p)}
+    in_u: Counter = Counter()
+    for t in unlabelled:
+        in_u.update(features(t) & in_p.keys())
     out = []
     for f, n in in_p.items():
         p, u, both = n / n_p, in_u[f] / n_u, (n + in_u[f]) / (n_p + n_u)
         if p >= SCREEN_RATIO * u and p - u >= SCREEN_Z * (both * (1 - both) * (1 / n_p + 1 / n_u)) ** 0.5:
             out.append(f)
-    return sorted(out)
+    return {f: i for i, f in enumerate(sorted(out))}
 
 
 def train(positive: list[str], unlabelled: list[str], prior: float, seed: int = 7) -> Model:
     """Non-negative PU training of a sparse linear model."""
     if not positive:
         return Model({}, -60.0)
-    sets_p, sets_u = [features(t) for t in positive], [features(t) for t in unlabelled]
-    names = screened(sets_p, sets_u)
-    at = {f: i for i, f in enumerate(names)}
-    index = lambda sets: [np.sort(np.array([at[f] for f in s if f in at], np.int64)) for s in sets]
-    rows_p, rows_u = index(sets_p), index(sets_u)
+    positive, unlabelled = list(dict.fromkeys(positive)), list(dict.fromkeys(unlabelled))  # copies would vouch for chance words
+    at = screened(positive, unlabelled)
+    names = list(at)
+    index = lambda texts: [np.sort(np.array([at[f] for f in features(t) if f in at], np.int64)) for t in texts]
+    rows_p, rows_u = index(positive), index(unlabelled)
     size, rng = len(names), np.random.default_rng(seed)
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v, step = np.zeros(size + 1), np.zeros(size + 1), 0
@@ -135,7 +143,19 @@ def train(positive: list[str], unlabelled: list[str], prior: float, seed: int =
             move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + CLIP)
             w, b = w - move[:-1], b - move[-1]
             w = np.maximum(w - SHRINK, 0)  # screened features speak for toxicity or not at all
-    return Model({names[i]: float(w[i]) for i in np.flatnonzero(w)}, float(b))
+    return Model({names[i]: float(w[i]) for i in np.flatnonzero(w)}, b - cut(Sparse(rows_p).dot(w) + b, Sparse(rows_u).dot(w) + b, prior))
+
+
+def cut(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
+    """The logit that becomes 0: where the class-prior-corrected zero-one risk ``2 pi P(z_P < t) + P(z_U >= t)`` is least, in the
+    middle of the widest such interval."""
+    z = np.unique(np.concatenate([zp, zu]))
+    if len(z) < 2:
+        return 0.0
+    t = (z[1:] + z[:-1]) / 2
+    risk = 2 * prior * np.searchsorted(np.sort(zp), t) / len(zp) + 1 - np.searchsorted(np.sort(zu), t) / max(1, len(zu))
+    best = np.flatnonzero(risk <= risk.min() + 1e-9)
+    return float(t[best[np.argmax(z[best + 1] - z[best])]])
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 5, held: int = 0) -> Model:
@@ -148,9 +168,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     if not share:
         return Model({}, -60.0)
     prior = min(max(share, 0.01), 0.5)
-    chosen = known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES).select("doc_id")
+    chosen = hash_sample(known.where("toxic = 1").select("doc_id"), "doc_id", POSITIVES)
     toxic = [r.text for r in docs.join(F.broadcast(chosen), "doc_id", "left_semi").orderBy("doc_id").collect()]
-    order = docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(UNLABELLED)
+    order = hash_sample(docs.select("doc_id"), "doc_id", UNLABELLED, 1).distinct()
     plain = [r.text for r in docs.join(F.broadcast(order), "doc_id", "left_semi").orderBy("doc_id").collect()]
     return train(toxic[: 2 * POSITIVES], plain[: 2 * UNLABELLED], prior)
 
