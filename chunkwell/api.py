@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.selection import bounds
-from .sources.hdf5 import Hdf5Source
+from .sources.hdf5 import CATALOG, ArrayReader, CatalogReader, FilePart, Hdf5Source
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
@@ -29,6 +29,34 @@ def read(spark: SparkSession, path: str, mode: str = "array", **options) -> Data
     return reader.load()
 
 
+def read_with_spark(spark: SparkSession, path: str, mode: str = "datasets", **options) -> DataFrame:
+    """Whole files by Spark's own binary reader, one task each, for stores that only Spark reaches; files must fit in a task.
+
+    The schema of array modes is that of the first file.
+    """
+    options = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def run(batches):
+        for b in batches:
+            for content in b.column(0):
+                data = content.as_buffer().to_pybytes()
+                if mode in CATALOG:
+                    yield from CatalogReader(mode, options, []).read(FilePart(data))
+                else:
+                    reader = ArrayReader(mode, options, [data])
+                    for part in reader.partitions():
+                        yield from reader.read(part)
+
+    schema = CATALOG.get(mode)
+    if schema is None:
+        first = bytes(files.first().content)
+        source = Hdf5Source({**options, "mode": mode})
+        source._files = lambda: [first]
+        schema = source._columns(source._open())
+    return files.mapInArrow(run, schema)
+
+
 def where(spark: SparkSession, path: str, dataset: str, condition: str, mode: str = "array", **options) -> DataFrame:
     """The rows of a dataset that meet a SQL condition.  Its comparisons of index columns with numbers become the selection, so
     only chunks that it touches are read; the whole condition stays as a filter.

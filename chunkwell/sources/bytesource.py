@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections import OrderedDict
-from collections.abc import Callable, Iterable
+from collections import OrderedDict, deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from urllib.parse import unquote, urlparse
 
@@ -20,10 +21,12 @@ class ReadOptions:
     span: int = 512 << 10
     gap: int = 64 << 10
     partition: int = 32 << 20
+    concurrency: int = 16
+    inflight: int = 32 << 20
 
     @classmethod
     def of(cls, options: dict[str, str]) -> ReadOptions:
-        names = {"block": "metadata_block", "cache": "metadata_cache", "span": "max_span", "gap": "max_gap", "partition": "partition_bytes"}
+        names = {"block": "metadata_block", "cache": "metadata_cache", "span": "max_span", "gap": "max_gap", "partition": "partition_bytes", "concurrency": "io_concurrency", "inflight": "max_inflight_bytes"}
         return cls(**{k: int(options[o]) for k, o in names.items() if o in options})
 
 
@@ -102,6 +105,36 @@ class ArrowStore:
         self.file.close()
 
 
+class HttpStore:
+    """Ranges of a file behind a web server.  The size comes from a one-byte range, for signed addresses may refuse HEAD."""
+
+    def __init__(self, url: str):
+        self.url = url
+        _, said = self._get(0, 1)
+        total = said.rpartition("/")[2]
+        if not total.isdigit():
+            raise StoreError(f"{url}: the server does not serve ranges")
+        self.size = int(total)
+
+    def _get(self, at: int, n: int) -> tuple[bytes, str]:
+        import urllib.error
+        import urllib.request
+
+        ask = urllib.request.Request(self.url, headers={"Range": f"bytes={at}-{at + n - 1}"})
+        try:
+            with urllib.request.urlopen(ask, timeout=60) as r:
+                return r.read(), r.headers.get("Content-Range", "")
+        except (urllib.error.URLError, OSError) as e:
+            raise StoreError(f"{self.url}: {e}") from None
+
+    def read(self, at: int, n: int) -> bytes:
+        n = min(n, self.size - at)
+        return self._get(at, n)[0] if n > 0 else b""
+
+    def close(self) -> None:
+        pass
+
+
 class MemoryStore:
     def __init__(self, data: bytes):
         self.data, self.size = data, len(data)
@@ -127,7 +160,7 @@ def open_store(path: str):
         return _SCHEMES[u.scheme](path)
     if u.scheme in ("", "file"):
         return LocalStore(unquote(u.path) if u.scheme else path)
-    return ArrowStore(path)
+    return HttpStore(path) if u.scheme in ("http", "https") else ArrowStore(path)
 
 
 @dataclass
@@ -164,6 +197,26 @@ class ByteSource:
         for at in range(a, min(b, self.size), piece):
             yield self.get_range(at, min(b, at + piece))
 
+    def prefetch(self, requests: list[tuple[int, int]]) -> Iterator[bytes]:
+        """Bytes of each request in order; those ahead are fetched by threads, at most options.inflight bytes but two requests at least."""
+        if len(requests) < 2 or isinstance(self.store, MemoryStore):
+            yield from (self.get_range(a, b) for a, b in requests)
+            return
+        with ThreadPoolExecutor(self.options.concurrency) as pool:
+            ahead: deque = deque()
+            held, at = 0, 0
+            while ahead or at < len(requests):
+                while at < len(requests) and (len(ahead) < 2 or len(ahead) < self.options.concurrency and held + requests[at][1] - requests[at][0] <= self.options.inflight):
+                    a, b = requests[at]
+                    inside = clamp(a, b, self.size) or (0, 0)
+                    ahead.append((pool.submit(self.store.read, inside[0], inside[1] - inside[0]), b - a))
+                    held, at = held + b - a, at + 1
+                first, n = ahead.popleft()
+                data = first.result()
+                held -= n
+                self.stats.fetched(1, len(data))
+                yield data
+
     def read_ranges(self, ranges: list[tuple[int, int]]) -> list[bytes]:
         """Bytes of each range in input order, by merged requests in one batch."""
         covers = merge_ranges([r for r in ranges if r[1] > r[0]], self.options.gap, self.options.span)

@@ -10,6 +10,7 @@ import glob
 import math
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,13 +64,13 @@ def files_of(path: str) -> list[str]:
 
 @dataclass
 class FilePart(InputPartition):
-    file: str
+    file: str | bytes
 
 
 @dataclass
 class ArrayPart(InputPartition):
     number: int
-    file: str
+    file: str | bytes
     shape: tuple[int, ...]
     dtype: messages.Datatype
     filters: tuple
@@ -255,11 +256,16 @@ class ArrayReader(DataSourceReader):
         """(box, its elements as an array of that shape), with one request for neighbouring pieces of at most options.span bytes."""
         kind = np.dtype(f"V{part.dtype.element_size}")
         stored = [p for p in part.pieces if p.address != UNDEFINED]
-        held: dict[int, bytes] = {}
-        first: dict[int, tuple[int, int]] = {}
+        group_of: dict[int, int] = {}  # by address, the request that brings it
+        spans: list[tuple[int, int]] = []
         for group in planner.group_requests(sorted(stored, key=lambda p: p.address), options.gap, options.span):
-            for p in group:
-                first[p.address] = (group[0].address, max(g.address + g.size for g in group))
+            group_of.update((p.address, len(spans)) for p in group)
+            spans.append((group[0].address, max(p.address + p.size for p in group)))
+        uses = Counter(group_of[p.address] for p in stored)
+        order = list(dict.fromkeys(group_of[p.address] for p in stored))  # by first use
+        coming = source.prefetch([spans[g] for g in order])
+        fetched = iter(order)
+        held: dict[int, bytes] = {}
         for p in part.pieces:
             dims = tuple(z - a for a, z in p.box)
             if p.data is not None:
@@ -270,11 +276,13 @@ class ArrayReader(DataSourceReader):
                 yield p.box, self._filled(dims, kind, part.fill)
                 continue
             else:
-                a, z = first[p.address]
-                if a not in held:
-                    held = {k: v for k, v in held.items() if self.mode == "rows"}  # in address order each request serves neighbours only
-                    held[a] = source.get_range(a, z)
-                raw, mask = held[a][p.address - a : p.address - a + p.size], p.mask
+                g = group_of[p.address]
+                while g not in held:
+                    held[next(fetched)] = next(coming)
+                raw, mask = held[g][p.address - spans[g][0] : p.address - spans[g][0] + p.size], p.mask
+                uses[g] -= 1
+                if not uses[g]:
+                    del held[g]
                 if len(raw) < p.size:
                     raise CorruptError(f"{p.size} bytes at {p.address} leave the file")
             if len(p.shape) == 1 and len(dims) != 1 or p.data is None and not part.filters and len(p.origin) == 1 and p.shape[0] * kind.itemsize == p.size and len(part.shape) != 1:

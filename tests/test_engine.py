@@ -188,3 +188,42 @@ def test_decode_columns(spark):
     df = spark.createDataFrame([(zlib.compress(b"acbd"), 2), (None, 1)], "b binary, mask long")
     got = df.select(decode.unshuffle_column(decode.inflate_column(F.col("b")), 2).alias("x"), decode.filter_applies(F.col("mask"), 1).alias("f")).collect()
     assert [r.x and bytes(r.x) for r in got] == [b"abcd", None] and [r.f for r in got] == [False, True]
+
+
+@pytest.mark.parametrize("latest", [False, True])
+def test_read_with_spark(spark, tmp_path, latest):
+    api.register(spark)
+    data = np.arange(600, dtype="i2").reshape(20, 30)
+    path = file(tmp_path, latest, x=(data, {"chunk": (7, 8), "deflate": 1}))
+    assert np.array_equal(api.to_numpy(api.read_with_spark(spark, f"file://{path}", "array", dataset="x"), 2), data)
+    assert [r.path for r in api.read_with_spark(spark, f"file://{path}").collect()] == ["/x"]
+
+
+def test_http_store(spark, tmp_path):
+    import http.server
+    import threading
+
+    class Ranges(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            whole = open(path, "rb").read()
+            a, b = self.headers["Range"].removeprefix("bytes=").split("-")
+            part = whole[int(a) : int(b) + 1]
+            self.send_response(206)
+            self.send_header("Content-Range", f"bytes {a}-{int(a) + len(part) - 1}/{len(whole)}")
+            self.end_headers()
+            self.wfile.write(part)
+
+        def log_message(self, *a):
+            pass
+
+    data = np.arange(50_000, dtype="f8")
+    path = file(tmp_path, x=(data, {"chunk": (1000,), "deflate": 1}))
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Ranges)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/f.h5"
+        api.register(spark)
+        assert np.array_equal(api.to_numpy(api.read(spark, url, dataset="x", max_span=4096), 1), data)
+        assert api.where(spark, url, "x", "i0 < 10").count() == 10
+    finally:
+        server.shutdown()

@@ -395,6 +395,15 @@ def test_source_counts_and_cache():
     assert b"".join(s.stream(3, 5000, 700)) == data[3:5000]
 
 
+def test_prefetch_keeps_order_and_bounds(tmp_path):
+    data = bytes(range(256)) * 4000
+    (tmp_path / "x").write_bytes(data)
+    s = ByteSource.open(str(tmp_path / "x"), ReadOptions(inflight=1000, concurrency=4))
+    requests = [(i * 700, i * 700 + 650) for i in range(300)] + [(len(data) - 5, len(data) + 99), (len(data) + 1, len(data) + 9)]
+    assert list(s.prefetch(requests)) == [data[a:b] for a, b in requests]
+    assert s.stats.requests == len(requests)
+
+
 def test_requests_are_few():
     w = Writer(E)
     for i in range(120):
