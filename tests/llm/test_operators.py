@@ -146,6 +146,26 @@ def test_license_scan(name, request):
     assert got == want
 
 
+def test_license_labels_against_all_blocks(docs):
+    """Labels and score from the containment of every template in every block, without filters."""
+    step = license_scan.BLOCK - license_scan.OVERLAP
+    for r in license_scan.license_scan(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        w = WORD.findall(lower(r.text))
+        blocks = [set(w[i : i + license_scan.BLOCK]) for i in range(0, max(1, len(w) - license_scan.OVERLAP), step)]
+        labels, score = set(), 0.0
+        for label, words, threshold, base in license_scan.templates():
+            t = set(words)
+            share = max(len(t & b) for b in blocks) / len(t)
+            if base:
+                here = any(w[i : i + len(words)] == words for i in range(len(w)))
+            else:
+                here = share >= threshold
+            if here:
+                labels.add(label)
+                score = max(score, share)
+        assert (r.labels, r.score) == (",".join(sorted(labels)), pytest.approx(score))
+
+
 def test_license_notices_across_blocks(spark):
     notice = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"
     texts = [(i, "filler " * i + notice + " and more " * 50) for i in range(0, 130, 7)] + [(1000, "filler " * 40 + "Released under the Apache License")]
