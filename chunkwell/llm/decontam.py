@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import words_of
+from .common import materialise, words_of
 
 WINDOW, BLOCK_WORDS, BROADCAST_WINDOWS = 13, 20_000, 200_000
 
@@ -58,7 +58,7 @@ def word_counts(docs: DataFrame, words: list[str], text_col: str = "text") -> Da
 
 def with_pivots(windows: DataFrame, counts: DataFrame, k: int = 1) -> DataFrame:
     """win, item_ids, pivots: its k rarest words (by count, then word) as structs of n, word and first offset."""
-    each = windows.select("win", "item_ids", F.posexplode("win").alias("o", "word")).join(F.broadcast(counts), "word", "left")
+    each = windows.select("win", "item_ids", F.posexplode("win").alias("o", "word")).join(counts, "word", "left")
     first = each.groupBy("win", "item_ids", "word").agg(F.min("o").alias("o"), F.first(F.coalesce("n", F.lit(0))).alias("n"))
     sorted_words = F.array_sort(F.collect_list(F.struct("n", "word", "o")))
     return first.groupBy("win", "item_ids").agg(F.slice(sorted_words, 1, k).alias("pivots"))
@@ -121,7 +121,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: st
     names = [f"__k{i}" for i in range(len(keep or []))]
     base = docs.select(F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__row"), *(F.col(c).alias(a) for c, a in zip(keep or [], names, strict=True)), F.col(text_col).alias("__text"))
     reach = n - 1
-    index = postings(base, rare, reach, ["__row", "__id", *names], "__text")
+    index = materialise(postings(base, rare, reach, ["__row", "__id", *names], "__text"), "postings")
     found = phrase_matches(index, windows, reach, len(rows))
     # a row for each occurrence that matched, and one for each document
     hits = found.groupBy("__row").agg(
