@@ -109,8 +109,8 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), zero, step, lambda a: a["n"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per document row: id, n_words, n_hit, n_items, items_sha256, contaminated; keep: other columns to carry along."""
+def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document row: id, n_words, n_hit, n_items, items_sha256, contaminated."""
     windows = item_windows(items, n)
     terms = vocabulary(windows)
     windows = with_pivots(windows, word_counts(docs, terms, text_col))
@@ -118,23 +118,21 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: st
     spark = docs.sparkSession
     windows = spark.createDataFrame(rows, windows.schema) if rows else spark.createDataFrame([], windows.schema)
     rare = sorted({r.pivots[0].word for r in rows})
-    names = [f"__k{i}" for i in range(len(keep or []))]
-    base = docs.select(F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__row"), *(F.col(c).alias(a) for c, a in zip(keep or [], names, strict=True)), F.col(text_col).alias("__text"))
+    base = docs.select(F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__row"), F.col(text_col).alias("__text"))
     reach = n - 1
-    index = materialise(postings(base, rare, reach, ["__row", "__id", *names], "__text"), "postings")
+    index = materialise(postings(base, rare, reach, ["__row", "__id"], "__text"), "postings")
     found = phrase_matches(index, windows, reach, len(rows))
     # a row for each occurrence that matched, and one for each document
     hits = found.groupBy("__row").agg(
         F.first("__id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
-        *(F.first(a).alias(a) for a in names),
         F.array_distinct(F.flatten(F.collect_list(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len")))))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list(F.transform("found", lambda x: x["item_ids"])))))).alias("ids"),
     )
     n_hit = covered(F.col("spans"))
-    out = hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"), *names)
+    out = hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"))
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(F.col(a).alias(c) for c, a in zip(keep or [], names, strict=True)))
+    return out
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, n: int = WINDOW, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
