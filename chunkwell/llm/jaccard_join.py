@@ -11,7 +11,8 @@ window reaches over its first ``floor((1 - t) n) + 1`` pivots, and any two linke
 each other, so every window would hold everything.)
 
 Inside regions the join goes on with documents as pivots.  The member with the smallest hash is a region's centre; regions
-with the same centre are one.  A region of at most ``BLOCK`` members is compared in one task, which returns a spanning
+with the same centre are one.  Members that can't link by the counts of their shingles in hash buckets, a bound on what two sets
+have in common, leave first.  A region of at most ``BLOCK`` members is compared in one task, which returns a spanning
 forest of its links.  A larger one is dealt into parts, each with a copy of the centre: a part returns its forest and the
 distance of each member to the centre.  Then members are dealt anew into zones of that distance, and by the
 triangle inequality only blocks of the same or of neighbouring zones are compared, and of those only blocks that do
@@ -40,7 +41,7 @@ from .common import bounded_batches, materialise
 from .components import components
 
 WORDS, PERCENT = 3, 90
-SLOTS, BLOCK, DENSE = 1 << 18, 512, 24
+SLOTS, BLOCK, DENSE, BUCKETS, BROADCAST_REGIONS = 1 << 18, 512, 24, 128, 400_000
 _CACHE: dict[bytes, int] = {}
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -111,28 +112,40 @@ def word_table(docs: DataFrame) -> np.ndarray:
 
 
 def described(docs: DataFrame, table, k: int, percent: int) -> DataFrame:
-    """doc_id, n, sig (of the whole set), pivots: the window's shingles, nearest region first."""
+    """doc_id, n, sig (of the whole set), pivots (the window's shingles, nearest region first), hist (shingles in each of BUCKETS hash
+    buckets)."""
 
     def run(batches):
         rarity = table.value
         for b in batches:
-            size, sigs, pivots = [], [], []
+            size, sigs, pivots, hists = [], [], [], []
             for t in b.column(1).to_pylist():
                 h = word_hashes(words(t))
                 s, low = shingles(h, k, rarity) if len(h) else (h, h)
                 size.append(len(s))
                 sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 pivots.append(s[np.lexsort((s, low))][: window_size(len(s), percent)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(sigs, pa.binary()), pa.array(pivots, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "pivots"])
+                hists.append(np.bincount((s >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(sigs, pa.binary()), pa.array(pivots, pa.list_(pa.int64())), pa.array(hists, pa.binary())], ["doc_id", "n", "sig", "pivots", "hist"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, pivots array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, sig binary, pivots array<long>, hist binary")
 
 
-def may_link(a, b, percent: int):
-    """Whether sizes and places in the order allow two sets that share a shingle to link.  a, b: structs of n and i."""
-    need = F.ceil(percent * (a["n"] + b["n"]) / F.lit(100.0 + percent) - 1e-9)
-    room = F.least(a["i"], b["i"]) + F.least(a["n"] - a["i"], b["n"] - b["i"])
-    return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & (room >= need)
+def sieve(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (c, x, hist): the members of each region that may have a link in it.  What two sets have in common is at most the sum of
+    the smaller counts over the buckets, so a pair that fails on that bound has no link."""
+
+    def run(key, t):
+        h = np.frombuffer(b"".join(t.column("hist").to_pylist()), "<u4").reshape(-1, BUCKETS).astype(np.int64)
+        n, keep = h.sum(1), np.zeros(len(h), bool)
+        for i in range(0, len(h), 32):
+            most = np.minimum(h[i : i + 32, None], h[None]).sum(2)
+            may = 100 * most >= percent * (n[i : i + 32, None] + n[None] - most)
+            may[np.arange(len(may)), np.arange(i, i + len(may))] = False
+            keep[i : i + 32] = may.any(1)
+        return t.select(["c", "x"]).filter(pa.array(keep))
+
+    return rows.groupBy("c").applyInArrow(run, "c long, x long")
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
@@ -201,8 +214,8 @@ def compare(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return whole.groupBy("c", "part").applyInArrow(run, "c long, a long, b long, d double")
 
 
-def linked_classes(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """node, component of the classes that have links.  members: (region p, class x).
+def linked_classes(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """node, component of the classes that have links.  members: (region p, class x); reps: (rep, hist).
 
     Regions with the same centre, the member with the smallest hash, are joined as one: near copies share their centre in nearly
     all their regions, so a member is sent once instead of once for each shingle.
@@ -212,9 +225,14 @@ def linked_classes(members: DataFrame, texts: DataFrame, k: int, percent: int) -
     joined = materialise(members.join(centres, "p").select("c", "x").distinct(), "joined")
     size = joined.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     joined = joined.join(size, "c")
+    small = sieve(joined.where("parts = 1").join(reps.select(F.col("rep").alias("x"), "hist"), "x").select("c", "x", "hist"), percent)
+    joined = materialise(joined.where("parts > 1").select("c", "x", "parts").unionByName(small.withColumn("parts", F.lit(1))), "sieved")
+    size = size.where("parts > 1")
+    wanted = joined.select(F.col("x").alias("rep")).union(size.select("c")).distinct()
+    texts = materialise(docs.join(wanted, docs.doc_id == wanted.rep).groupBy("rep").agg(F.first("text").alias("text")), "texts")
     own = joined.withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("string"))
     # the centre of a region of several parts is in each of them
-    copies = size.where("parts > 1").select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<string>")).alias("part"), F.col("c").alias("x"))
+    copies = size.select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<string>")).alias("part"), F.col("c").alias("x"))
     found = materialise(compare(own.select("c", "part", "x").unionByName(copies).distinct(), texts, k, percent), "compared")
     edges = found.where("b is not null").select("a", "b")
     comps = None if edges.isEmpty() else materialise(components(edges), "comps")
@@ -243,6 +261,15 @@ def linked_classes(members: DataFrame, texts: DataFrame, k: int, percent: int) -
     return comps if new.isEmpty() else materialise(components(new), "comps")
 
 
+def shared_regions(spread: DataFrame) -> DataFrame:
+    """Rows (p, x) of regions with two classes or more.  Most have two, and those are the smallest and the largest of the region."""
+    shared = materialise(spread.groupBy("p").agg(F.count("*").alias("size"), F.min("x").alias("low"), F.max("x").alias("high")).where("size > 1"), "shared")
+    two = shared.where("size = 2").select("p", F.explode(F.array("low", "high")).alias("x"))
+    many = shared.where("size > 2").select("p")
+    more = spread.join(F.broadcast(many) if many.count() <= BROADCAST_REGIONS else many, "p", "left_semi").select("p", "x")
+    return materialise(two.unionByName(more), "members")
+
+
 def jaccard_components(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of df."""
     spark = df.sparkSession
@@ -251,16 +278,9 @@ def jaccard_components(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id
     table = spark.sparkContext.broadcast(word_table(docs))
     kept = materialise(described(docs, table, k, percent), "shingled")
     classes = kept.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    reps = kept.join(classes, (kept.sig == classes.sig) & (kept.doc_id == classes.rep)).groupBy("rep").agg(F.first("n").alias("n"), F.first("pivots").alias("pivots"))
-    spread = reps.select(F.col("rep").alias("x"), "n", F.posexplode("pivots").alias("i", "p"))
-    # regions of one class are empty work; one of two is if they can't link
-    place = F.struct("n", "i", "x")
-    shared = spread.groupBy("p").agg(F.count("*").alias("size"), F.min(place).alias("a"), F.max(place).alias("b")).where("size > 1")
-    shared = shared.where((F.col("size") > 2) | may_link(F.col("a"), F.col("b"), percent)).select("p")
-    members = materialise(spread.join(shared, "p").select("p", "x"), "members")
-    wanted = members.select(F.col("x").alias("rep")).distinct()
-    texts = materialise(docs.join(wanted, docs.doc_id == wanted.rep).groupBy("rep").agg(F.first("text").alias("text")), "texts")
-    comps = linked_classes(members, texts, k, percent)
+    reps = kept.join(classes, (kept.sig == classes.sig) & (kept.doc_id == classes.rep)).groupBy("rep").agg(F.first("pivots").alias("pivots"), F.first("hist").alias("hist"))
+    members = shared_regions(reps.select(F.col("rep").alias("x"), F.explode("pivots").alias("p")))
+    comps = linked_classes(members, reps, docs, k, percent)
     named = classes if comps is None else classes.join(comps, classes.rep == comps.node, "left").select("sig", F.coalesce("component", "rep").alias("rep"))
     out = kept.select("doc_id", "n", "sig").join(named, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
