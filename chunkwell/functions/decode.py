@@ -34,7 +34,11 @@ def unshuffle(raw: bytes, size: int) -> bytes:
     n = len(raw) // size
     if size == 1:
         return raw
-    return np.frombuffer(raw, np.uint8, n * size).reshape(size, n).T.tobytes() + bytes(len(raw) - n * size)
+    planes = np.frombuffer(raw, np.uint8, n * size).reshape(size, n)
+    out = np.empty((n, size), np.uint8)
+    for k in range(size):  # plane by plane: several times as fast as one transposition
+        out[:, k] = planes[k]
+    return out.tobytes() + bytes(len(raw) - n * size)
 
 
 def check_filters(filters: tuple[Filter, ...], chunked: bool) -> None:

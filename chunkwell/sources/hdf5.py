@@ -323,8 +323,7 @@ class ArrayReader(DataSourceReader):
             end = min(len(flat), at + BATCH_ROWS)
             columns = [pa.array([part.file] * (end - at))] * ("file" in names)
             if coords and dims:
-                places = np.unravel_index(np.arange(at, end), dims) if len(dims) > 1 else (np.arange(at, end),)
-                columns += [pa.array(p.astype(np.int64) + a) for p, (a, _) in zip(places, box, strict=True)]
+                columns += [pa.array(p) for p in places(at, end, box)]
             yield pa.RecordBatch.from_arrays([*columns, self._values(source, part, flat[at:end], cache)], names)
 
     def _rows(self, source: ByteSource, part: ArrayPart, blocks, cache: dict) -> Iterator[pa.RecordBatch]:
@@ -343,7 +342,7 @@ class ArrayReader(DataSourceReader):
                 end = min(rows, at + step)
                 columns = [pa.array([part.file] * (end - at))] * ("file" in names)
                 if dims:
-                    columns += [pa.array(p.astype(np.int64) + a) for p, (a, _) in zip(np.unravel_index(np.arange(at, end), dims), outer, strict=True)]
+                    columns += [pa.array(p) for p in places(at, end, outer)]
                 values = self._values(source, part, flat[at:end].reshape(-1), cache)
                 columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, (end - at + 1) * n, n or 1)[: end - at + 1], pa.int32()), values))
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -358,6 +357,18 @@ class ArrayReader(DataSourceReader):
             yield from emit()
 
 
+def places(at: int, end: int, box: selection.Box) -> list[np.ndarray]:
+    """Index columns of the elements from at to end of a box in row-major order."""
+    rest, out = np.arange(at, end), []
+    for d in range(len(box) - 1, 0, -1):
+        a, z = box[d]
+        rest, own = np.divmod(rest, z - a)
+        own += a
+        out.append(own)
+    out.append(rest + box[0][0])
+    return out[::-1]
+
+
 class PushingReader(ArrayReader):
     """Turns comparisons of index columns with numbers into bounds of the selection.
 
