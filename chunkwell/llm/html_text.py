@@ -38,6 +38,8 @@ NOT_TEXT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscri\w*|paywall|alert|toast|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|widget\w*|related|recommend\w*|share\w*|social\w*|comments?|commentlist|disqus|respond|replies|reply|discussion|footer\w*|foot|header|masthead|topbar|toolbar|pagination|pager|login|signup|search\w*|skip\w*)(?=$|[\s_-])",
     re.I,
 )
+#: Says what an element goes with or goes without, not what it is.
+BESIDE = re.compile(r"\b(?:has|with|no|without|hide|show|is)[-_][\w-]*", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Share of link text that makes a block a list of links.
 LINKED = 0.6
@@ -47,13 +49,13 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("attrs", "c", "cut", "density", "items", "lc", "lt", "parent", "sum", "t", "tag")
+    __slots__ = ("attrs", "c", "cut", "density", "holds", "items", "lc", "lt", "parent", "sum", "t", "tag")
 
     def __init__(self, tag: str, parent=None, attrs: str = ""):
         self.tag, self.parent, self.attrs, self.items = tag, parent, attrs, []
         self.c = self.t = self.lc = self.lt = 0
         self.density = self.sum = 0.0
-        self.cut = False
+        self.cut = self.holds = False  # holds: an article or main element lies below
 
 
 def parse(page: str) -> Node:
@@ -92,6 +94,9 @@ def parse(page: str) -> Node:
             if up.tag in ENDS[tag]:
                 node = up.parent
         child = Node(tag, node, m[3])
+        up = node if tag in ("article", "main") else None
+        while up is not None and not up.holds:
+            up.holds, up = True, up.parent
         node.items.append(child)
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "math"):
             continue
@@ -107,12 +112,12 @@ def parse(page: str) -> Node:
 def boilerplate(n: Node) -> bool:
     if n.tag in CUT:
         return n.tag != "header" or not inside(n, "article")
-    if not n.attrs or n.tag in ("html", "body", "article", "main"):
+    if not n.attrs or n.tag in ("html", "body", "article", "main") or n.holds:
         return False
     for m in _ATTR.finditer(n.attrs):
         k = m[1].lower()
         v = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
-        if k in ("class", "id") and NOT_TEXT.search(v) or k == "role" and v.lower() in ROLES or k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v):
+        if k in ("class", "id") and (word := NOT_TEXT.search(BESIDE.sub(" ", v))) and not ("header" in word[0].lower() and inside(n, "article")) or k == "role" and v.lower() in ROLES or k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v):
             return True
     return False
 

@@ -453,6 +453,11 @@ def test_html_without_article():
     <div><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></div><ul><li>item one<li>item two</ul></div><div class="sidebar"><p>Side text</p></div></div>
     <div id="comments"><p>A reader's very long comment that is longer than everything else here, and goes on and on until it ends somewhere.</p></div><form><p>Subscribe</p></form>"""
     assert html_text.extract(page) == "Title\nFirst para & text long enough to be the main one of all.\nSecond para with a bold word and more words here, plenty of them.\nitem one\nitem two"
+    wrapped = """<body class="nav-open"><div class="page with-sidebar"><div id="sidebar-layout"><div class="article-header header">Top</div><main><article><div class="post-header"><h1>Head</h1></div>
+    <p>Body words.</p><div class="share-buttons">Share</div><section class="comments"><p>Comment</p></section></article></main><aside>Side</aside></div></div></body>"""
+    assert html_text.extract(wrapped) == "Head\nBody words."
+    plain = "<div class='layout no-sidebar'><p>Only words of an article that has no other mark than this one.</p><p>More of them.</p></div><ul class='menu'><li>one</li></ul>"
+    assert html_text.extract(plain) == "Only words of an article that has no other mark than this one.\nMore of them."
     assert html_text.extract(None) == html_text.extract("") == html_text.extract("<script>var a = '<p>x</p>'</script>") == ""
     assert html_text.extract("only words &lt;here&gt;") == "only words <here>"
     assert html_text.extract("<p>a" + "<div>" * 3000 + "deep words</p>").endswith("deep words")
