@@ -119,14 +119,15 @@ def mixed(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
 def learning_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, parts: int, held: int) -> DataFrame:
     """Rows with a language outside the held-out fold, at most DOCS_PER_LANG of each language, chosen by a hash of the id."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") <= MAX_DOC_BYTES) & (id_bucket_col(F.col("doc_id"), parts) != held))
+    rows = rows.where(F.col("lang").isNotNull() & (id_bucket_col(F.col("doc_id"), parts) != held))
+    # ids are chosen without reading texts
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return rows
     share = reduce(lambda a, b: a | b, [(F.col("lang") == lang) & hash_share("doc_id", n, DOCS_PER_LANG) for lang, n in counts.items()])
     order = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), F.col("doc_id"))
     keys = rows.select("doc_id", "lang").where(share).withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS_PER_LANG).select("doc_id", "lang")
-    return rows.join(F.broadcast(keys), ["doc_id", "lang"], "left_semi")
+    return rows.where(F.octet_length("text") <= MAX_DOC_BYTES).join(F.broadcast(keys), ["doc_id", "lang"], "left_semi")
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, held: int = 2) -> Model | None:

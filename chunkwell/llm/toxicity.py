@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, hash_sample, id_bucket, id_bucket_col
 
 POSITIVES, UNLABELLED, MAX_DOC_BYTES, PREFIXES = 2000, 4000, 65_536, (4, 5, 6)
-SCREEN_Z, SCREEN_RATIO, SUPPORT = 5.0, 2.5, 0.01
-EPOCHS, BATCHES, RATE, SHRINK, CLIP = 60, 8, 0.05, 5e-4, 1e-6
+SCREEN_Z, SCREEN_RATIO, SUPPORT = 5.0, 2.5, 0.02
+EPOCHS, BATCHES, RATE, SHRINK, CLIP = 60, 8, 0.05, 1e-3, 1e-6
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -122,7 +122,8 @@ def train(positive: list[str], unlabelled: list[str], prior: float, seed: int =
     size, rng = len(names), np.random.default_rng(seed)
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v, step = np.zeros(size + 1), np.zeros(size + 1), 0
-    for _ in range(EPOCHS):
+    mean_w, mean_b, kept = np.zeros(size), 0.0, 0
+    for epoch in range(EPOCHS):
         order_p, order_u = rng.permutation(len(rows_p)), rng.permutation(len(rows_u))
         for k in range(BATCHES):
             p = Sparse([rows_p[i] for i in order_p[k::BATCHES]])
@@ -143,6 +144,9 @@ def train(positive: list[str], unlabelled: list[str], prior: float, seed: int =
             move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + CLIP)
             w, b = w - move[:-1], b - move[-1]
             w = np.maximum(w - SHRINK, 0)  # screened features speak for toxicity or not at all
+        if epoch >= EPOCHS // 2:  # the mean of the later epochs is steadier than the last one
+            mean_w, mean_b, kept = mean_w + w, mean_b + b, kept + 1
+    w, b = mean_w / kept, mean_b / kept
     return Model({names[i]: float(w[i]) for i in np.flatnonzero(w)}, b - cut(Sparse(rows_p).dot(w) + b, Sparse(rows_u).dot(w) + b, prior))
 
 
@@ -159,20 +163,22 @@ def cut(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 5, held: int = 0) -> Model:
-    """P: labelled toxic rows of the learning fold; U: rows of the learning fold without a toxic label of 1."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (id_bucket_col(F.col("doc_id"), parts) != held))
-    docs = docs.where(F.octet_length("text") <= MAX_DOC_BYTES)
-    known = labels.select(F.col("doc_id"), F.col("toxic")).where(F.col("toxic").isNotNull() & (id_bucket_col(F.col("doc_id"), parts) != held))
+    """P: toxic rows of the learning fold; U: any rows of it, whose labels are not looked at."""
+    learn = id_bucket_col(F.col("doc_id"), parts) != held
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(learn)
+    known = labels.select(F.col("doc_id"), F.col("toxic")).where(F.col("toxic").isNotNull() & learn)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first().p
     if not share:
         return Model({}, -60.0)
     prior = min(max(share, 0.01), 0.5)
-    chosen = hash_sample(known.where("toxic = 1").select("doc_id"), "doc_id", POSITIVES)
-    toxic = [r.text for r in docs.join(F.broadcast(chosen), "doc_id", "left_semi").orderBy("doc_id").collect()]
-    order = hash_sample(docs.select("doc_id"), "doc_id", UNLABELLED, 1).distinct()
-    plain = [r.text for r in docs.join(F.broadcast(order), "doc_id", "left_semi").orderBy("doc_id").collect()]
-    return train(toxic[: 2 * POSITIVES], plain[: 2 * UNLABELLED], prior)
+    # ids are sampled without reading texts; one pass then brings the texts of both samples
+    chosen = hash_sample(known.where("toxic = 1").select("doc_id"), "doc_id", POSITIVES).withColumn("p", F.lit(1))
+    chosen = chosen.unionByName(hash_sample(docs.select("doc_id"), "doc_id", UNLABELLED, 1).withColumn("p", F.lit(0)))
+    chosen = chosen.groupBy("doc_id").agg(F.max("p").alias("p"), F.min("p").alias("u"))
+    rows = docs.where(F.octet_length("text") <= MAX_DOC_BYTES).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "p", "u").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.text))
+    return train([r.text for r in rows if r.p == 1][: 2 * POSITIVES], [r.text for r in rows if r.u == 0][: 2 * UNLABELLED], prior)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", parts: int = 5, held: int = 0) -> DataFrame:
