@@ -94,6 +94,17 @@ def list_chunks(spark: SparkSession, path: str, **options) -> DataFrame:
     return read(spark, path, "chunks", **options)
 
 
+def attr(spark: SparkSession, path: str, name: str, object: str = ""):
+    """The first attribute of that name, as a value with as_str, as_strs, as_ints and as_floats; None if there is none."""
+    from .fmt.file import H5File
+    from .functions.attributes import decode
+    from .sources.hdf5 import files_of
+
+    with H5File(files_of(path)[0]) as f:
+        found = next((a for a in f.attributes(object) or [] if a.name == name), None)
+        return None if found is None else decode(f.source, found)
+
+
 def io_stats(spark: SparkSession, path: str, dataset: str, **options) -> DataFrame:
     """What reading a dataset costs: requests and bytes of each partition."""
     return read(spark, path, "io", dataset=dataset, **options)

@@ -10,6 +10,7 @@ import struct
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -568,6 +569,30 @@ _after("functions_mixed", "SELECT n_nationkey, upper(n_name) AS big, CAST(length
 _after("pivot_counts", "SELECT o_orderpriority, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS pending, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS done FROM orders GROUP BY o_orderpriority")
 
 
+_after("join_cross", "SELECT a.r_regionkey AS a, b.r_regionkey AS b FROM region a CROSS JOIN region b")
+_after("set_union_all", "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey AS k FROM region")
+_after("set_except_all", "SELECT n_regionkey AS k FROM nation EXCEPT ALL SELECT r_regionkey AS k FROM region")
+_after("aggregate_percentile", "SELECT user_id, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS high FROM ev GROUP BY user_id", "SELECT user_id, round(percentile(value, 0.5), 6) AS median, round(percentile(value, 0.9), 6) AS high FROM ev GROUP BY user_id")
+_after("window_range_frame", "SELECT i0, user_id, count(*) OVER (PARTITION BY user_id ORDER BY i0 RANGE BETWEEN 100 PRECEDING AND CURRENT ROW) AS near FROM ev")
+_after(
+    "session_windows",
+    "SELECT user_id, count(*) AS n, min(ts) AS first FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, g",
+    "SELECT user_id, count(*) AS n, min(ts) AS first FROM (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts FROM events) GROUP BY user_id, session_window(ts, '1 hour')",
+)
+
+
+@query("SELECT user_id, round(max(value) - min(value), 6) AS spread FROM events GROUP BY user_id")
+def grouped_python_aggregate(spark, sf_dir):
+    """A grouped aggregate of one's own, in Arrow batches."""
+    @F.pandas_udf("double")
+    def spread(v: pd.Series) -> float:
+        return float(v.max() - v.min())
+
+    path = events(spark, sf_dir)
+    both = arrays.assemble({c: api.read(spark, path, dataset=f"/events/{c}") for c in ("user_id", "value")})
+    return both.groupBy("user_id").agg(F.round(spread("value"), 6).alias("spread"))
+
+
 @query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf_dir):
     """A stream over the events file, drained; complete mode, so every window is in the result."""

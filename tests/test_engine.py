@@ -99,6 +99,14 @@ def test_modes(spark, tmp_path, latest):
     assert sum(r.requests for r in stats) >= 1 and sum(r.bytes for r in stats) > 0
 
 
+def test_attr(spark, tmp_path):
+    w = Writer()
+    w.dataset("/x", np.arange(3), {"n": np.array([1, 2], "i4"), "s": Vl(["one"])})
+    path = w.save(f"{tmp_path}/f.h5")
+    assert api.attr(spark, path, "n", "x").as_ints() == [1, 2] and api.attr(spark, path, "s", "x").as_str() == "one"
+    assert api.attr(spark, path, "no", "x") is None and api.attr(spark, path, "n", "nowhere") is None
+
+
 def test_errors_name_their_kind(spark, tmp_path):
     api.register(spark)
     path = file(tmp_path, x=(np.arange(10, dtype="u4"), {}), z=(np.arange(10, dtype="u4"), {"chunk": (5,), "filters": [(32015, (1,))]}))
