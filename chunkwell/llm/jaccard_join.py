@@ -41,7 +41,7 @@ from .common import bounded_batches, materialise
 from .components import components
 
 WORDS, PERCENT = 3, 90
-SLOTS, BLOCK, DENSE, BUCKETS, BROADCAST_REGIONS = 1 << 18, 512, 24, 128, 400_000
+SLOTS, BLOCK, DENSE, BUCKETS, BROADCAST_REGIONS, BROADCAST_IDS = 1 << 18, 512, 24, 128, 400_000, 1_000_000
 _CACHE: dict[bytes, int] = {}
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -229,7 +229,8 @@ def linked_classes(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int,
     joined = materialise(joined.where("parts > 1").select("c", "x", "parts").unionByName(small.withColumn("parts", F.lit(1))), "sieved")
     size = size.where("parts > 1")
     wanted = joined.select(F.col("x").alias("rep")).union(size.select("c")).distinct()
-    texts = materialise(docs.join(wanted, docs.doc_id == wanted.rep).groupBy("rep").agg(F.first("text").alias("text")), "texts")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = materialise(docs.join(wanted, F.col("doc_id") == F.col("rep")).groupBy("rep").agg(F.first("text").alias("text")), "texts")
     own = joined.withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("string"))
     # the centre of a region of several parts is in each of them
     copies = size.select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<string>")).alias("part"), F.col("c").alias("x"))
@@ -280,7 +281,7 @@ def jaccard_components(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id
     # one row of each class, picked by an aggregate that combines copies before the shuffle
     known = kept.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min_by(F.struct("doc_id", "pivots", "hist"), "doc_id").alias("r"))
     known = materialise(known.select("sig", F.col("r.doc_id").alias("rep"), "r.pivots", "r.hist"), "classes")
-    classes, reps = known.select("sig", "rep"), known.dropDuplicates(["rep"])
+    classes, reps = known.select("sig", "rep"), known  # an id with several texts has several rows here, which meet as one member
     members = shared_regions(reps.select(F.col("rep").alias("x"), F.explode("pivots").alias("p")))
     comps = linked_classes(members, reps, docs, k, percent)
     named = classes if comps is None else classes.join(comps, classes.rep == comps.node, "left").select("sig", F.coalesce("component", "rep").alias("rep"))

@@ -536,3 +536,9 @@ def test_sql(spark):
         assert sorted(want.columns) == names
         at = [want.columns.index(n) for n in names]
         assert collections.Counter(tuple(r[i] for i in at) for r in want.fetchall()) == collections.Counter(tuple(r) for r in df.select(*names).collect())
+
+
+def test_jaccard_ids_with_several_texts(spark):
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "a b c d e f"), (3, "u v w x y z"), (3, "u v w x y z")]
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 4, 1), (1, 4, 1), (2, 4, 1), (3, 4, 1), (3, 4, 1)]
