@@ -23,7 +23,7 @@ Shingles are hashed to 64 bits from the words' own 64-bit hashes.
 Defined cases: lower-casing is of A-Z; words are what ASCII white space separates; a text with fewer
 words than a shingle is one shingle; null and wordless texts have no shingle and link with nothing;
 repeated rows are one class; where one id comes with several texts, each row keeps its own count and
-the id's component follows one of them; a null id takes no part in links and comes back as its own row.
+the id's component follows the longest of them; a null id takes no part in links and comes back as its own row.
 """
 
 from __future__ import annotations
@@ -202,11 +202,11 @@ def compare(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
         inter = common(sets)
         n = np.array([len(s) for s in sets])
         total = n[:, None] + n[None, :] - inter
-        linked = 100 * inter >= percent * total
+        linked = (100 * inter >= percent * total) & (total > 0)
         edges = [(c, int(xs[i]), int(xs[j]), None) for i, j in forest(linked)]
         at = np.flatnonzero(xs == c)
         if len(at):
-            d = 1 - inter[at[0]] / total[at[0]]
+            d = 1 - inter[at[0]] / np.maximum(total[at[0]], 1)
             edges += [(c, int(x), None, float(v)) for x, v in zip(xs, d, strict=True)]
         cols = list(zip(*edges, strict=True)) or [(), (), (), ()]
         return pa.table([pa.array(v, kind) for v, kind in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["c", "a", "b", "d"])
@@ -230,7 +230,7 @@ def linked_classes(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int,
     size = size.where("parts > 1")
     wanted = joined.select(F.col("x").alias("rep")).union(size.select("c")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = materialise(docs.join(wanted, F.col("doc_id") == F.col("rep")).groupBy("rep").agg(F.first("text").alias("text")), "texts")
+    texts = materialise(docs.join(wanted, F.col("doc_id") == F.col("rep")).groupBy("rep").agg(F.max_by("text", F.struct(F.octet_length("text"), "text")).alias("text")), "texts")
     own = joined.withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("string"))
     # the centre of a region of several parts is in each of them
     copies = size.select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<string>")).alias("part"), F.col("c").alias("x"))

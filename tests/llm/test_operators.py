@@ -539,6 +539,6 @@ def test_sql(spark):
 
 
 def test_jaccard_ids_with_several_texts(spark):
-    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "a b c d e f"), (3, "u v w x y z"), (3, "u v w x y z")]
+    rows = [(1, "a b c d e f"), (1, "u v w x y"), (1, None), (1, " "), (2, "a b c d e f"), (3, "u v w x y"), (3, "u v w x y")]
     got = sorted(tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == [(1, 4, 1), (1, 4, 1), (2, 4, 1), (3, 4, 1), (3, 4, 1)]
+    assert got == [(1, 0, 1), (1, 0, 1), (1, 3, 1), (1, 4, 1), (2, 4, 1), (3, 3, 1), (3, 3, 1)]
