@@ -20,7 +20,10 @@ def home(spark: SparkSession) -> str:
     """In the shared folder if that is a local path, else in a folder of this machine (local mode)."""
     if not _HOME:
         shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
-        _HOME.append(tempfile.mkdtemp(prefix="chunkwell-h5-", dir=shared if shared.startswith("/") and os.path.isdir(shared) else None))
+        mounted = shared.startswith("/") and os.path.isdir(shared)
+        if not mounted and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a mounted folder that all executors share")
+        _HOME.append(tempfile.mkdtemp(prefix="chunkwell-h5-", dir=shared if mounted else None))
         atexit.register(shutil.rmtree, _HOME[0], True)
     return _HOME[0]
 
