@@ -92,3 +92,33 @@ def hash_sample(df: DataFrame, id_col: str, most: int, seed: int = 0) -> DataFra
     """At most most rows, those with the smallest hashes of their ids among about twice as many: a bounded training sample."""
     kept = df.where(hash_share(id_col, df.count(), most, seed))
     return kept.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(most)
+
+
+def release() -> None:
+    """Gives memory that Python no longer uses back to the system: workers are reused, so what one stage has freed would count
+    against the next."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run, *caches):
+    """A function of batches that empties its caches and gives memory back when a task ends.  caches: functions that return one."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for c in caches:
+                c().clear()
+            release()
+
+    return go

@@ -37,11 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, tidy
 from .components import components
 
 WORDS, PERCENT = 3, 90
 SLOTS, BLOCK, DENSE, BUCKETS, BROADCAST_REGIONS, BROADCAST_IDS = 1 << 18, 512, 24, 128, 400_000, 1_000_000
+CACHED_WORDS = 150_000
 _CACHE: dict[bytes, int] = {}
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -51,10 +52,15 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def cache() -> dict[bytes, int]:
+    """The words' hashes of this worker."""
+    return _CACHE
+
+
 def word_hashes(w: list[bytes]) -> np.ndarray:
     out = list(map(_CACHE.get, w))
     if None in out:
-        if len(_CACHE) > 400_000:
+        if len(_CACHE) > CACHED_WORDS:
             _CACHE.clear()
         for i, h in enumerate(out):
             if h is None:
@@ -106,7 +112,7 @@ def word_table(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 65536], pa.int32()), pa.array(seen[at[i : i + 65536]], pa.int64())], ["slot", "n"])
 
     out = np.zeros(SLOTS, np.int64)
-    for b in docs.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():
+    for b in docs.mapInArrow(tidy(run, cache), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():
         out[b.column(0).to_numpy()] = b.column(1).to_numpy()
     return out
 
@@ -128,7 +134,7 @@ def described(docs: DataFrame, table, k: int, percent: int) -> DataFrame:
                 hists.append(np.bincount((s >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(sigs, pa.binary()), pa.array(pivots, pa.list_(pa.int64())), pa.array(hists, pa.binary())], ["doc_id", "n", "sig", "pivots", "hist"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, pivots array<long>, hist binary")
+    return docs.mapInArrow(tidy(run, cache), "doc_id long, n long, sig binary, pivots array<long>, hist binary")
 
 
 def sieve(rows: DataFrame, percent: int) -> DataFrame:

@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded_batches, hash_share, id_bucket, id_bucket_col
+from .common import bounded_batches, hash_share, id_bucket, id_bucket_col, tidy
 
 ORDER, DOCS_PER_LANG, BYTES_PER_LANG, MAX_DOC_BYTES = 3, 400, 1_000_000, 65_536
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 256 << 10
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -189,7 +189,7 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
                 ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"],
             )
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), SCHEMA)
 
 
 def keep_known(df: DataFrame, model: Model | None, text_col: str = "text", max_bits_per_byte: float = 8.0) -> DataFrame:
@@ -207,4 +207,4 @@ def keep_known(df: DataFrame, model: Model | None, text_col: str = "text", max_b
             found = predict_texts(shared.value, b.column(at).to_pylist())
             yield b.filter(pa.array([x[0] != "und" and x[2] < max_bits_per_byte for x in found], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, tidy
 
 LENGTH, END_ID, SHARD_TOKENS, SHARD_DOCS = 2048, 1, 2_000_000, 4096
 QUERY_TERMS, NEIGHBOURS, K1, B = 24, 16, 1.2, 0.75
@@ -81,7 +81,7 @@ def encoded(df: DataFrame, json_path: str, ranks_path: str, id_col: str = "doc_i
             ids = [np.array([*enc.ids(t or ""), END_ID], kind).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, ids binary")
 
 
 def id_kind(json_path: str) -> type:
@@ -106,7 +106,7 @@ def frequencies(ids: DataFrame, kind: type) -> tuple[np.ndarray, int, int]:
         keys = np.concatenate([at, [-1, -2]])
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate([seen[at], [docs, tokens]]), pa.int64())], ["id", "n"])
 
-    rows = ids.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = ids.mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     found = {r.id: r.n for r in rows}
     table = np.zeros(max(found, default=0) + 1, np.int64)
     for k, n in found.items():
@@ -230,4 +230,4 @@ def pack(df: DataFrame, json_path: str, ranks_path: str, id_col: str = "doc_id",
         if docs:
             yield from flush()
 
-    return kept.mapInArrow(run, PIECES)
+    return kept.mapInArrow(tidy(run), PIECES)

@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hash_sample, id_bucket, id_bucket_col
+from .common import bounded_batches, hash_sample, id_bucket, id_bucket_col, tidy
 
 POSITIVES, UNLABELLED, MAX_DOC_BYTES, PREFIXES = 2000, 4000, 65_536, (4, 5, 6)
+KNOWN_WORDS = 100_000
 SCREEN_Z, SCREEN_RATIO, SUPPORT = 5.0, 2.5, 0.02
 EPOCHS, BATCHES, RATE, SHRINK, CLIP = 60, 8, 0.05, 1e-3, 1e-6
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -54,7 +55,7 @@ class Model:
         got = self.known.get(word)
         if got is None:
             got = tuple(x for x in (word if word in self.words else None, *(word[:k] + "~" for k in PREFIXES if len(word) >= k and word[:k] in self.prefixes[k])) if x)
-            if len(self.known) > 300_000:
+            if len(self.known) > KNOWN_WORDS:
                 self.known.clear()
             self.known[word] = got
         return got
@@ -195,7 +196,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 ["doc_id", "held_out", "score", "predicted"],
             )
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run, lambda: shared.value.known), SCHEMA)
 
 
 def keep_clean(df: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
@@ -209,4 +210,4 @@ def keep_clean(df: DataFrame, model: Model, text_col: str = "text", limit: float
         for b in batches:
             yield b.filter(pa.array([shared.value.score(t) < limit for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run, lambda: shared.value.known), df.schema)
