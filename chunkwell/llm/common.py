@@ -37,22 +37,44 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_SCOPES: list[list[str]] = []
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared one, deleted when the driver ends."""
+    """A fresh folder in the shared one, deleted at the end of the scope it was made in, or else when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+        return path
 
-    def drop() -> None:
+    def last() -> None:
         try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            drop(spark, path)
         except Exception:  # the JVM may be gone already at exit
             pass
 
-    atexit.register(drop)
+    atexit.register(last)
     return path
 
 
+def settled(spark: SparkSession, name: str, make) -> DataFrame:
+    """make()'s result as a table of the shared folder; the tables that make() wrote on the way are deleted."""
+    path = scratch_path(spark, name)
+    _SCOPES.append([])
+    try:
+        out = make()
+        out.write.parquet(path)
+    finally:
+        for p in _SCOPES.pop():
+            drop(spark, p)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives a lost executor."""
     spark = df.sparkSession

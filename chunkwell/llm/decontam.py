@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, words_of
+from .common import materialise, settled, words_of
 
 WINDOW, BLOCK_WORDS, BROADCAST_WINDOWS = 13, 20_000, 200_000
 
@@ -111,6 +111,10 @@ def covered(spans: Column) -> Column:
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return settled(docs.sparkSession, "contamination", lambda: _contamination(docs, items, n, id_col, text_col))
+
+
+def _contamination(docs: DataFrame, items: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     windows = item_windows(items, n)
     terms = vocabulary(windows)
     windows = with_pivots(windows, word_counts(docs, terms, text_col))

@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded_batches, materialise, tidy
+from .common import bounded_batches, materialise, settled, tidy
 from .components import components
 
 WORDS, PERCENT = 3, 90
-SLOTS, BLOCK, DENSE, BUCKETS, BROADCAST_REGIONS, BROADCAST_IDS = 1 << 18, 512, 24, 128, 400_000, 1_000_000
+SLOTS, BLOCK, DENSE, BUCKETS, BROADCAST_IDS = 1 << 18, 512, 24, 128, 1_000_000
 CACHED_WORDS = 150_000
 _CACHE: dict[bytes, int] = {}
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -269,18 +269,19 @@ def linked_classes(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int,
 
 
 def shared_regions(spread: DataFrame) -> DataFrame:
-    """Rows (p, x) of regions with two classes or more.  Most have two, and those are the smallest and the largest of the region."""
-    shared = materialise(spread.groupBy("p").agg(F.count("*").alias("size"), F.min("x").alias("low"), F.max("x").alias("high")).where("size > 1"), "shared")
-    two = shared.where("size = 2").select("p", F.explode(F.array("low", "high")).alias("x"))
-    many = shared.where("size > 2").select("p")
-    more = spread.join(F.broadcast(many) if many.count() <= BROADCAST_REGIONS else many, "p", "left_semi").select("p", "x")
-    return materialise(two.unionByName(more), "members")
+    """Rows (p, x) of regions with two classes or more: one shuffle of spread, whatever their number."""
+    counted = spread.withColumn("size", F.count("*").over(W.partitionBy("p")))
+    return materialise(counted.where("size > 1").select("p", "x"), "members")
 
 
 def jaccard_components(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of df."""
+    bounded_batches(df.sparkSession)
+    return settled(df.sparkSession, "jaccard", lambda: _components(df, k, percent, id_col, text_col))
+
+
+def _components(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = df.sparkSession
-    bounded_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = spark.sparkContext.broadcast(word_table(docs))
     kept = materialise(described(docs, table, k, percent), "shingled")

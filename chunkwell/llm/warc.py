@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, scratch_path
+from .common import bounded_batches, materialise, scratch_path, settled
 
 SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_ROWS = 16 << 10, 4 << 10, 1500
 VERSION, CRLF = b"WARC/1.1", b"\r\n"
@@ -267,7 +267,12 @@ def reassembled(parts: list[dict]) -> dict:
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write all pages to archives in the shared folder and return what reading them back gives."""
-    path = scratch_path(pages.sparkSession, "warc")
-    write_archives(pages, path, min_bytes)
-    return read_archives(pages.sparkSession, path, payloads=False)
+    """Write all pages to archives in the shared folder and return what reading them back gives, without payloads."""
+    spark = pages.sparkSession
+
+    def make() -> DataFrame:
+        path = scratch_path(spark, "warc")
+        write_archives(pages, path, min_bytes)
+        return read_archives(spark, path, payloads=False)
+
+    return settled(spark, "warc-read", make)
