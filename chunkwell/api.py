@@ -24,6 +24,8 @@ def register(spark: SparkSession) -> SparkSession:
 
 def read(spark: SparkSession, path: str, mode: str = "array", **options) -> DataFrame:
     reader = spark.read.format("hdf5").option("path", path).option("mode", mode)
+    if mode not in CATALOG:
+        options.setdefault("parallelism", spark.sparkContext.defaultParallelism)
     for k, v in options.items():
         reader = reader.option(k, str(v).lower() if isinstance(v, bool) else v)
     return reader.load()

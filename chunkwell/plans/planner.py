@@ -51,10 +51,11 @@ def pieces(ds: Dataset, box: Box, options: ReadOptions) -> list[list[Piece]]:
 
 def _contiguous(ds: Dataset, box: Box, width: int, options: ReadOptions) -> list[list[Piece]]:
     steps = selection.strides(ds.shape)
+    most = max(1, options.target(selection.volume(box) * width) // width)
     if ds.layout.address == UNDEFINED:
-        return [[Piece(b, tuple(a for a, _ in b), tuple(y - x for x, y in b))] for b in _slabs(box, max(1, options.partition // width))]
+        return [[Piece(b, tuple(a for a, _ in b), tuple(y - x for x, y in b))] for b in _slabs(box, most)]
     out = []
-    for b in _slabs(box, max(1, options.partition // width), steps):
+    for b in _slabs(box, most, steps):
         # bytes from the first to the last selected element, as whole rows of the leading dimensions that vary
         first = sum(a * s for (a, _), s in zip(b, steps, strict=True))
         last = sum((z - 1) * s for (_, z), s in zip(b, steps, strict=True))
@@ -83,7 +84,8 @@ def _chunked(ds: Dataset, box: Box, width: int, options: ReadOptions) -> list[li
         if c.address != UNDEFINED:
             stored.setdefault(c.offsets, c)
     out = []
-    for group in group_requests(sorted(stored.values(), key=lambda c: c.address), options.gap, options.partition):
+    span = options.target(sum(c.size for c in stored.values()))
+    for group in group_requests(sorted(stored.values(), key=lambda c: c.address), options.gap, span):
         out.append([Piece(selection.intersect(box, _extent(c.offsets, chunk, ds.shape)), c.offsets, chunk, c.address, c.size, c.mask) for c in group])
     # cells of the grid without a chunk
     touched = math.prod(-(-z // c) - a // c for (a, z), c in zip(box, chunk, strict=True))

@@ -23,10 +23,17 @@ class ReadOptions:
     partition: int = 32 << 20
     concurrency: int = 16
     inflight: int = 32 << 20
+    parallelism: int = 0  # tasks that a scan should have at least, if it is large enough
+
+    def target(self, total: int) -> int:
+        """Bytes of a partition of a scan of total bytes."""
+        if not self.parallelism:
+            return self.partition
+        return max(min(self.partition, -(-total // self.parallelism)), min(self.partition, 1 << 20))
 
     @classmethod
     def of(cls, options: dict[str, str]) -> ReadOptions:
-        names = {"block": "metadata_block", "cache": "metadata_cache", "span": "max_span", "gap": "max_gap", "partition": "partition_bytes", "concurrency": "io_concurrency", "inflight": "max_inflight_bytes"}
+        names = {"block": "metadata_block", "cache": "metadata_cache", "span": "max_span", "gap": "max_gap", "partition": "partition_bytes", "concurrency": "io_concurrency", "inflight": "max_inflight_bytes", "parallelism": "parallelism"}
         return cls(**{k: int(options[o]) for k, o in names.items() if o in options})
 
 
