@@ -83,6 +83,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that may be broadcast: 8 bytes each.
+BROADCAST_IDS = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A table of ids or pairs of ids, marked for a broadcast if it has at most BROADCAST_IDS rows; beyond that Spark shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, settled, words_of
+from .common import materialise, settled, small_side, words_of
 
 WINDOW, BLOCK_WORDS, BROADCAST_WINDOWS = 13, 20_000, 200_000
 
@@ -163,4 +163,4 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, n: int = WIN
 def keep_clean(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of documents that are not contaminated, with all their columns."""
     bad = contamination(docs.select(id_col, text_col), items, n, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+    return docs.join(small_side(bad), docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")

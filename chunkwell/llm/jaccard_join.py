@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded_batches, materialise, settled, tidy
+from .common import bounded_batches, materialise, settled, small_side, tidy
 from .components import components
 
 WORDS, PERCENT = 3, 90
-SLOTS, BLOCK, DENSE, BUCKETS, BROADCAST_IDS = 1 << 18, 512, 24, 128, 1_000_000
+SLOTS, BLOCK, DENSE, BUCKETS = 1 << 18, 512, 24, 128
 CACHED_WORDS = 150_000
 _CACHE: dict[bytes, int] = {}
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -199,7 +199,7 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
 def compare(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """rows (c, part, x): groups of at most 2 BLOCK members and a centre.  a, b: a spanning forest of the links in each group; and
     (c, x, d): the distance of each member to the centre if that is in the group, as rows with a null b."""
-    whole = rows.join(texts.select(F.col("rep").alias("x"), "text"), "x").select("c", "part", "x", "text")
+    whole = texts.select(F.col("rep").alias("x"), "text").join(small_side(materialise(rows, "groups")), "x").select("c", "part", "x", "text")
 
     def run(key, t):
         c = t.column("c")[0].as_py()
@@ -235,8 +235,9 @@ def linked_classes(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int,
     joined = materialise(joined.where("parts > 1").select("c", "x", "parts").unionByName(small.withColumn("parts", F.lit(1))), "sieved")
     size = size.where("parts > 1")
     wanted = joined.select(F.col("x").alias("rep")).union(size.select("c")).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = materialise(docs.join(wanted, F.col("doc_id") == F.col("rep")).groupBy("rep").agg(F.max_by("text", F.struct(F.octet_length("text"), "text")).alias("text")), "texts")
+    texts = materialise(docs.join(small_side(wanted), F.col("doc_id") == F.col("rep")).select("rep", "text"), "texts")
+    if not texts.groupBy("rep").count().where("count > 1").isEmpty():  # repeated rows of an id: its longest text
+        texts = materialise(texts.groupBy("rep").agg(F.max_by("text", F.struct(F.octet_length("text"), "text")).alias("text")), "texts")
     own = joined.withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("string"))
     # the centre of a region of several parts is in each of them
     copies = size.select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<string>")).alias("part"), F.col("c").alias("x"))
@@ -301,7 +302,7 @@ def keep_one(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str
     without an id stays."""
     comps = jaccard_components(df.select(id_col, text_col), k, percent, id_col, text_col)
     gone = comps.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = df.join(gone, df[id_col].cast("long") == F.col("__gone"), "left_anti")
+    left = df.join(small_side(gone), df[id_col].cast("long") == F.col("__gone"), "left_anti")
     # repeats of a kept id are few: only their rows are compared
     repeats = materialise(comps.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")), "repeats")
     if repeats.isEmpty():
