@@ -379,7 +379,7 @@ def stored_cells(spark, sf_dir):
 @query("SELECT id, count(DISTINCT (vec_id // 128, (k - 1) // 24)) AS chunks FROM embeddings, (SELECT unnest(range(1, 65)) AS k), (VALUES (1, 0, 200, 10, 30), (2, 130, 131, 0, 64), (3, 0, 10000000, 23, 25)) AS s(id, a, b, c, d) WHERE vec_id >= a AND vec_id < b AND k - 1 >= c AND k - 1 < d GROUP BY id")
 def chunk_prune_count(spark, sf_dir):
     """Chunk boxes that each selection box overlaps."""
-    selections = spark.createDataFrame([(1, [0, 10], [200, 30]), (2, [130, 0], [131, 64]), (3, [0, 23], [10_000, 25])], "id int, lo array<bigint>, hi array<bigint>")
+    selections = spark.createDataFrame([(1, [0, 10], [200, 30]), (2, [130, 0], [131, 64]), (3, [0, 23], [10_000_000, 25])], "id int, lo array<bigint>, hi array<bigint>")
     chunks = api.list_chunks(spark, vectors(spark, sf_dir), dataset="/vectors")
     return arrays.touched(chunks, [128, 24], selections, 2).groupBy("id").agg(F.count("*").alias("chunks"))
 

@@ -45,6 +45,17 @@ def test_queries_without_sql(spark, sf, name):
     assert engine.QUERIES[name](spark, sf).count() > 0
 
 
+def test_chunk_prune_count_of_many_vectors(spark, tmp_path):
+    """More vectors than the first 10,000: the last selection box still covers them all, as in the SQL."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql("CREATE TABLE embeddings AS SELECT i AS vec_id, list_transform(range(0, 64), lambda k: CAST(k AS FLOAT)) AS embedding FROM range(0, 10300) AS t(i)")
+    c.sql(f"COPY embeddings TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    want = {tuple(r) for r in c.sql(engine.SQL["chunk_prune_count"]).fetchall()}
+    assert {(r.id, r.chunks) for r in engine.QUERIES["chunk_prune_count"](spark, str(tmp_path)).collect()} == want
+
+
 def file(tmp_path, latest=False, **datasets):
     w = Writer(latest)
     for name, (data, options) in datasets.items():
