@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialise, tidy
 
 LENGTH, END_ID, SHARD_TOKENS, SHARD_DOCS = 2048, 1, 2_000_000, 4096
-QUERY_TERMS, NEIGHBOURS, K1, B = 24, 16, 1.2, 0.75
+K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _LOADED: dict = {}
 
@@ -131,20 +131,13 @@ class Index:
         self.n = len(docs)
 
     def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
-        """Unused documents that share the seed's most telling ids, best first; ties by place."""
-        t = self.terms[seed]
-        if len(t) > QUERY_TERMS:
-            t = t[np.argpartition(-self.idf[t], QUERY_TERMS)[:QUERY_TERMS]]
-        parts = [slice(self.ends[x - 1] if x else 0, self.ends[x]) for x in t]
+        """All unused documents that share an id with the seed, best first; ties by place.  Every id of the seed counts."""
+        parts = [slice(self.ends[x - 1] if x else 0, self.ends[x]) for x in self.terms[seed].tolist()]
         doc = np.concatenate([self.doc[p] for p in parts])
         scores = np.bincount(doc, np.concatenate([self.weight[p] for p in parts]), self.n)
         scores[used] = 0
-        if self.n > NEIGHBOURS:
-            best = np.argpartition(-scores, NEIGHBOURS)[:NEIGHBOURS]
-        else:
-            best = np.arange(self.n)
-        best = best[scores[best] > 0]
-        return best[np.lexsort((best, -scores[best]))].tolist()
+        best = np.argsort(-scores, kind="stable")
+        return best[: np.count_nonzero(scores)].tolist()
 
 
 def chain(docs: list[np.ndarray], idf: np.ndarray, mean: float, length: int = LENGTH) -> list[int]:

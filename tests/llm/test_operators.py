@@ -222,6 +222,19 @@ def test_packing_prefers_neighbours():
     assert np.mean([order[i] % 5 == order[i + 1] % 5 for i in range(59)]) > 0.8
 
 
+def test_packing_fills_a_window_by_all_ids_of_its_seed():
+    """Long queries and short neighbours: the window takes the seed's neighbours in the order of the whole BM25 score."""
+    rng = np.random.default_rng(2)
+    docs = [np.append(rng.choice(400, 200 if i == 0 else 20, replace=False), 400).astype(np.uint16) for i in range(120)]
+    seen = np.bincount(np.concatenate([np.unique(d) for d in docs]))
+    idf, mean = np.log1p((120 - seen + 0.5) / (seen + 0.5)), np.mean([len(d) for d in docs])
+    score = [sum(idf[t] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in np.intersect1d(docs[0], d)) for d in docs]
+    want = sorted(range(1, 120), key=lambda i: (-round(score[i], 9), i))
+    got = packing.chain(docs, idf, mean)[1:]
+    full = (2048 - 201) // 21
+    assert len(got) == 119 and got[:full] == want[:full]
+
+
 def test_encoder_equals_library_on_all_code_points():
     t, e = tokenizer(), packing.Encoder(queries.TOKENIZER, queries.RANKS)
     texts = ["".join(f"a{chr(c)}1{chr(c)} {chr(c)}" for c in range(i, i + 64) if not 0xD800 <= c < 0xE000) for i in range(0, 0x30000, 64)]
