@@ -1,15 +1,18 @@
 """Lexical retrieval packing into sequences of at most 2048 tokens.
 
-Documents are encoded once; ids are kept in the shared folder.  Document frequencies of the tokenizer's ids, over all
-documents, give the weights of BM25; their table has as many entries as the vocabulary.  A shard
-is a run of neighbouring rows of at most ``SHARD_TOKENS`` tokens (or one longer document) within a
-scan partition, with an inverted index of its own.  In each shard a seed document opens a window; the
-index returns its unused neighbours, best first, which fill the window; the document that crosses the
-window's end is cut there, and its rest opens the next window and is the next seed.  Only the end of a
-shard can be short: it is cut into powers of two, which need no padding.
+Documents are encoded once; ids are kept in the shared folder, with numbers for the rows.  Document frequencies of the tokenizer's
+ids, over all documents, give the weights of BM25; their table has as many entries as the vocabulary.  A shard is a run of unused
+rows of at most ``SHARD_TOKENS`` tokens (or one longer document) within a scan partition, with an inverted index of its own.
 
-No document is shuffled, no group is gathered, and a shard bounds the memory of a task.  Sequence ids
-are the number of the scan partition and a running number, so a task that runs again gives the same.
+Packing goes by rounds.  Each open chain has a seed document.  All ids of all seeds are searched in every shard, the shards'
+top lists are merged, and each chain, in order, fills its window with its seed's best unused documents of the whole corpus.  A
+chain that gets a part of its window asks again with the same seed; the document that crosses the window's end is cut there, and
+its rest opens the next window and is the next seed.  The ends of chains are joined; only the end of these can be short: it is
+cut into powers of two, which need no padding.
+
+Texts are not shuffled; a shard bounds the memory of a task, ``FETCH`` rows a seed and task are shuffled in a round.  The driver
+holds 17 bytes a document.  The search compares each seed with each unused document, so its time grows with the square of the
+corpus.  Scan order decides ties and seeds, so a task that runs again gives the same.
 
 Defined cases: null and empty texts are one piece with the end id only; repeated rows are packed
 each; a null doc_id passes through.
@@ -27,10 +30,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import bounded_batches, materialise, tidy
 
-LENGTH, END_ID, SHARD_TOKENS, SHARD_DOCS = 2048, 1, 2_000_000, 4096
+LENGTH, END_ID, SHARD_TOKENS, SHARD_DOCS = 2048, 1, 4_000_000, 8192
+#: Seeds of a round at most, rounds at least, neighbours that a search brings (a seed asks again for more), queries scored at a time,
+#: and the share of a shard's documents from which an id's weights are a row of a matrix.
+ROUND_SEEDS, ROUNDS, FETCH, QUERY_BLOCK, DENSE = 8192, 8, 16, 128, 0.1
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _LOADED: dict = {}
@@ -71,17 +78,21 @@ def encoder(json_path: str, ranks_path: str) -> Encoder:
 
 
 def encoded(df: DataFrame, json_path: str, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids: little-endian unsigned 32-bit, cut to 16 bits where the vocabulary allows; with the end id."""
+    """doc_id, ids: little-endian unsigned 32-bit, cut to 16 bits where the vocabulary allows; with the end id.  part and place
+    number the rows: the scan's partition, and a running number in it."""
     bounded_batches(df.sparkSession)
 
     def run(batches):
         enc = encoder(json_path, ranks_path)
         kind = np.uint16 if enc.size <= 1 << 16 else np.uint32
+        part, place = TaskContext.get().partitionId(), 0
         for b in batches:
             ids = [np.array([*enc.ids(t or ""), END_ID], kind).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            where = [pa.array(np.full(len(ids), part, np.int64)), pa.array(np.arange(place, place + len(ids)))]
+            place += len(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), *where], ["doc_id", "ids", "part", "place"])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, ids binary")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, ids binary, part long, place long")
 
 
 def id_kind(json_path: str) -> type:
@@ -116,54 +127,94 @@ def frequencies(ids: DataFrame, kind: type) -> tuple[np.ndarray, int, int]:
 
 
 class Index:
-    """BM25 inverted index of one shard: postings of each id as slices of two arrays."""
+    """BM25 inverted index of one shard: postings of each id as slices of two arrays, ids of many documents as rows of a matrix."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
-        self.terms, self.idf = terms, idf
+        self.n, self.terms = len(docs), terms
         size = np.array([len(t) for t in terms])
-        term, doc, tf = np.concatenate(terms).astype(np.int64), np.repeat(np.arange(len(docs)), size), np.concatenate(counts)
+        term, doc, tf = np.concatenate(terms).astype(np.int64), np.repeat(np.arange(self.n), size), np.concatenate(counts)
         norm = K1 * (1 - B + B * np.array([len(d) for d in docs]) / mean)
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+        often = np.bincount(term, minlength=len(idf))
+        dense = np.flatnonzero(often > DENSE * self.n)
+        self.slot = np.full(len(idf), -1)
+        self.slot[dense] = np.arange(len(dense))
+        self.dense = np.zeros((len(dense), self.n), np.float32)
+        there = self.slot[term] >= 0
+        self.dense[self.slot[term[there]], doc[there]] = weight[there]
+        term, doc, weight = term[~there], doc[~there], weight[~there]
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order].astype(np.int32), weight[order]
         self.ends = np.cumsum(np.bincount(term, minlength=len(idf)))
-        self.n = len(docs)
 
-    def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
-        """All unused documents that share an id with the seed, best first; ties by place.  Every id of the seed counts."""
-        parts = [slice(self.ends[x - 1] if x else 0, self.ends[x]) for x in self.terms[seed].tolist()]
-        doc = np.concatenate([self.doc[p] for p in parts])
-        scores = np.bincount(doc, np.concatenate([self.weight[p] for p in parts]), self.n)
-        scores[used] = 0
-        best = np.argsort(-scores, kind="stable")
-        return best[: np.count_nonzero(scores)].tolist()
+    def search(self, queries: list[np.ndarray], k: int):
+        """For each query, a set of ids that all count: places and scores of its k best documents, best first; ties by place."""
+        for first in range(0, len(queries), QUERY_BLOCK):
+            block = queries[first : first + QUERY_BLOCK]
+            wants = np.zeros((len(block), len(self.dense)), np.float32)
+            for w, q in zip(wants, block, strict=True):
+                s = self.slot[q]
+                w[s[s >= 0]] = 1
+            for scores, q in zip(wants @ self.dense, block, strict=True):
+                parts = [slice(self.ends[x - 1] if x else 0, self.ends[x]) for x in q[self.slot[q] < 0].tolist()]
+                if parts:
+                    scores += np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
+                least = np.partition(scores, self.n - k)[self.n - k] if self.n > k else 0
+                best = np.flatnonzero(scores >= least) if least > 0 else np.flatnonzero(scores)
+                best = best[np.argsort(-scores[best], kind="stable")][:k]
+                yield best, scores[best]
+
+
+class Plan:
+    """Where each document stands.  A chain has a seed, whose unused neighbours fill the chain's window; the document that crosses
+    the window's end is the next seed."""
+
+    def __init__(self, sizes: np.ndarray, chains: int, length: int = LENGTH):
+        self.sizes, self.chains, self.length = sizes, chains, length
+        self.used, self.chain, self.at = np.zeros(len(sizes), bool), np.zeros(len(sizes), np.int32), np.zeros(len(sizes), np.int64)
+        self.total: list[int] = []
+        self.seed: dict[int, int] = {}
+
+    def place(self, chain: int, d: int) -> None:
+        self.used[d], self.chain[d], self.at[d] = True, chain, self.total[chain]
+        self.total[chain] += int(self.sizes[d])
+
+    def seeds(self) -> dict[int, int]:
+        """Chains and their seeds; new chains, evenly over the unused documents, where none is open."""
+        if not self.seed:
+            free = np.flatnonzero(~self.used)
+            for d in free[:: max(1, -(-len(free) // self.chains))].tolist():
+                self.seed[len(self.total)] = d
+                self.total.append(0)
+                self.place(len(self.total) - 1, d)
+        return {} if self.used.all() else dict(self.seed)
+
+    def take(self, found: dict[int, list[int]]) -> None:
+        """found: each chain's best unused documents, best first.  A chain that gets a part of its window asks again with the same
+        seed; one whose seed has no neighbour left is closed."""
+        for c in sorted(self.seed):
+            if not found.get(c):
+                del self.seed[c]
+                continue
+            room = self.length - self.total[c] % self.length
+            for d in found[c]:
+                if not self.used[d]:
+                    self.place(c, d)
+                    room -= int(self.sizes[d])
+                    if room <= 0:  # it crosses the end: its rest opens the next window
+                        self.seed[c] = d
+                        break
 
 
 def chain(docs: list[np.ndarray], idf: np.ndarray, mean: float, length: int = LENGTH) -> list[int]:
-    """The order in which a shard's documents fill its windows."""
-    index, used, order = Index(docs, idf, mean), np.zeros(len(docs), bool), []
-    fill, fresh, seed = 0, 0, None
-    while len(order) < len(docs):
-        if seed is None:
-            while used[fresh]:
-                fresh += 1
-            seed = fresh
-            used[seed] = True
-            order.append(seed)
-            fill = (fill + len(docs[seed])) % length
-        last = None
-        room = length - fill
-        for d in index.neighbours(seed, used):
-            used[d] = True
-            order.append(d)
-            last = d
-            room -= len(docs[d])
-            if room <= 0:  # it crosses the end: its rest opens the next window
-                break
-        fill = (length - room) % length
-        seed = last
-    return order
+    """The order in which the documents of one shard fill the windows of one chain."""
+    plan, terms = Plan(np.array([len(d) for d in docs]), 1, length), [np.unique(d) for d in docs]
+    while seeds := plan.seeds():
+        free = np.flatnonzero(~plan.used)
+        index = Index([docs[i] for i in free], idf, mean)
+        plan.take({c: free[best].tolist() for c, (best, _) in zip(seeds, index.search([terms[d] for d in seeds.values()], FETCH), strict=True)})
+    return np.lexsort((plan.at, plan.chain)).tolist()
 
 
 def cuts(total: int, length: int = LENGTH) -> list[int]:
@@ -172,55 +223,149 @@ def cuts(total: int, length: int = LENGTH) -> list[int]:
     return [length] * (total // length) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack_shard(ids: list[int | None], docs: list[np.ndarray], idf: np.ndarray, mean: float, first: int, length: int = LENGTH):
-    """Rows of pieces, and the next free sequence number."""
-    rows: list[tuple] = []
-    sizes = cuts(sum(map(len, docs)), length)
-    at, offset = 0, 0
-    for d in chain(docs, idf, mean, length):
-        start, n = 0, len(docs[d])
-        wide = docs[d].astype("<u4")
-        while start < n:
-            take = min(n - start, sizes[at] - offset)
-            rows.append((ids[d], start, take, zlib.crc32(wide[start : start + take].tobytes()), n, first + at, offset))
-            start, offset = start + take, offset + take
-            if offset == sizes[at]:
-                at, offset = at + 1, 0
-    return rows, first + len(sizes)
+class Layout:
+    """Sequences of a finished plan: the full windows of each chain, then the rests of all chains joined."""
+
+    def __init__(self, plan: Plan):
+        total, n = np.array(plan.total, np.int64), plan.length
+        self.length, self.full = n, total // n * n
+        self.first = np.cumsum(self.full) - self.full
+        rest = total - self.full
+        self.rest = np.cumsum(rest) - rest
+        self.windows = int(self.full.sum()) // n
+        self.starts = np.cumsum([0, *cuts(int(rest.sum()), n)])
+
+    def pieces(self, chain: int, at: int, size: int):
+        """start, length, sequence and offset of each piece of a document."""
+        start, full = 0, int(self.full[chain])
+        while start < size:
+            o = at + start
+            if o < full:
+                place = int(self.first[chain]) + o
+                seq, offset, most = place // self.length, place % self.length, self.length - place % self.length
+            else:
+                place = int(self.rest[chain]) + o - full
+                i = int(np.searchsorted(self.starts, place, "right")) - 1
+                seq, offset, most = self.windows + i, place - int(self.starts[i]), int(self.starts[i + 1]) - place
+            take = min(size - start, most)
+            yield start, take, seq, offset
+            start += take
+
+
+def sizes_of(kept: DataFrame, kind: type) -> tuple[dict[int, int], np.ndarray]:
+    """The number of the first document of each part of the encoded table, and the tokens of each document."""
 
+    def run(batches):
+        for b in batches:
+            size = np.array([len(x.as_py()) // kind().itemsize for x in b.column("ids")], np.int32)
+            part = b.column("part").to_numpy()
+            first = np.flatnonzero(np.diff(part, prepend=-1))  # a batch may hold rows of several parts
+            blobs = [x.tobytes() for x in np.split(size, first[1:])] if len(size) else []
+            yield pa.RecordBatch.from_arrays([b.column("part").take(first), b.column("place").take(first), pa.array(blobs, pa.binary())], ["part", "place", "sizes"])
 
-def pack(df: DataFrame, json_path: str, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    spark = df.sparkSession
-    kind = id_kind(json_path)
-    kept = materialise(encoded(df, json_path, ranks_path, id_col, text_col), "token-ids")
-    seen, n_docs, n_tokens = frequencies(kept, kind)
-    idf = np.log1p((n_docs - seen + 0.5) / (seen + 0.5))
-    shared = spark.sparkContext.broadcast((idf.astype(np.float64), n_tokens / max(1, n_docs)))
+    rows = sorted(kept.mapInArrow(tidy(run), "part long, place long, sizes binary").collect())
+    base, sizes, n = {}, [], 0
+    for r in rows:
+        base.setdefault(r.part, n)
+        sizes.append(np.frombuffer(r.sizes, np.int32))
+        n += len(sizes[-1])
+    return base, np.concatenate([np.zeros(0, np.int32), *sizes])
+
+
+def numbers(b: pa.RecordBatch, base: dict[int, int]) -> np.ndarray:
+    return np.array([base[p] for p in b.column("part").to_pylist()], np.int64) + b.column("place").to_numpy()
+
+
+def terms_of(kept: DataFrame, rows: list[int], base: dict[int, int], kind: type) -> dict[int, np.ndarray]:
+    """The ids of the given documents, each once."""
+    wanted = np.sort(np.array(rows, np.int64))
+
+    def run(batches):
+        for b in batches:
+            n = numbers(b, base)
+            at = np.flatnonzero(np.isin(n, wanted))
+            ids = [np.unique(np.frombuffer(b.column("ids")[i].as_py(), kind)).tobytes() for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(n[at], pa.int64()), pa.array(ids, pa.binary())], ["row", "ids"])
+
+    return {r.row: np.frombuffer(r.ids, kind).astype(np.int64) for r in kept.mapInArrow(tidy(run), "row long, ids binary").collect()}
+
+
+def nearest(kept: DataFrame, seeds: dict[int, int], used: np.ndarray, base: dict[int, int], kind: type, shared) -> dict[int, list[int]]:
+    """The FETCH best unused documents of the whole corpus for each seed: every shard is searched, the top lists are merged."""
+    spark = kept.sparkSession
+    chains = list(seeds)
+    terms = terms_of(kept, list(seeds.values()), base, kind)
+    sent = spark.sparkContext.broadcast(([terms[d].astype(kind) for d in seeds.values()], np.packbits(used)))
 
     def run(batches):
-        idf, mean = shared.value
-        number = TaskContext.get().partitionId() << 40
-        ids: list = []
-        docs: list[np.ndarray] = []
+        (idf, mean), (queries, bits) = shared.value, sent.value
+        queries = [q.astype(np.int64) for q in queries]
+        tops: list = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(queries)
+        rows: list = []
+        docs: list = []
         size = 0
 
-        def flush():
-            nonlocal number, ids, docs, size
-            rows, number = pack_shard(ids, docs, idf, mean, number, length)
-            ids, docs, size = [], [], 0
-            cols = list(zip(*rows, strict=True))
-            for i in range(0, len(rows), 8192):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 8192], pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        def search():
+            own = np.array(rows, np.int64)
+            for i, (best, scores) in enumerate(Index(docs, idf, mean).search(queries, FETCH)):
+                if len(tops[i][0]):
+                    best, scores = np.concatenate([tops[i][0], own[best]]), np.concatenate([tops[i][1], scores])
+                    order = np.argsort(-scores, kind="stable")[:FETCH]
+                    tops[i] = best[order], scores[order]
+                else:
+                    tops[i] = own[best], scores
 
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                d = np.frombuffer(x.as_py(), kind)
+            n = numbers(b, base)
+            for i in np.flatnonzero((bits[n >> 3] >> (7 - (n & 7)).astype(np.uint8) & 1) == 0).tolist():
+                d = np.frombuffer(b.column("ids")[i].as_py(), kind)
                 if docs and (size + len(d) > SHARD_TOKENS or len(docs) >= SHARD_DOCS):
-                    yield from flush()
-                ids.append(i)
+                    search()
+                    rows, docs, size = [], [], 0
+                rows.append(n[i])
                 docs.append(d)
                 size += len(d)
         if docs:
-            yield from flush()
+            search()
+            rows, docs = [], []
+        for first in range(0, len(tops), 1024):
+            some = tops[first : first + 1024]
+            which = np.repeat(np.arange(first, first + len(some)), [len(t[0]) for t in some])
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(np.concatenate([t[0] for t in some])), pa.array(np.concatenate([t[1] for t in some]))], ["q", "row", "score"])
+
+    order = W.partitionBy("q").orderBy(F.desc("score"), "row")
+    found = kept.mapInArrow(tidy(run), "q long, row long, score float")
+    found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FETCH).select("q", "place", "row").toArrow()
+    sent.destroy()
+    q, place, row = (found.column(i).to_numpy() for i in range(3))
+    out: dict[int, list[int]] = {}
+    for i in np.lexsort((place, q)).tolist():
+        out.setdefault(chains[q[i]], []).append(int(row[i]))
+    return out
+
+
+def pack(df: DataFrame, json_path: str, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    spark = df.sparkSession
+    kind = id_kind(json_path)
+    kept = materialise(encoded(df, json_path, ranks_path, id_col, text_col), "token-ids")
+    seen, n_docs, n_tokens = frequencies(kept, kind)
+    idf = np.log1p((n_docs - seen + 0.5) / (seen + 0.5))
+    shared = spark.sparkContext.broadcast((idf.astype(np.float64), n_tokens / max(1, n_docs)))
+    base, sizes = sizes_of(kept, kind)
+    plan = Plan(sizes, max(1, min(ROUND_SEEDS, n_tokens // length // ROUNDS)), length)
+    while seeds := plan.seeds():
+        plan.take(nearest(kept, seeds, plan.used, base, kind, shared))
+    placed = spark.sparkContext.broadcast((plan.chain, plan.at, Layout(plan)))
+
+    def run(batches):
+        chains, at, layout = placed.value
+        for b in batches:
+            out: list[tuple] = []
+            for i, r, x in zip(b.column("doc_id").to_pylist(), numbers(b, base).tolist(), b.column("ids"), strict=True):
+                d = np.frombuffer(x.as_py(), kind).astype("<u4")
+                for start, n, seq, offset in layout.pieces(int(chains[r]), int(at[r]), len(d)):
+                    out.append((i, start, n, zlib.crc32(d[start : start + n].tobytes()), len(d), seq, offset))
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return kept.mapInArrow(tidy(run), PIECES)

@@ -235,6 +235,39 @@ def test_packing_fills_a_window_by_all_ids_of_its_seed():
     assert len(got) == 119 and got[:full] == want[:full]
 
 
+def test_packing_finds_neighbours_in_other_partitions(spark):
+    """Each partition holds one document of each topic: a document's neighbours are in other shards only."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("bcdfgklmnprstvz"), 5)) for _ in range(40 * 130)]
+    texts = [" ".join(rng.permutation(words[130 * t : 130 * t + 130])[:110]) for _ in range(8) for t in range(40)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 8), "doc_id long, text string")
+    pieces = sorted(packing.pack(df, queries.TOKENIZER, queries.RANKS).collect(), key=lambda p: (p.sequence_id, p.offset))
+    near = [a.doc_id % 40 == b.doc_id % 40 for a, b in zip(pieces, pieces[1:]) if a.sequence_id == b.sequence_id]
+    assert np.mean(near) > 0.5
+
+
+def test_packing_searches_every_shard(spark):
+    """Top lists over all partitions equal those of brute force with the whole BM25 score."""
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.choice(300, rng.integers(5, 120)), 300).astype(np.uint16) for _ in range(240)]
+    seen = np.bincount(np.concatenate([np.unique(d) for d in docs]))
+    idf, mean = np.log1p((240 - seen + 0.5) / (seen + 0.5)), float(np.mean([len(d) for d in docs]))
+    rows = [(i, bytearray(d.tobytes()), i // 40, i % 40) for i, d in enumerate(docs)]
+    kept = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "doc_id long, ids binary, part long, place long")
+    base, sizes = packing.sizes_of(kept, np.uint16)
+    assert sizes.tolist() == [len(d) for d in docs]
+    used = np.arange(240) % 7 == 0
+    found = packing.nearest(kept, {c: 7 * c for c in range(20)}, used, base, np.uint16, spark.sparkContext.broadcast((idf, mean)))
+    for c in range(20):
+        score = np.zeros(240)
+        for i, d in enumerate(docs):
+            for t in np.intersect1d(docs[7 * c], d):
+                tf = np.count_nonzero(d == t)
+                score[i] += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        score[used] = 0
+        assert np.allclose(score[found[c]], np.sort(score)[::-1][: packing.FETCH], rtol=1e-5)
+
+
 def test_encoder_equals_library_on_all_code_points():
     t, e = tokenizer(), packing.Encoder(queries.TOKENIZER, queries.RANKS)
     texts = ["".join(f"a{chr(c)}1{chr(c)} {chr(c)}" for c in range(i, i + 64) if not 0xD800 <= c < 0xE000) for i in range(0, 0x30000, 64)]
