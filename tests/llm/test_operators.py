@@ -542,6 +542,14 @@ def test_contamination(spark, sf, name, request):
     assert got == brute_contamination([(r.doc_id, r.text) for r in df.collect()], [tuple(r) for r in items.collect()])
 
 
+def test_keep_clean_decides_each_row(spark):
+    """Rows without an id, or with one id, of which one is contaminated: the others stay."""
+    item = " ".join(f"t{i}" for i in range(13))
+    docs = [(None, item), (None, "clean words"), (None, None), (5, "a " + item), (5, "other clean words"), (6, item), (None, "clean words")]
+    kept = decontam.keep_clean(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert collections.Counter(tuple(r) for r in kept.collect()) == collections.Counter([docs[1], docs[2], docs[4], docs[6]])
+
+
 def test_contamination_in_blocks(spark, sf, docs, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 50)
     monkeypatch.setattr(decontam, "blocks", lambda words, size=50: [words[i : i + size] for i in range(0, len(words), size)] or [[]])
