@@ -13,7 +13,8 @@ are taken in blocks of ``BLOCK_WORDS``, each a pass over the documents.
 
 Defined cases: null or wordless documents have no words and no hits; null or wordless items have
 no windows; equal windows of several items count for each item; repeated rows give one row each;
-an item id may be null (it then never counts as an item).
+the windows of items with a null id count; such items are one
+item, which is left out of the digest of ids.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ WINDOW, BLOCK_WORDS, BROADCAST_WINDOWS = 13, 20_000, 200_000
 
 
 def item_windows(items: DataFrame, n: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """win (its words), item_ids: distinct windows with the items that hold them."""
-    w = items.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("w")).where("item_id is not null and size(w) > 0")
+    """win (its words), item_ids: distinct windows with the items that hold them; a null for those without an id."""
+    w = items.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("w")).where("size(w) > 0")
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))))
     w = w.select("item_id", "w", starts.alias("s")).select("item_id", F.slice("w", F.col("s") + 1, n).alias("win"))
-    return w.groupBy("win").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    # as structs, for collect_set leaves nulls out
+    ids = F.collect_set(F.struct(F.col("item_id").cast("string").alias("id")))
+    return w.groupBy("win").agg(F.array_sort(F.transform(ids, lambda x: x["id"])).alias("item_ids"))
 
 
 def vocabulary(windows: DataFrame) -> list[str]:

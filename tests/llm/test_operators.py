@@ -550,6 +550,21 @@ def test_keep_clean_decides_each_row(spark):
     assert collections.Counter(tuple(r) for r in kept.collect()) == collections.Counter([docs[1], docs[2], docs[4], docs[6]])
 
 
+def test_contamination_by_items_without_id(spark):
+    """Their windows count, as in the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    item, other = " ".join(f"t{i}" for i in range(13)), " ".join(f"u{i}" for i in range(13))
+    docs = [(1, "a " + item), (2, item + " " + other), (3, "clean words"), (4, other)]
+    items = [(None, item), (7, other), (None, other), (8, None)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)").executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    c.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)").executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = c.execute(queries.OP10_SQL).fetchall()
+    assert collections.Counter(tuple(r) for r in got.collect()) == collections.Counter(want)
+    assert sum(r[5] for r in want) == 3
+
+
 def test_contamination_in_blocks(spark, sf, docs, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 50)
     monkeypatch.setattr(decontam, "blocks", lambda words, size=50: [words[i : i + size] for i in range(0, len(words), size)] or [[]])
