@@ -10,11 +10,15 @@ id, first within the archive and then, for those that lie apart, by a shuffle; t
 for gaps and for the total length, and joined; then the chunked framing is decoded and the payload digest is verified.
 
 Archives are written through Spark's own writer and read through its ``binaryFile`` reader, so any
-store that Spark reaches will do.  ``ARCHIVE_ROWS`` bounds the size of a file.
+store that Spark reaches will do.  A row that is written is one record, at most a segment long, so ``ARCHIVE_RECORDS`` bounds the
+bytes of an archive; an archive of others may have 2 GB at most, the limit of that reader.
+
+Record ids name the page and the row, so that repeated rows, and rows without a page id, have records of their own.
 
 Defined cases: null html is an empty payload; payloads below ``min_bytes`` are always responses;
-repeated rows of the page with the smallest id are all responses; a null page id never counts as the
-smallest and its record carries no id; an incomplete or damaged record raises ``ValueError`` (or
+repeated rows of the page with the smallest id are all responses; rows that share a page id but not a payload are decided each by
+its payload; a null page id never counts as the smallest and its record carries no id; an empty table gives no rows; a long page
+becomes many segments; other columns are not read; an incomplete or damaged record raises ``ValueError`` (or
 is returned with an error text by ``read_archives``).
 """
 
@@ -29,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, scratch_path, settled
+from .common import bounded_batches, materialise, scratch_path, settled, small_side
 
-SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_ROWS = 16 << 10, 4 << 10, 1500
+SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_RECORDS = 16 << 10, 4 << 10, 1500
 VERSION, CRLF = b"WARC/1.1", b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -80,15 +84,26 @@ def record(kind: str, rid: str, fields: list[tuple[str, object]], block: bytes)
     return VERSION + CRLF + b"".join(f"{k}: {v}\r\n".encode() for k, v in lines) + CRLF + block + CRLF + CRLF
 
 
-def page_records(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
-    """The records of one page.  Segments end between characters, so that every record is valid UTF-8."""
+def record_id(page_id: int | None, row: int, segment: int = 1) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{row}{f':{segment}' if segment > 1 else ''}>"
+
+
+def page_of(rid: str | None) -> int | None:
+    """The page id in a record id."""
+    m = re.fullmatch(r"<urn:page:(-?\d+)(?::\d+)*>", rid or "")
+    return int(m[1]) if m else None
+
+
+def page_records(page_id: int | None, url: str | None, html: str | None, first: tuple[int, int] | None, segment_bytes: int = SEGMENT_BYTES, row: int = 0) -> list[bytes]:
+    """The records of one row; first: page id and row of the response that it repeats.  Segments end between characters, so that
+    every record is valid UTF-8."""
     payload = (html or "").encode()
-    rid = f"<urn:page:{'' if page_id is None else page_id}>"
+    rid = record_id(page_id, row)
     own = [("WARC-Target-URI", re.sub(r"[\r\n]", " ", url or "")), ("WARC-Payload-Digest", "sha1:" + digest(payload)), ("X-Payload-Length", len(payload))]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     http = ("Content-Type", "application/http;msgtype=response")
-    if refers_to is not None:
-        return [record("revisit", rid, [*own, http, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")], head + CRLF)]
+    if first is not None:
+        return [record("revisit", rid, [*own, http, ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(*first))], head + CRLF)]
     framed = b"".join((b"%x\r\n%b\r\n" % (len(c), c)) for c in pieces(payload, CHUNK_BYTES)) + b"0\r\n\r\n"
     block = head + b"Transfer-Encoding: chunked\r\n\r\n" + framed
     parts = pieces(block, segment_bytes) or [b""]
@@ -97,7 +112,7 @@ def page_records(page_id: int | None, url: str | None, html: str | None, refers_
     out = [record("response", rid, [*own, http, ("WARC-Segment-Number", 1)], parts[0])]
     for i, p in enumerate(parts[1:], 2):
         total = [("WARC-Segment-Total-Length", len(block))] if i == len(parts) else []
-        out.append(record("continuation", f"<urn:page:{'' if page_id is None else page_id}:{i}>", [("WARC-Segment-Origin-ID", rid), ("WARC-Segment-Number", i), *total], p))
+        out.append(record("continuation", record_id(page_id, row, i), [("WARC-Segment-Origin-ID", rid), ("WARC-Segment-Number", i), *total], p))
     return out
 
 
@@ -135,30 +150,38 @@ def parse(data: bytes):
         yield head, block
 
 
-def first_of_equal(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """page_id, refers_to: pages that repeat the payload of a page with a smaller id.  Only digests are shuffled."""
-    keys = pages.select("page_id", F.sha1(F.encode(F.coalesce("html", F.lit("")), "utf-8")).alias("d"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull())
-    firsts = keys.groupBy("d").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("d", "first")
-    return keys.join(firsts, "d").where("page_id > first").groupBy("page_id").agg(F.min("first").alias("refers_to"))
+def firsts_of_equal(rows: DataFrame, min_bytes: int) -> DataFrame:
+    """digest, first (page_id, row): the smallest page of each payload that pages of several ids share.  Only digests are shuffled,
+    once a task for each."""
+    keys = rows.where((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull())
+    found = keys.groupBy("digest").agg(F.min(F.struct("page_id", "row")).alias("first"), F.max("page_id").alias("last"))
+    return found.where("first.page_id < last").select("digest", "first")
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, compress: bool = True) -> None:
     """One record per row of pages (page_id, url, html), and continuations, as .warc files under path."""
     spark = pages.sparkSession
     bounded_batches(spark)
-    rows = pages.select("page_id", "url", "html")
-    again = first_of_equal(rows, min_bytes)
-    named = rows.join(again, "page_id", "left").select("page_id", "url", "html", "refers_to")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1(F.encode("payload", "utf-8"))))
+    # the repeated payloads are few and go to the rows; beyond the broadcast's bound the rows are joined by digest
+    named = rows.join(small_side(firsts_of_equal(rows, min_bytes)), "digest", "left")
+    again = (F.col("page_id") > F.col("first.page_id")) & (F.octet_length("payload") >= min_bytes)
+    named = named.select("page_id", "url", "payload", "row", *(F.when(again, F.col(f"first.{c}")).alias(f"first_{c}") for c in ("page_id", "row")))
 
     def run(batches):
         for b in batches:
-            out = []
-            for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                # the writer itself adds the last CRLF of each line it writes
-                out.append("".join(r.decode() for r in page_records(page_id, url, html, refers_to, segment_bytes))[:-2])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+            out, size = [], 0
+            for page_id, url, html, row, first, first_row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for r in page_records(page_id, url, html, None if first is None else (first, first_row), segment_bytes, row):
+                    out.append(r[:-2])  # the writer itself adds the last CRLF of each line it writes
+                    size += len(r)
+                    if size > 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+                        out, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
 
-    named.mapInArrow(run, "value string").write.option("lineSep", "\r\n").option("maxRecordsPerFile", ARCHIVE_ROWS).option("compression", "gzip" if compress else "none").text(path)
+    named.mapInArrow(run, "value string").write.option("lineSep", "\r\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).option("compression", "gzip" if compress else "none").text(path)
 
 
 def plain(content: bytes) -> bytes:
@@ -177,11 +200,10 @@ def plain(content: bytes) -> bytes:
 
 def decode(head: dict[str, str], kind: str, block: bytes) -> dict:
     """The output row of a whole record; verifies the payload digest of a response."""
-    number = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", x or "")) else None
-    row = {"page_id": number(head.get("warc-record-id")), "url": head.get("warc-target-uri"), "record_type": kind, "refers_to": None, "payload": None, "error": None}
+    row = {"page_id": page_of(head.get("warc-record-id")), "url": head.get("warc-target-uri"), "record_type": kind, "refers_to": None, "payload": None, "error": None}
     said = head.get("warc-payload-digest", "").removeprefix("sha1:")
     if kind == "revisit":
-        return row | {"refers_to": number(head.get("warc-refers-to")), "payload_bytes": int(head["x-payload-length"]), "payload_digest": said}
+        return row | {"refers_to": page_of(head.get("warc-refers-to")), "payload_bytes": int(head["x-payload-length"]), "payload_digest": said}
     try:
         payload = http_payload(block)
     except ValueError as e:

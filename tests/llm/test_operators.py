@@ -454,6 +454,23 @@ def test_warc_payloads_and_odd_rows(spark, tmp_path, compress):
     assert [r.record_type for r in by[5]] == ["response"] * 2
 
 
+@pytest.mark.parametrize("archive", [3, 1500])
+def test_warc_repeated_and_idless_long_pages(spark, monkeypatch, archive):
+    """Rows that share a page id, or have none, keep records of their own; archives of 3 records tear their segments apart."""
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", archive)
+    a, b = "long a " * 9000, "long b " * 9000
+    pages = [(1, "u", a), (1, "u", a), (2, "u", a), (2, "u", b), (3, "u", b), (None, "u", a), (None, "u", b), (None, "u", "c"), (4, "u", None), (5, "u", ""), (6, "u", "c")]
+    back = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert not any(r.error for r in back)
+    name = {a: "a", b: "b", "c": "c", "": "empty"}
+    digests = {base64.b32encode(hashlib.sha1(k.encode()).digest()).decode(): v for k, v in name.items()}
+    got = collections.Counter((r.page_id, digests[r.payload_digest], r.record_type, r.refers_to) for r in back)
+    assert got == collections.Counter([
+        (1, "a", "response", None), (1, "a", "response", None), (2, "a", "revisit", 1), (2, "b", "response", None), (3, "b", "revisit", 2),
+        (None, "a", "response", None), (None, "b", "response", None), (None, "c", "response", None), (4, "empty", "response", None), (5, "empty", "revisit", 4), (6, "c", "response", None),
+    ])
+
+
 def test_warc_segments_in_other_archives(spark, tmp_path):
     html = "words é " * 2000
     records = warc.page_records(7, "u", html, None, 3000) + warc.page_records(8, "v", "x" * 9000, None, 4000)[:-1]
