@@ -164,7 +164,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, n: int = WIN
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows that are not contaminated, with all their columns.  Each row is decided by its own text, whatever its id."""
+    """Rows in whose text no window occurs, with all their columns.  Each row is decided by its own text, whatever its id."""
     digest = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
-    bad = contamination(docs.select(digest.alias("__digest"), text_col), items, n, "__digest", text_col).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    bad = contamination(docs.select(digest.alias("__digest"), text_col), items, n, "__digest", text_col).where("n_hit > 0").select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(small_side(bad), digest == F.col("__bad"), "left_anti")
