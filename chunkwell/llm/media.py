@@ -6,8 +6,11 @@ byte ranges of all samples and of the sync samples, without touching the media d
 takes any order of boxes, 64-bit box sizes, boxes that run to the end of the file, ``stco`` and
 ``co64``, ``stsz`` and ``stz2``, several tracks, and rejects sizes that leave their parent.
 
+The byte ranges of the keyframes are a column of their own; the feature text carries their digest.
+
 Defined cases: null text is an empty payload, padded like any other; equal texts give equal rows;
-repeated rows give one row each; ids may be null.
+repeated rows give one row each; ids may be null; an empty table gives no rows; a long text is one container, held by one task;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 FRAME, TIMESCALE, CHUNK_FRAMES, SYNC_EVERY = 64, 8000, 16, 8
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration double, keyframe_ranges array<struct<start:long,end:long>>"
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 
 
@@ -199,17 +202,23 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches):
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(9)]
+            starts, ends, sizes = [], [], [0]
             for t in b.column(1).to_pylist():
                 raw = (t or "").encode()
                 media = write_container(padded(raw))
                 track = read_container(media)[0]
                 back = read_payload(media, track)
-                for o, v in zip(out, (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(track)), strict=True):
+                for o, v in zip(out, (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(track), track["codec"], track["duration"] / track["timescale"]), strict=True):
                     o.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names)
+                starts.append(track["offsets"][track["sync"]])
+                ends.append(starts[-1] + track["sizes"][track["sync"]])
+                sizes.append(sizes[-1] + len(starts[-1]))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64()]
+            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration", "keyframe_ranges"]
+            flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (starts, ends)]
+            ranges = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(flat, ["start", "end"]))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True)), ranges], names)
 
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
