@@ -4,11 +4,12 @@ Tier one is a broadcast table of the lengths of frequent pre-tokens, with a fixe
 entries.  Tier two is a cache in each Python worker that encodes what tier one misses.  No pre-token
 is ever shuffled: counting is one narrow pass over the scan.
 
-Tier one comes from a bounded number of rows (``sample_rows``).  It only decides which lookups are
+Tier one comes from a bounded number of rows (``sample_rows``) of bounded size.  It only decides which lookups are
 fast; every length in it and every miss is computed by the same library, so no count depends on it.
 
 Defined cases: null text counts as empty (0 tokens); null ids pass through; repeated rows give one
-row each; only the two named columns are read, so extra columns never clash.
+row each; only the two named columns are read, so extra columns never clash; an empty table gives no rows; a long text is counted
+whole by one task.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-SAMPLE_ROWS, TIER_ENTRIES, CACHE_ENTRIES, KEY_BYTES = 512, 65_536, 400_000, 64
+SAMPLE_ROWS, SAMPLE_BYTES, TIER_ENTRIES, CACHE_ENTRIES, KEY_BYTES = 512, 65_536, 65_536, 400_000, 64
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Below this every character is classed alike by all Unicode versions in use.
 _LATE = re.compile("[԰-\U0010ffff]")
@@ -84,11 +85,11 @@ def count(text: str, pieces, special, lengths: Lengths) -> int:
 
 
 def frequent_lengths(df: DataFrame, text_col: str, path: str, sample_rows: int = SAMPLE_ROWS, entries: int = TIER_ENTRIES) -> dict[str, int]:
-    """The lengths of the most frequent pre-tokens of a few rows: at most ``entries``.  The rows come by the incremental
-    limit, which reads as few partitions as it needs."""
+    """The lengths of the most frequent pre-tokens of a few rows of at most SAMPLE_BYTES each: at most ``entries``.  The rows come by
+    the incremental limit, which reads as few partitions as it needs."""
     pieces, _ = splitter(path)
     seen: collections.Counter = collections.Counter()
-    for r in df.select(F.col(text_col).alias("text")).limit(sample_rows).collect():
+    for r in df.select(F.col(text_col).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).limit(sample_rows).collect():
         seen.update(pieces.findall(r.text or ""))
     lengths = Lengths(path, {})
     return {k: lengths[k] for k, _ in seen.most_common(entries) if len(k) <= KEY_BYTES}

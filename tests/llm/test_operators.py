@@ -88,6 +88,9 @@ def test_media(name, request):
         assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
         f = json.loads(r.feature)
         assert (f["codec"], f["duration"], f["samples"]) == ("raw ", len(payload), len(payload) // 64)
+        assert (r.codec, r.duration) == ("raw ", len(payload) / 8000)
+        assert [tuple(x) for x in r.keyframe_ranges] == media.keyframes(media.read_container(stored)[0])
+        assert b"".join(stored[x.start : x.end] for x in r.keyframe_ranges) == b"".join(payload[i : i + 64] for i in range(0, len(payload), 512))
 
 
 def F_eq(a, b):
