@@ -529,6 +529,62 @@ def test_html_without_article():
     assert html_text.extract("<p>a" + "<div>" * 3000 + "deep words</p>").endswith("deep words")
 
 
+def test_html_keeps_what_names_and_siblings_suggest_to_drop():
+    words = "word and more words in it. " * 12
+    body = words.strip()
+    assert html_text.extract(f'<div class="related-work"><p>{words}</p></div>') == body
+    assert html_text.extract(f'<ul class="nav"><li>one</li></ul><div class="notice-of-law"><p>{words}</p></div><p>x</p>') .split("\n")[0] in (body, "one")
+    assert html_text.extract(f"<body><nav>x</nav><section><h2>A</h2><p>{words}</p></section><section><h2>B</h2><p>{words}</p></section></body>") == f"A\n{body}\nB\n{body}"
+    assert html_text.extract(f'<body><div><p>{words}</p><p>{words}</p></div><div class="comments"><p>{words * 5}</p></div></body>') == f"{body}\n{body}"
+    assert html_text.extract(f"<body><div>{words}<p>{words}</p></div><div><a href=1>one</a><a href=2>two</a><a href=3>three</a></div></body>") == f"{body}\n{body}"
+    assert html_text.extract("a < b <3 </> c<!-->d<!x>e") == "a < b <3 cde"
+
+
+def test_html_without_article_elements(spark, sf):
+    """Density alone finds the same text when the page does not name its article."""
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        bare = r.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html_text.extract(bare) == html_text.extract(r.html)
+
+
+@pytest.mark.parametrize("part", ['<a title="', "<p a='\"", "<div>", "</p><span>", "<b><table><span></b>", "<!", "<script></script ", "<td><p>", "<"])
+def test_html_broken_pages_take_linear_time(part):
+    import time
+
+    began = time.perf_counter()
+    html_text.extract("<p>words</p>" + part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 10
+
+
+def test_html_densities_against_a_plain_version():
+    """Composite densities and their sums by the formula, node by node, with counts taken anew for each node."""
+    import math
+
+    page = "<body><div><p>Some words here</p>bare text<p>More <a href=x>linked</a> words <b>there</b></p></div><ul><li><a>one</a><li><a>two</a> and</ul></body>"
+    root = html_text.parse(page)
+    order, _ = html_text.measure(root, True)
+    body = next(n for n in order if n.tag == "body")
+    html_text.weigh(order, body)
+    node = html_text.Node
+
+    def chars(n, linked):
+        return sum((len("".join(x.split())) if not linked or n.tag == "a" else 0) if isinstance(x, str) else chars(x, linked and n.tag != "a") for x in n.items)
+
+    def tags(n, kind):
+        return sum((kind in (None, x.tag)) + tags(x, kind) for x in n.items if isinstance(x, node))
+
+    def plain(c, t, lc, lt):
+        base = math.log(c / max(1, c - lc) * lc + chars(body, True) / chars(body, False) * c + math.e)
+        return c / max(1, t) * max(0, math.log(c / max(1, lc) * max(1, t) / max(1, lt)) / base)
+
+    of = lambda n: plain(chars(n, False), tags(n, None), chars(n, True), tags(n, "a")) if chars(n, False) else 0
+    for n in order:
+        if n.tag == "a" or n is root:
+            continue
+        assert n.density == pytest.approx(of(n))
+        assert n.sum == pytest.approx(sum(plain(len("".join(x.split())), 0, 0, 0) if isinstance(x, str) else of(x) if x.tag != "a" else x.density for x in n.items))
+
+
 # 10
 
 
