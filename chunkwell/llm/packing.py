@@ -1,21 +1,25 @@
 """Lexical retrieval packing into sequences of at most 2048 tokens.
 
-Documents are encoded once; ids are kept in the shared folder, with numbers for the rows.  Document frequencies of the tokenizer's
-ids, over all documents, give the weights of BM25; their table has as many entries as the vocabulary.  A shard is a run of unused
-rows of at most ``SHARD_TOKENS`` tokens (or one longer document) within a scan partition, with an inverted index of its own.
-
-Packing goes by rounds.  Each open chain has a seed document.  All ids of all seeds are searched in every shard, the shards'
-top lists are merged, and each chain, in order, fills its window with its seed's best unused documents of the whole corpus.  A
-chain that gets a part of its window asks again with the same seed; the document that crosses the window's end is cut there, and
-its rest opens the next window and is the next seed.  The ends of chains are joined; only the end of these can be short: it is
+Documents are encoded once; ids are kept in the shared folder, with each document's leaf: the nearest of at most ``LEAVES`` centres of
+ids, fitted on a bounded sample (``SAMPLE_DOCS``, ``SAMPLE_TOKENS``) and put in an order in which similar leaves are neighbours.  Documents are
+then sorted by leaf over the partitions (a range partitioning, so a leaf with a third of all rows is split), and a shard is a run of them:
+at most ``SHARD_DOCS`` documents and ``SHARD_TOKENS`` tokens, or one longer document.  So every document is indexed, and documents with
+like contents meet in a shard.
+
+A shard has an inverted index; its BM25 weights take document frequencies and the mean length over all documents.  Chains fill windows side by side: each has a
+seed document, and its window takes the seed's best unused documents of the shard by the score of all ids of the seed.  The document that
+crosses the window's end is cut there, and its rest opens the next window and is the next seed.  The ends of chains are joined; only the end of these can be short: it is
 cut into powers of two, which need no padding.
 
-Texts are not shuffled; a shard bounds the memory of a task, ``FETCH`` rows a seed and task are shuffled in a round.  The driver
-holds 17 bytes a document.  The search compares each seed with each unused document, so its time grows with the square of the
-corpus.  Scan order decides ties and seeds, so a task that runs again gives the same.
+Retrieval reaches the shard.  A corpus of at most ``SHARD_DOCS`` documents is one shard, where it is exact; beyond that, neighbours in
+other shards are not seen, which keeps time and memory in proportion to the corpus.  README states the recall; ``recall`` measures it.
+
+Texts are not shuffled, ids once.  The driver holds the frequencies of the vocabulary and the centres.  A shard's order comes from leaf, hash and row number, so a
+task that runs again gives the same.
 
 Defined cases: null and empty texts are one piece with the end id only; repeated rows are packed
-each; a null doc_id passes through.
+each; a null doc_id passes through; ties of scores go to the document that stands first in the shard; an empty table gives no rows; a long
+text spans as many sequences as it needs; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,15 +34,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import bounded_batches, materialise, tidy
+from .common import bounded_batches, hash_sample, materialise, tidy
+from .token_counts import unsure
 
-LENGTH, END_ID, SHARD_TOKENS, SHARD_DOCS = 2048, 1, 4_000_000, 8192
-#: Seeds of a round at most, rounds at least, neighbours that a search brings (a seed asks again for more), queries scored at a time,
-#: and the share of a shard's documents from which an id's weights are a row of a matrix.
-ROUND_SEEDS, ROUNDS, FETCH, QUERY_BLOCK, DENSE = 8192, 8, 16, 128, 0.1
-K1, B = 1.2, 0.75
+LENGTH, END_ID, SHARD_TOKENS, SHARD_DOCS = 2048, 1, 48_000_000, 16_384
+#: Chains side by side in a shard, neighbours that a search brings (a seed asks again for more), the share of a shard's documents from
+#: which an id's weights are a row of a matrix, rows of it at most, and documents whose best score is looked at together.
+CHAINS, FETCH, DENSE, DENSE_ROWS, GROUP = 128, 16, 0.03, 2048, 64
+#: Leaves at most, documents of each that there should be, and the sample that the centres are fitted on.
+LEAVES, LEAF_DOCS, SAMPLE_DOCS, SAMPLE_TOKENS, CENTRE_STEPS = 256, 1024, 4096, 4096, 8
+K1, B, USED = 1.2, 0.75, -1e9
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _LOADED: dict = {}
 
@@ -53,6 +59,8 @@ class Encoder:
         import public_tokenizers
         import tiktoken
 
+        from .token_counts import load
+
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         with open(json_path, encoding="utf-8") as f:
@@ -60,14 +68,17 @@ class Encoder:
         self.find = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.bpe = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = max([*ranks.values(), *self.special.values()]) + 1
+        self.library = load(json_path)
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray:
+        if unsure(text):  # characters that the two libraries' Unicode tables may class differently
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         if self.find is None or not self.find.search(text):
-            return self.bpe.encode_ordinary(text)
-        out: list[int] = []
-        for part in self.find.split(text):
-            out += [self.special[part]] if part in self.special else self.bpe.encode_ordinary(part)
-        return out
+            return self.plain(text)
+        return np.concatenate([np.array([self.special[p]], np.uint32) if p in self.special else self.plain(p) for p in self.find.split(text)])
+
+    def plain(self, text: str) -> np.ndarray:
+        return self.bpe.encode_to_numpy(text, disallowed_special=())
 
 
 def encoder(json_path: str, ranks_path: str) -> Encoder:
@@ -77,28 +88,76 @@ def encoder(json_path: str, ranks_path: str) -> Encoder:
     return _LOADED[key]
 
 
-def encoded(df: DataFrame, json_path: str, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids: little-endian unsigned 32-bit, cut to 16 bits where the vocabulary allows; with the end id.  part and place
-    number the rows: the scan's partition, and a running number in it."""
+def id_kind(json_path: str) -> type:
+    with open(json_path, encoding="utf-8") as f:
+        t = json.load(f)
+    return np.uint16 if max([*t["model"]["vocab"].values(), *(x["id"] for x in t["added_tokens"])]) < 1 << 16 else np.uint32
+
+
+class Leaves:
+    """Centres of documents as sets of ids, in an order in which each is followed by the most similar one that is left."""
+
+    def __init__(self, docs: list[np.ndarray], wanted: int):
+        terms = [np.unique(d) for d in docs]
+        n = max(1, len(terms))
+        seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *terms]))
+        self.weight = np.where(seen > 0, np.log1p((n - seen + 0.5) / (seen + 0.5)), 0).astype(np.float32)
+        k = min(wanted, len(terms))
+        x = np.stack([self.vector(t) for t in terms]) if terms else np.zeros((0, len(seen)), np.float32)
+        centres = x[np.linspace(0, len(x) - 1, k).astype(int)] if k else x
+        for _ in range(CENTRE_STEPS if k > 1 else 0):
+            sums = np.zeros_like(centres)
+            np.add.at(sums, (x @ centres.T).argmax(1), x)
+            centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        order, left = [], list(range(k))
+        while left:
+            order.append(left.pop(max(range(len(left)), key=lambda j: float(centres[order[-1]] @ centres[left[j]])) if order else 0))
+        self.centres = np.ascontiguousarray(centres[order].T)  # a row for each id
+
+    def vector(self, terms: np.ndarray) -> np.ndarray:
+        v = np.zeros(len(self.weight), np.float32)
+        t = terms[terms < len(v)]
+        v[t] = self.weight[t]
+        return v / max(1e-9, float(np.linalg.norm(v)))
+
+    def of(self, ids: np.ndarray) -> int:
+        """The leaf of a document: weighted by counts, so that the rows of the matrix are added once a token."""
+        if self.centres.shape[1] < 2:
+            return 0
+        t = np.unique(ids)
+        t = t[t < len(self.weight)]
+        return int((self.weight[t] @ self.centres[t]).argmax())
+
+
+def fitted(df: DataFrame, json_path: str, ranks_path: str, id_col: str, text_col: str) -> Leaves:
+    """Leaves for a table, from a sample whose size does not grow with it.  Texts of the sample are cut; all others are read whole."""
+    rows = df.count()
+    wanted = min(LEAVES, -(-rows // LEAF_DOCS)) if rows > SHARD_DOCS else 1
+    if wanted < 2:
+        return Leaves([], 0)
+    part = F.substring(F.col(text_col), 1, 4 * SAMPLE_TOKENS).alias("text")
+    texts = [r.text for r in hash_sample(df.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), part), "h", SAMPLE_DOCS).select("text").collect()]
+    enc = encoder(json_path, ranks_path)
+    return Leaves([enc.ids(t)[:SAMPLE_TOKENS].astype(np.int64) for t in texts if t], wanted)
+
+
+def encoded(df: DataFrame, json_path: str, ranks_path: str, leaves=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids: little-endian unsigned 32-bit, cut to 16 bits where the vocabulary allows; with the end id.  leaf; row numbers the
+    rows: the scan's partition, and a running number in it."""
     bounded_batches(df.sparkSession)
 
     def run(batches):
         enc = encoder(json_path, ranks_path)
         kind = np.uint16 if enc.size <= 1 << 16 else np.uint32
-        part, place = TaskContext.get().partitionId(), 0
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
-            ids = [np.array([*enc.ids(t or ""), END_ID], kind).tobytes() for t in b.column(1).to_pylist()]
-            where = [pa.array(np.full(len(ids), part, np.int64)), pa.array(np.arange(place, place + len(ids)))]
-            place += len(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), *where], ["doc_id", "ids", "part", "place"])
+            ids = [np.append(enc.ids(t or ""), END_ID).astype(kind) for t in b.column(1).to_pylist()]
+            leaf = [leaves.value.of(x) if leaves else 0 for x in ids]
+            where = pa.array(np.arange(row, row + len(ids)))
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(leaf, pa.int32()), where], ["doc_id", "ids", "leaf", "row"])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, ids binary, part long, place long")
-
-
-def id_kind(json_path: str) -> type:
-    with open(json_path, encoding="utf-8") as f:
-        t = json.load(f)
-    return np.uint16 if max([*t["model"]["vocab"].values(), *(x["id"] for x in t["added_tokens"])]) < 1 << 16 else np.uint32
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, ids binary, leaf int, row long")
 
 
 def frequencies(ids: DataFrame, kind: type) -> tuple[np.ndarray, int, int]:
@@ -107,17 +166,17 @@ def frequencies(ids: DataFrame, kind: type) -> tuple[np.ndarray, int, int]:
     def run(batches):
         seen, docs, tokens = np.zeros(1 << 16, np.int64), 0, 0
         for b in batches:
-            for x in b.column(1):
-                a = np.unique(np.frombuffer(x.as_py(), kind))
-                if len(a) and a[-1] >= len(seen):
-                    seen = np.concatenate([seen, np.zeros(int(a[-1]) + 1 - len(seen), np.int64)])
-                seen[a] += 1
-                docs, tokens = docs + 1, tokens + len(x.as_py()) // kind().itemsize
+            for x in b.column(0):
+                a = np.frombuffer(x.as_buffer(), kind)
+                if len(a) and (top := int(a.max())) >= len(seen):
+                    seen = np.concatenate([seen, np.zeros(top + 1 - len(seen), np.int64)])
+                seen[np.unique(a)] += 1
+                docs, tokens = docs + 1, tokens + len(a)
         at = np.flatnonzero(seen)
         keys = np.concatenate([at, [-1, -2]])
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate([seen[at], [docs, tokens]]), pa.int64())], ["id", "n"])
 
-    rows = ids.mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = ids.select("ids").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     found = {r.id: r.n for r in rows}
     table = np.zeros(max(found, default=0) + 1, np.int64)
     for k, n in found.items():
@@ -130,44 +189,72 @@ class Index:
     """BM25 inverted index of one shard: postings of each id as slices of two arrays, ids of many documents as rows of a matrix."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
-        self.n, self.terms = len(docs), terms
-        size = np.array([len(t) for t in terms])
-        term, doc, tf = np.concatenate(terms).astype(np.int64), np.repeat(np.arange(self.n), size), np.concatenate(counts)
-        norm = K1 * (1 - B + B * np.array([len(d) for d in docs]) / mean)
-        weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
-        often = np.bincount(term, minlength=len(idf))
-        dense = np.flatnonzero(often > DENSE * self.n)
-        self.slot = np.full(len(idf), -1)
-        self.slot[dense] = np.arange(len(dense))
-        self.dense = np.zeros((len(dense), self.n), np.float32)
-        there = self.slot[term] >= 0
-        self.dense[self.slot[term[there]], doc[there]] = weight[there]
-        term, doc, weight = term[~there], doc[~there], weight[~there]
+        self.terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
+        size = np.array([len(t) for t in self.terms])
+        term, doc, tf = np.concatenate(self.terms).astype(np.int32), np.repeat(np.arange(len(docs), dtype=np.int32), size), np.concatenate(counts).astype(np.float32)
+        norm = (K1 * (1 - B + B * np.array([len(d) for d in docs]) / mean)).astype(np.float32)
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order].astype(np.int32), weight[order]
-        self.ends = np.cumsum(np.bincount(term, minlength=len(idf)))
+        self.term, self.doc = term[order], doc[order]
+        tf = tf[order]
+        self.weight = idf.astype(np.float32)[self.term] * tf * np.float32(K1 + 1) / (tf + norm[self.doc])
+        self.size = len(idf)
+        self.lay(np.arange(len(docs)))
+
+    def lay(self, own: np.ndarray) -> None:
+        """Lay out the matrix and the postings for the documents own of the shard."""
+        self.own, self.n = own, len(own)
+        place = np.full(len(self.terms), -1, np.int32)
+        place[own] = np.arange(self.n)
+        here = place[self.doc] >= 0
+        term, doc, weight = self.term[here], place[self.doc[here]], self.weight[here]
+        often = np.bincount(term, minlength=self.size)
+        dense = np.argsort(-often, kind="stable")[:DENSE_ROWS]
+        dense = np.sort(dense[often[dense] > DENSE * self.n])
+        self.slot = np.full(self.size, -1, np.int32)
+        self.slot[dense] = np.arange(len(dense))
+        # columns in groups of GROUP; the last row, which every query has, sinks the columns of used documents and those past the last
+        self.dense = np.zeros((len(dense) + 1, -(-self.n // GROUP) * GROUP), np.float32)
+        self.dense[-1, self.n :] = USED
+        row = self.slot[term]
+        in_matrix = row >= 0
+        self.dense[row[in_matrix], doc[in_matrix]] = weight[in_matrix]
+        self.posted, self.posted_weight = doc[~in_matrix], weight[~in_matrix]
+        often[dense] = 0
+        self.ends = np.cumsum(often)
+
+    def use(self, d: int) -> None:
+        """Leave document d of the shard out of later searches."""
+        at = int(np.searchsorted(self.own, d))
+        if at < self.n and self.own[at] == d:
+            self.dense[-1, at] = USED
 
     def search(self, queries: list[np.ndarray], k: int):
-        """For each query, a set of ids that all count: places and scores of its k best documents, best first; ties by place."""
-        for first in range(0, len(queries), QUERY_BLOCK):
-            block = queries[first : first + QUERY_BLOCK]
-            wants = np.zeros((len(block), len(self.dense)), np.float32)
-            for w, q in zip(wants, block, strict=True):
-                s = self.slot[q]
-                w[s[s >= 0]] = 1
-            for scores, q in zip(wants @ self.dense, block, strict=True):
-                parts = [slice(self.ends[x - 1] if x else 0, self.ends[x]) for x in q[self.slot[q] < 0].tolist()]
-                if parts:
-                    scores += np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
-                least = np.partition(scores, self.n - k)[self.n - k] if self.n > k else 0
-                best = np.flatnonzero(scores >= least) if least > 0 else np.flatnonzero(scores)
-                best = best[np.argsort(-scores[best], kind="stable")][:k]
-                yield best, scores[best]
+        """For each query, a set of ids that all count: the k best unused documents, best first, and their scores; ties by place."""
+        size = np.array([len(q) for q in queries])
+        term, row = np.concatenate(queries), np.repeat(np.arange(len(queries)), size)
+        slot = self.slot[term]
+        wants = np.zeros((len(queries), len(self.dense)), np.float32)
+        wants[row[slot >= 0], slot[slot >= 0]] = 1
+        wants[:, -1] = 1
+        scores = wants @ self.dense
+        rare, row = term[slot < 0], row[slot < 0]
+        first = np.where(rare > 0, self.ends[rare - 1], 0)
+        n = self.ends[rare] - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        np.add.at(scores.reshape(-1), np.repeat(row, n) * scores.shape[1] + self.posted[at], self.posted_weight[at])
+        tops = scores.reshape(len(queries), -1, GROUP).max(2)
+        for row, top in zip(scores, tops, strict=True):
+            # the k best stand in the k groups with the best tops, and in those that tie with them
+            least = np.partition(top, len(top) - k)[len(top) - k] if len(top) > k else 0
+            groups = np.flatnonzero((top >= least) & (top > 0))
+            at = (groups[:, None] * GROUP + np.arange(GROUP)).ravel()
+            at = at[row[at] > 0]
+            best = at[np.argsort(-row[at], kind="stable")][:k]
+            yield self.own[best], row[best]
 
 
 class Plan:
-    """Where each document stands.  A chain has a seed, whose unused neighbours fill the chain's window; the document that crosses
+    """Where each document of a shard stands.  A chain has a seed, whose unused neighbours fill the chain's window; the document that crosses
     the window's end is the next seed."""
 
     def __init__(self, sizes: np.ndarray, chains: int, length: int = LENGTH):
@@ -190,9 +277,10 @@ class Plan:
                 self.place(len(self.total) - 1, d)
         return {} if self.used.all() else dict(self.seed)
 
-    def take(self, found: dict[int, list[int]]) -> None:
+    def take(self, found: dict[int, list[int]]) -> list[int]:
         """found: each chain's best unused documents, best first.  A chain that gets a part of its window asks again with the same
-        seed; one whose seed has no neighbour left is closed."""
+        seed; one whose seed has no neighbour left is closed.  Returns the documents that are used now."""
+        taken = []
         for c in sorted(self.seed):
             if not found.get(c):
                 del self.seed[c]
@@ -201,24 +289,41 @@ class Plan:
             for d in found[c]:
                 if not self.used[d]:
                     self.place(c, d)
+                    taken.append(d)
                     room -= int(self.sizes[d])
                     if room <= 0:  # it crosses the end: its rest opens the next window
                         self.seed[c] = d
                         break
+        return taken
+
+
+def planned(docs: list[np.ndarray], idf: np.ndarray, mean: float, length: int = LENGTH, chains: int = CHAINS) -> Plan:
+    """The windows of a shard's documents.  The index is laid out anew when a quarter of its documents are used."""
+    plan, index = Plan(np.array([len(d) for d in docs]), max(1, min(chains, sum(map(len, docs)) // length // 8)), length), Index(docs, idf, mean)
+    started, left = 0, index.n
+    while seeds := plan.seeds():
+        if len(plan.total) > started:  # new chains have used their first seeds
+            for d in list(seeds.values()):
+                index.use(d)
+            started, left = len(plan.total), int(np.count_nonzero(~plan.used))
+        if 4 * left < 3 * index.n:
+            index.lay(np.flatnonzero(~plan.used))
+        found = index.search([index.terms[d].astype(np.int64) for d in seeds.values()], FETCH)
+        taken = plan.take({c: best.tolist() for c, (best, _) in zip(seeds, found, strict=True)})
+        for d in taken:
+            index.use(d)
+        left -= len(taken)
+    return plan
 
 
 def chain(docs: list[np.ndarray], idf: np.ndarray, mean: float, length: int = LENGTH) -> list[int]:
     """The order in which the documents of one shard fill the windows of one chain."""
-    plan, terms = Plan(np.array([len(d) for d in docs]), 1, length), [np.unique(d) for d in docs]
-    while seeds := plan.seeds():
-        free = np.flatnonzero(~plan.used)
-        index = Index([docs[i] for i in free], idf, mean)
-        plan.take({c: free[best].tolist() for c, (best, _) in zip(seeds, index.search([terms[d] for d in seeds.values()], FETCH), strict=True)})
+    plan = planned(docs, idf, mean, length, 1)
     return np.lexsort((plan.at, plan.chain)).tolist()
 
 
 def cuts(total: int, length: int = LENGTH) -> list[int]:
-    """Lengths of a shard's sequences: full ones, and powers of two for the rest."""
+    """Lengths of sequences for so many tokens: full ones, and powers of two for the rest."""
     rest = total % length
     return [length] * (total // length) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
@@ -234,6 +339,7 @@ class Layout:
         self.rest = np.cumsum(rest) - rest
         self.windows = int(self.full.sum()) // n
         self.starts = np.cumsum([0, *cuts(int(rest.sum()), n)])
+        self.count = self.windows + len(self.starts) - 1
 
     def pieces(self, chain: int, at: int, size: int):
         """start, length, sequence and offset of each piece of a document."""
@@ -252,120 +358,102 @@ class Layout:
             start += take
 
 
-def sizes_of(kept: DataFrame, kind: type) -> tuple[dict[int, int], np.ndarray]:
-    """The number of the first document of each part of the encoded table, and the tokens of each document."""
-
-    def run(batches):
-        for b in batches:
-            size = np.array([len(x.as_py()) // kind().itemsize for x in b.column("ids")], np.int32)
-            part = b.column("part").to_numpy()
-            first = np.flatnonzero(np.diff(part, prepend=-1))  # a batch may hold rows of several parts
-            blobs = [x.tobytes() for x in np.split(size, first[1:])] if len(size) else []
-            yield pa.RecordBatch.from_arrays([b.column("part").take(first), b.column("place").take(first), pa.array(blobs, pa.binary())], ["part", "place", "sizes"])
-
-    rows = sorted(kept.mapInArrow(tidy(run), "part long, place long, sizes binary").collect())
-    base, sizes, n = {}, [], 0
-    for r in rows:
-        base.setdefault(r.part, n)
-        sizes.append(np.frombuffer(r.sizes, np.int32))
-        n += len(sizes[-1])
-    return base, np.concatenate([np.zeros(0, np.int32), *sizes])
-
-
-def numbers(b: pa.RecordBatch, base: dict[int, int]) -> np.ndarray:
-    return np.array([base[p] for p in b.column("part").to_pylist()], np.int64) + b.column("place").to_numpy()
+def by_content(kept: DataFrame) -> DataFrame:
+    """The encoded table sorted by leaf over the partitions; a hash deals the documents of a leaf that is split."""
+    spark = kept.sparkSession
+    rows, size = kept.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
+    mixed = F.xxhash64("row")
+    if rows <= SHARD_DOCS and size <= 2 * SHARD_TOKENS:
+        return kept.coalesce(1).sortWithinPartitions("leaf", mixed, "row")
+    # partitions of one shard each, with room for the uneven ends that a range partitioning gives them
+    parts = max(-(-8 * rows // (7 * SHARD_DOCS)), -(-8 * size // (14 * SHARD_TOKENS)), spark.sparkContext.defaultParallelism)
+    return kept.repartitionByRange(parts, "leaf", mixed).sortWithinPartitions("leaf", mixed, "row")
+
+
+def shards(batches, kind: type):
+    """Ids of the documents and their arrays, a shard at a time: runs of rows within the bounds."""
+    names: list = []
+    docs: list = []
+    size = 0
+    for b in batches:
+        for i, x in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
+            d = np.frombuffer(x.as_py(), kind)
+            if docs and (size + len(d) > SHARD_TOKENS or len(docs) >= SHARD_DOCS):
+                yield names, docs
+                names, docs, size = [], [], 0
+            names.append(i)
+            docs.append(d)
+            size += len(d)
+    if docs:
+        yield names, docs
+
+
+def prepared(df: DataFrame, json_path: str, ranks_path: str, id_col: str, text_col: str):
+    """The encoded table, and a broadcast of the weights of ids and the mean length."""
+    spark = df.sparkSession
+    leaves = fitted(df, json_path, ranks_path, id_col, text_col)
+    sent = spark.sparkContext.broadcast(leaves) if leaves.centres.shape[1] else None
+    kept = materialise(encoded(df, json_path, ranks_path, sent, id_col, text_col), "token-ids")
+    seen, n_docs, n_tokens = frequencies(kept, id_kind(json_path))
+    idf = np.log1p((n_docs - seen + 0.5) / (seen + 0.5))
+    return kept, spark.sparkContext.broadcast((idf, n_tokens / max(1, n_docs)))
 
 
-def terms_of(kept: DataFrame, rows: list[int], base: dict[int, int], kind: type) -> dict[int, np.ndarray]:
-    """The ids of the given documents, each once."""
-    wanted = np.sort(np.array(rows, np.int64))
+def pack(df: DataFrame, json_path: str, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """Pieces of sequences; see the module for how they are found."""
+    kept, shared = prepared(df, json_path, ranks_path, id_col, text_col)
+    kind = id_kind(json_path)
 
     def run(batches):
-        for b in batches:
-            n = numbers(b, base)
-            at = np.flatnonzero(np.isin(n, wanted))
-            ids = [np.unique(np.frombuffer(b.column("ids")[i].as_py(), kind)).tobytes() for i in at.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(n[at], pa.int64()), pa.array(ids, pa.binary())], ["row", "ids"])
-
-    return {r.row: np.frombuffer(r.ids, kind).astype(np.int64) for r in kept.mapInArrow(tidy(run), "row long, ids binary").collect()}
-
+        idf, mean = shared.value
+        sequence = TaskContext.get().partitionId() << 40
+        for names, docs in shards(batches, kind):
+            plan = planned(docs, idf, mean, length)
+            layout = Layout(plan)
+            out: list[tuple] = []
+            for r, (i, d) in enumerate(zip(names, docs, strict=True)):
+                d = d.astype("<u4")
+                for start, n, seq, offset in layout.pieces(int(plan.chain[r]), int(plan.at[r]), len(d)):
+                    out.append((i, start, n, zlib.crc32(d[start : start + n].tobytes()), len(d), sequence + seq, offset))
+                if len(out) > 8192:
+                    yield batch(out)
+                    out = []
+            yield batch(out)
+            sequence += layout.count
 
-def nearest(kept: DataFrame, seeds: dict[int, int], used: np.ndarray, base: dict[int, int], kind: type, shared) -> dict[int, list[int]]:
-    """The FETCH best unused documents of the whole corpus for each seed: every shard is searched, the top lists are merged."""
-    spark = kept.sparkSession
-    chains = list(seeds)
-    terms = terms_of(kept, list(seeds.values()), base, kind)
-    sent = spark.sparkContext.broadcast(([terms[d].astype(kind) for d in seeds.values()], np.packbits(used)))
+    return by_content(kept).select("doc_id", "ids").mapInArrow(tidy(run), PIECES)
 
-    def run(batches):
-        (idf, mean), (queries, bits) = shared.value, sent.value
-        queries = [q.astype(np.int64) for q in queries]
-        tops: list = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(queries)
-        rows: list = []
-        docs: list = []
-        size = 0
-
-        def search():
-            own = np.array(rows, np.int64)
-            for i, (best, scores) in enumerate(Index(docs, idf, mean).search(queries, FETCH)):
-                if len(tops[i][0]):
-                    best, scores = np.concatenate([tops[i][0], own[best]]), np.concatenate([tops[i][1], scores])
-                    order = np.argsort(-scores, kind="stable")[:FETCH]
-                    tops[i] = best[order], scores[order]
-                else:
-                    tops[i] = own[best], scores
 
-        for b in batches:
-            n = numbers(b, base)
-            for i in np.flatnonzero((bits[n >> 3] >> (7 - (n & 7)).astype(np.uint8) & 1) == 0).tolist():
-                d = np.frombuffer(b.column("ids")[i].as_py(), kind)
-                if docs and (size + len(d) > SHARD_TOKENS or len(docs) >= SHARD_DOCS):
-                    search()
-                    rows, docs, size = [], [], 0
-                rows.append(n[i])
-                docs.append(d)
-                size += len(d)
-        if docs:
-            search()
-            rows, docs = [], []
-        for first in range(0, len(tops), 1024):
-            some = tops[first : first + 1024]
-            which = np.repeat(np.arange(first, first + len(some)), [len(t[0]) for t in some])
-            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(np.concatenate([t[0] for t in some])), pa.array(np.concatenate([t[1] for t in some]))], ["q", "row", "score"])
-
-    order = W.partitionBy("q").orderBy(F.desc("score"), "row")
-    found = kept.mapInArrow(tidy(run), "q long, row long, score float")
-    found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FETCH).select("q", "place", "row").toArrow()
-    sent.destroy()
-    q, place, row = (found.column(i).to_numpy() for i in range(3))
-    out: dict[int, list[int]] = {}
-    for i in np.lexsort((place, q)).tolist():
-        out.setdefault(chains[q[i]], []).append(int(row[i]))
-    return out
+def batch(out: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*out, strict=True)) or [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
-def pack(df: DataFrame, json_path: str, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    spark = df.sparkSession
+def recall(df: DataFrame, json_path: str, ranks_path: str, every: int = 50, k: int = FETCH, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """How the shards' retrieval compares with brute force over all documents, for the documents whose id is divisible by every: the share of the
+    true k best that the own shard gives, and the share of their total score.  Each task scores the queries against its shards in
+    blocks; the queries' ids are sent to all tasks, so their number should be bounded by every."""
+    kept, shared = prepared(df, json_path, ranks_path, id_col, text_col)
     kind = id_kind(json_path)
-    kept = materialise(encoded(df, json_path, ranks_path, id_col, text_col), "token-ids")
-    seen, n_docs, n_tokens = frequencies(kept, kind)
-    idf = np.log1p((n_docs - seen + 0.5) / (seen + 0.5))
-    shared = spark.sparkContext.broadcast((idf.astype(np.float64), n_tokens / max(1, n_docs)))
-    base, sizes = sizes_of(kept, kind)
-    plan = Plan(sizes, max(1, min(ROUND_SEEDS, n_tokens // length // ROUNDS)), length)
-    while seeds := plan.seeds():
-        plan.take(nearest(kept, seeds, plan.used, base, kind, shared))
-    placed = spark.sparkContext.broadcast((plan.chain, plan.at, Layout(plan)))
+    queries = sorted((r.doc_id, bytes(r.ids)) for r in kept.where(F.col("doc_id") % every == 0).select("doc_id", "ids").collect())
+    sent = kept.sparkSession.sparkContext.broadcast([(i, np.unique(np.frombuffer(x, kind)).astype(np.int64)) for i, x in queries])
 
     def run(batches):
-        chains, at, layout = placed.value
-        for b in batches:
-            out: list[tuple] = []
-            for i, r, x in zip(b.column("doc_id").to_pylist(), numbers(b, base).tolist(), b.column("ids"), strict=True):
-                d = np.frombuffer(x.as_py(), kind).astype("<u4")
-                for start, n, seq, offset in layout.pieces(int(chains[r]), int(at[r]), len(d)):
-                    out.append((i, start, n, zlib.crc32(d[start : start + n].tobytes()), len(d), seq, offset))
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return kept.mapInArrow(tidy(run), PIECES)
+        idf, mean = shared.value
+        for names, docs in shards(batches, kind):
+            index, have = Index(docs, idf, mean), set(names)
+            for first in range(0, len(sent.value), CHAINS):
+                block = sent.value[first : first + CHAINS]
+                out = [(q, q in have, names[d], v) for (q, _), (best, scores) in zip(block, index.search([t for _, t in block], k + 1), strict=True) for d, v in zip(best.tolist(), scores.tolist(), strict=True) if names[d] != q]
+                cols = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.float64()), strict=True)], ["q", "own", "d", "score"])
+
+    found: dict[int, list] = {}
+    for r in by_content(kept).select("doc_id", "ids").mapInArrow(tidy(run), "q long, own boolean, d long, score double").collect():
+        found.setdefault(r.q, []).append((-r.score, r.d, r.own))
+    hit = total = got = best = 0.0
+    for rows in found.values():
+        top = sorted(rows)[:k]
+        hit, total = hit + sum(own for _, _, own in top), total + len(top)
+        best, got = best - sum(x for x, _, _ in top), got - sum(x for x, _, _ in sorted(r for r in rows if r[2])[:k])
+    return {"queries": len(found), "recall": hit / total if total else 1.0, "score": got / best if best else 1.0}

@@ -239,7 +239,7 @@ def test_packing_fills_a_window_by_all_ids_of_its_seed():
 
 
 def test_packing_finds_neighbours_in_other_partitions(spark):
-    """Each partition holds one document of each topic: a document's neighbours are in other shards only."""
+    """Each scan partition holds one document of each topic: a document's neighbours stand in others."""
     rng = np.random.default_rng(4)
     words = ["".join(rng.choice(list("bcdfgklmnprstvz"), 5)) for _ in range(40 * 130)]
     texts = [" ".join(rng.permutation(words[130 * t : 130 * t + 130])[:110]) for _ in range(8) for t in range(40)]
@@ -249,33 +249,57 @@ def test_packing_finds_neighbours_in_other_partitions(spark):
     assert np.mean(near) > 0.5
 
 
-def test_packing_searches_every_shard(spark):
-    """Top lists over all partitions equal those of brute force with the whole BM25 score."""
+def bm25(docs, idf, mean, query):
+    score = np.zeros(len(docs))
+    for i, d in enumerate(docs):
+        for t in np.intersect1d(query, d):
+            tf = np.count_nonzero(d == t)
+            score[i] += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+    return score
+
+
+@pytest.mark.parametrize("dense", [0.0, 0.2, 1.0])
+def test_packing_search_equals_brute_force(monkeypatch, dense):
+    """Top lists of unused documents by the whole BM25 score, before and after the index is laid out anew."""
+    monkeypatch.setattr(packing, "DENSE", dense)
     rng = np.random.default_rng(5)
     docs = [np.append(rng.choice(300, rng.integers(5, 120)), 300).astype(np.uint16) for _ in range(240)]
     seen = np.bincount(np.concatenate([np.unique(d) for d in docs]))
     idf, mean = np.log1p((240 - seen + 0.5) / (seen + 0.5)), float(np.mean([len(d) for d in docs]))
-    rows = [(i, bytearray(d.tobytes()), i // 40, i % 40) for i, d in enumerate(docs)]
-    kept = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "doc_id long, ids binary, part long, place long")
-    base, sizes = packing.sizes_of(kept, np.uint16)
-    assert sizes.tolist() == [len(d) for d in docs]
-    used = np.arange(240) % 7 == 0
-    found = packing.nearest(kept, {c: 7 * c for c in range(20)}, used, base, np.uint16, spark.sparkContext.broadcast((idf, mean)))
-    for c in range(20):
-        score = np.zeros(240)
-        for i, d in enumerate(docs):
-            for t in np.intersect1d(docs[7 * c], d):
-                tf = np.count_nonzero(d == t)
-                score[i] += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
-        score[used] = 0
-        assert np.allclose(score[found[c]], np.sort(score)[::-1][: packing.FETCH], rtol=1e-5)
+    index = packing.Index(docs, idf, mean)
+    used = np.zeros(240, bool)
+    for step in (0, 3, 2):
+        if step:
+            used[::step] = True
+            for d in np.flatnonzero(used).tolist():
+                index.use(d)
+            if step == 2:
+                index.lay(np.flatnonzero(~used))
+        for d, (best, found) in zip(range(20), index.search([np.unique(docs[d]).astype(np.int64) for d in range(20)], 16), strict=True):
+            score = bm25(docs, idf, mean, docs[d]) * ~used
+            assert not used[best].any() and len(set(best.tolist())) == 16
+            assert np.allclose(found, np.sort(score)[::-1][:16], rtol=1e-5) and np.allclose(score[best], found, rtol=1e-5)
+
+
+def test_packing_shards_by_content(spark, monkeypatch):
+    """More documents than a shard holds: like contents meet, so a shard finds nearly all that brute force over all documents finds."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 60)
+    monkeypatch.setattr(packing, "LEAF_DOCS", 20)
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("bcdfgklmnprstvz"), 5)) for _ in range(20 * 130)]
+    texts = [" ".join(rng.permutation(words[130 * t : 130 * t + 130])[:90]) for _ in range(12) for t in range(20)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 5), "doc_id long, text string")
+    found = packing.recall(df, queries.TOKENIZER, queries.RANKS, every=3, k=8)
+    assert found["queries"] == 80 and found["recall"] > 0.9 and found["score"] > 0.9
+    pieces = packing.pack(df, queries.TOKENIZER, queries.RANKS).collect()
+    assert {p.doc_id for p in pieces} == set(range(240)) and sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
 
 
 def test_encoder_equals_library_on_all_code_points():
     t, e = tokenizer(), packing.Encoder(queries.TOKENIZER, queries.RANKS)
     texts = ["".join(f"a{chr(c)}1{chr(c)} {chr(c)}" for c in range(i, i + 64) if not 0xD800 <= c < 0xE000) for i in range(0, 0x30000, 64)]
     for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert e.ids(text) == want.ids
+        assert e.ids(text).tolist() == want.ids
 
 
 # 5
