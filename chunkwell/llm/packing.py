@@ -28,6 +28,7 @@ import base64
 import json
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,12 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, hash_sample, materialise, tidy
 from .token_counts import unsure
 
-LENGTH, END_ID, SHARD_TOKENS, SHARD_DOCS = 2048, 1, 48_000_000, 16_384
+LENGTH, END_ID, SHARD_TOKENS, SHARD_DOCS = 2048, 1, 48_000_000, 12_288
 #: Chains side by side in a shard, neighbours that a search brings (a seed asks again for more), the share of a shard's documents from
 #: which an id's weights are a row of a matrix, rows of it at most, and documents whose best score is looked at together.
 CHAINS, FETCH, DENSE, DENSE_ROWS, GROUP = 128, 16, 0.03, 2048, 64
 #: Leaves at most, documents of each that there should be, and the sample that the centres are fitted on.
-LEAVES, LEAF_DOCS, SAMPLE_DOCS, SAMPLE_TOKENS, CENTRE_STEPS = 256, 1024, 4096, 4096, 8
+LEAVES, LEAF_DOCS, LEAF_IDS, SAMPLE_DOCS, SAMPLE_TOKENS, CENTRE_STEPS = 256, 1024, 4096, 4096, 2048, 8
 K1, B, USED = 1.2, 0.75, -1e9
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _LOADED: dict = {}
@@ -78,7 +79,7 @@ class Encoder:
         return np.concatenate([np.array([self.special[p]], np.uint32) if p in self.special else self.plain(p) for p in self.find.split(text)])
 
     def plain(self, text: str) -> np.ndarray:
-        return self.bpe.encode_to_numpy(text, disallowed_special=())
+        return np.frombuffer(array("I", self.bpe.encode_ordinary(text)), np.uint32)
 
 
 def encoder(json_path: str, ranks_path: str) -> Encoder:
@@ -95,38 +96,41 @@ def id_kind(json_path: str) -> type:
 
 
 class Leaves:
-    """Centres of documents as sets of ids, in an order in which each is followed by the most similar one that is left."""
+    """Centres of documents as sets of ids, in an order in which each is followed by the most similar one that is left.  The ids are the
+    LEAF_IDS most frequent of the sample, without those of a single document."""
 
     def __init__(self, docs: list[np.ndarray], wanted: int):
         terms = [np.unique(d) for d in docs]
-        n = max(1, len(terms))
         seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *terms]))
-        self.weight = np.where(seen > 0, np.log1p((n - seen + 0.5) / (seen + 0.5)), 0).astype(np.float32)
+        known = np.argsort(-seen, kind="stable")[:LEAF_IDS]
+        known = np.sort(known[seen[known] > 1])
+        self.slot = np.full(len(seen), -1, np.int32)
+        self.slot[known] = np.arange(len(known))
+        self.weight = np.log1p((len(terms) - seen[known] + 0.5) / (seen[known] + 0.5)).astype(np.float32)
         k = min(wanted, len(terms))
-        x = np.stack([self.vector(t) for t in terms]) if terms else np.zeros((0, len(seen)), np.float32)
+        x = np.zeros((len(terms), len(known)), np.float32)
+        for row, t in zip(x, terms, strict=True):
+            s = self.slot[t]
+            row[s[s >= 0]] = self.weight[s[s >= 0]]
+            row /= max(1e-9, float(np.linalg.norm(row)))
         centres = x[np.linspace(0, len(x) - 1, k).astype(int)] if k else x
         for _ in range(CENTRE_STEPS if k > 1 else 0):
-            sums = np.zeros_like(centres)
-            np.add.at(sums, (x @ centres.T).argmax(1), x)
+            near = (x @ centres.T).argmax(1)
+            sums = np.stack([x[near == c].sum(0) for c in range(k)])
             centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
         order, left = [], list(range(k))
         while left:
             order.append(left.pop(max(range(len(left)), key=lambda j: float(centres[order[-1]] @ centres[left[j]])) if order else 0))
         self.centres = np.ascontiguousarray(centres[order].T)  # a row for each id
 
-    def vector(self, terms: np.ndarray) -> np.ndarray:
-        v = np.zeros(len(self.weight), np.float32)
-        t = terms[terms < len(v)]
-        v[t] = self.weight[t]
-        return v / max(1e-9, float(np.linalg.norm(v)))
-
-    def of(self, ids: np.ndarray) -> int:
-        """The leaf of a document: weighted by counts, so that the rows of the matrix are added once a token."""
-        if self.centres.shape[1] < 2:
-            return 0
-        t = np.unique(ids)
-        t = t[t < len(self.weight)]
-        return int((self.weight[t] @ self.centres[t]).argmax())
+    def of(self, terms: list[np.ndarray]) -> np.ndarray:
+        """For each document, a set of ids: the leaf whose centre has the largest cosine with it."""
+        x = np.zeros((len(terms), len(self.weight)), np.float32)
+        for row, t in zip(x, terms, strict=True):
+            s = self.slot[t[t < len(self.slot)]]
+            s = s[s >= 0]
+            row[s] = self.weight[s]
+        return (x @ self.centres).argmax(1)
 
 
 def fitted(df: DataFrame, json_path: str, ranks_path: str, id_col: str, text_col: str) -> Leaves:
@@ -143,46 +147,41 @@ def fitted(df: DataFrame, json_path: str, ranks_path: str, id_col: str, text_col
 
 def encoded(df: DataFrame, json_path: str, ranks_path: str, leaves=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids: little-endian unsigned 32-bit, cut to 16 bits where the vocabulary allows; with the end id.  leaf; row numbers the
-    rows: the scan's partition, and a running number in it."""
+    rows: the scan's partition, and a running number in it.  The last row of a task has no ids but seen: how many of its documents
+    hold each id; then the number of its documents and of its tokens."""
     bounded_batches(df.sparkSession)
+    names = ["doc_id", "ids", "leaf", "row", "seen"]
 
     def run(batches):
         enc = encoder(json_path, ranks_path)
         kind = np.uint16 if enc.size <= 1 << 16 else np.uint32
-        row = TaskContext.get().partitionId() << 33
+        row, docs, tokens, seen = TaskContext.get().partitionId() << 33, 0, 0, np.zeros(enc.size + 2, np.int64)
         for b in batches:
-            ids = [np.append(enc.ids(t or ""), END_ID).astype(kind) for t in b.column(1).to_pylist()]
-            leaf = [leaves.value.of(x) if leaves else 0 for x in ids]
-            where = pa.array(np.arange(row, row + len(ids)))
-            row += len(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(leaf, pa.int32()), where], ["doc_id", "ids", "leaf", "row"])
-
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, ids binary, leaf int, row long")
-
-
-def frequencies(ids: DataFrame, kind: type) -> tuple[np.ndarray, int, int]:
+            for first in range(0, b.num_rows, 256):
+                part = b.slice(first, 256)
+                ids = [np.append(enc.ids(t or ""), END_ID).astype(kind) for t in part.column(1).to_pylist()]
+                terms = [np.unique(x) for x in ids]
+                for t in terms:
+                    seen[t] += 1
+                docs, tokens = docs + len(ids), tokens + sum(map(len, ids))
+                leaf = leaves.value.of(terms) if leaves else np.zeros(len(ids))
+                where = pa.array(np.arange(row, row + len(ids)))
+                row += len(ids)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(leaf.astype(np.int32)), where, pa.nulls(len(ids), pa.list_(pa.int64()))], names)
+        seen[-2:] = docs, tokens
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([seen], pa.list_(pa.int64()))], names)
+
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, ids binary, leaf int, row long, seen array<long>")
+
+
+def frequencies(kept: DataFrame) -> tuple[np.ndarray, int, int]:
     """Documents that hold each id, number of documents, number of tokens: over all rows, summed by Spark."""
-
-    def run(batches):
-        seen, docs, tokens = np.zeros(1 << 16, np.int64), 0, 0
-        for b in batches:
-            for x in b.column(0):
-                a = np.frombuffer(x.as_buffer(), kind)
-                if len(a) and (top := int(a.max())) >= len(seen):
-                    seen = np.concatenate([seen, np.zeros(top + 1 - len(seen), np.int64)])
-                seen[np.unique(a)] += 1
-                docs, tokens = docs + 1, tokens + len(a)
-        at = np.flatnonzero(seen)
-        keys = np.concatenate([at, [-1, -2]])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate([seen[at], [docs, tokens]]), pa.int64())], ["id", "n"])
-
-    rows = ids.select("ids").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    found = {r.id: r.n for r in rows}
-    table = np.zeros(max(found, default=0) + 1, np.int64)
-    for k, n in found.items():
-        if k >= 0:
-            table[k] = n
-    return table, found.get(-1, 0), found.get(-2, 0)
+    counted = kept.where("leaf < 0").select(F.posexplode("seen").alias("id", "n")).where("n > 0").groupBy("id").agg(F.sum("n").alias("n"))
+    size = kept.where("leaf < 0").agg(F.max(F.size("seen"))).first()[0] or 2
+    table = np.zeros(size, np.int64)
+    for r in counted.collect():
+        table[r.id] = r.n
+    return table[:-2], int(table[-2]), int(table[-1])
 
 
 class Index:
@@ -394,7 +393,8 @@ def prepared(df: DataFrame, json_path: str, ranks_path: str, id_col: str, text_c
     leaves = fitted(df, json_path, ranks_path, id_col, text_col)
     sent = spark.sparkContext.broadcast(leaves) if leaves.centres.shape[1] else None
     kept = materialise(encoded(df, json_path, ranks_path, sent, id_col, text_col), "token-ids")
-    seen, n_docs, n_tokens = frequencies(kept, id_kind(json_path))
+    seen, n_docs, n_tokens = frequencies(kept)
+    kept = kept.where("leaf >= 0").drop("seen")
     idf = np.log1p((n_docs - seen + 0.5) / (seen + 0.5))
     return kept, spark.sparkContext.broadcast((idf, n_tokens / max(1, n_docs)))
 
