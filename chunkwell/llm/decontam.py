@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, settled, small_side, words_of
+from .common import materialise, settled, small_side, unused, words_of
 
 WINDOW, BLOCK_WORDS, BROADCAST_WINDOWS = 13, 20_000, 200_000
 
@@ -166,5 +166,6 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, n: int = WIN
 def keep_clean(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows in whose text no window occurs, with all their columns.  Each row is decided by its own text, whatever its id."""
     digest = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
-    bad = contamination(docs.select(digest.alias("__digest"), text_col), items, n, "__digest", text_col).where("n_hit > 0").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(small_side(bad), digest == F.col("__bad"), "left_anti")
+    own, bad = unused(docs, "__digest", "__bad")
+    found = contamination(docs.select(digest.alias(own), text_col), items, n, own, text_col).where("n_hit > 0").select(F.col("doc_id").alias(bad)).distinct()
+    return docs.join(small_side(found), digest == F.col(bad), "left_anti")

@@ -4,7 +4,7 @@ Documents with equal sets are one class.  Between classes the join works with th
 which is a metric.
 
 Pivots and regions.  The nearest sets with one element to a document are those of its own shingles;
-they are the pivots, ordered by the count of their rarest word over all documents.  A partner within
+they are the first pivots, ordered by the count of their rarest word over all documents.  A partner within
 distance ``1 - t`` can lack only ``floor((1 - t) n)`` of a document's n shingles, so the document's
 window reaches over its first ``floor((1 - t) n) + 1`` pivots, and any two linked documents meet in a region.
 (Documents as first pivots do not work here: unrelated documents are all at distance 1 from
@@ -13,17 +13,22 @@ each other, so every window would hold everything.)
 Inside regions the join goes on with documents as pivots.  The member with the smallest hash is a region's centre; regions
 with the same centre are one.  Members that can't link by the counts of their shingles in hash buckets, a bound on what two sets
 have in common, leave first.  A region of at most ``BLOCK`` members is compared in one task, which returns a spanning
-forest of its links.  A larger one is dealt into parts, each with a copy of the centre: a part returns its forest and the
-distance of each member to the centre.  Then members are dealt anew into zones of that distance, and by the
-triangle inequality only blocks of the same or of neighbouring zones are compared, and of those only blocks that do
-not lie in one component already.  So no pair is left out, none is written, and a task holds at most two blocks.
+forest of its links.  A larger one is dealt into parts, each with copies of the same pivots, some of its members: a part returns its forest and,
+for each member, its Voronoi cells.  A member belongs to the cell of its nearest pivot, if that is within ``RADIUS``, or else to the rest; its window
+copies it into the cells of all pivots that are at most twice the join's distance farther than the nearest, and within ``RADIUS`` and once that distance.
+By the triangle inequality any two linked members meet in a cell or in the rest.  These are regions again: one whose members lie in one component
+already is done, one of at most ``BLOCK`` members is compared, a larger one is split once more.  Where cells do not shrink (members that
+are near each other but not linked), the region's blocks are compared with each other, those of one component left out.  So no pair is left out, none is
+written, and a task holds at most two blocks or a block and the pivots.
 
-Shingles are hashed to 64 bits from the words' own 64-bit hashes.
+Shingles are hashed to 64 bits for classes, pivots and buckets; links are decided on the words themselves, which are numbered within a
+comparison.
 
 Defined cases: lower-casing is of A-Z; words are what ASCII white space separates; a text with fewer
 words than a shingle is one shingle; null and wordless texts have no shingle and link with nothing;
-repeated rows are one class; where one id comes with several texts, each row keeps its own count and
-the id's component follows the longest of them; a null id takes no part in links and comes back as its own row.
+repeated rows are one class; where one id comes with several texts, each row has its own count and
+is decided by its own text; a null id takes no part in links and comes back as its own row; an empty table gives no
+rows; a long text is one set, held by one task; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,15 +38,18 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded_batches, materialise, settled, small_side, tidy
+from .common import bounded_batches, materialise, settled, small_side, tidy, unused
 from .components import components
 
 WORDS, PERCENT = 3, 90
 SLOTS, BLOCK, DENSE, BUCKETS = 1 << 18, 512, 24, 128
+#: Document pivots of a region that is split, the levels of splitting at most, and the share of a region's comparisons that its
+#: cells may cost; the radius of a cell, and the name of the cell of members outside all of them.
+PIVOTS, LEVELS, SHRINK, RADIUS, REST = 32, 6, 0.7, 0.75, -1
 CACHED_WORDS = 150_000
 _CACHE: dict[bytes, int] = {}
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -95,6 +103,31 @@ def exact_shingles(text: str | None, k: int) -> set[tuple]:
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
+def numbered(texts: list[str], k: int) -> list[np.ndarray]:
+    """The shingle sets of texts, exactly: words are numbered, and so are their runs, one word after the other."""
+    known: dict[bytes, int] = {}
+    rows = [np.array([known.setdefault(w, len(known)) for w in words(t)], np.int64) for t in texts]
+    size = np.array([len(r) for r in rows])
+    flat = np.concatenate(rows)
+    lengths = np.repeat(np.minimum(size, k), size)
+    at = np.arange(len(flat))
+    ends = np.repeat(np.cumsum(size), size)
+    # the number of the run of i words that begins at a word; runs end with their text, where a word -1 stands for what is missing
+    run = flat
+    for i in range(1, k):
+        there = at + i < ends
+        nxt = np.where(there, flat[np.minimum(at + i, len(flat) - 1)], -1) + 1
+        _, run = np.unique(run * (len(known) + 1) + nxt, return_inverse=True)
+    whole = at + lengths <= ends  # runs of k words, or of the whole text where that is shorter
+    where = np.repeat(np.arange(len(rows)), size)[whole]
+    order = np.lexsort((run[whole], where))
+    run, where = run[whole][order], where[order]
+    first = np.ones(len(run), bool)
+    first[1:] = (run[1:] != run[:-1]) | (where[1:] != where[:-1])
+    run, where = run[first], where[first]
+    return np.split(run.astype(np.uint64), np.searchsorted(where, np.arange(1, len(rows))))
+
+
 def window_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
@@ -117,9 +150,19 @@ def word_table(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Bucket counts in one, two or four bytes each, as the largest needs; the length tells which."""
+    most = int(counts.max())
+    return counts.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, {1: "u1", 2: "<u2", 4: "<u4"}[len(blob) // BUCKETS]).astype(np.int64)
+
+
 def described(docs: DataFrame, table, k: int, percent: int) -> DataFrame:
-    """doc_id, n, sig (of the whole set), pivots (the window's shingles, nearest region first), hist (shingles in each of BUCKETS hash
-    buckets)."""
+    """doc_id, h, n, sig (of the whole set), pivots (the window's shingles, nearest region first), hist (shingles in each of BUCKETS
+    hash buckets).  docs: doc_id, text, h."""
 
     def run(batches):
         rarity = table.value
@@ -131,10 +174,10 @@ def described(docs: DataFrame, table, k: int, percent: int) -> DataFrame:
                 size.append(len(s))
                 sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 pivots.append(s[np.lexsort((s, low))][: window_size(len(s), percent)].view(np.int64))
-                hists.append(np.bincount((s >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(sigs, pa.binary()), pa.array(pivots, pa.list_(pa.int64())), pa.array(hists, pa.binary())], ["doc_id", "n", "sig", "pivots", "hist"])
+                hists.append(packed(np.bincount((s >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(sigs, pa.binary()), pa.array(pivots, pa.list_(pa.int64())), pa.array(hists, pa.binary())], ["doc_id", "h", "n", "sig", "pivots", "hist"])
 
-    return docs.mapInArrow(tidy(run, cache), "doc_id long, n long, sig binary, pivots array<long>, hist binary")
+    return docs.mapInArrow(tidy(run, cache), "doc_id long, h long, n long, sig binary, pivots array<long>, hist binary")
 
 
 def sieve(rows: DataFrame, percent: int) -> DataFrame:
@@ -142,7 +185,7 @@ def sieve(rows: DataFrame, percent: int) -> DataFrame:
     the smaller counts over the buckets, so a pair that fails on that bound has no link."""
 
     def run(key, t):
-        h = np.frombuffer(b"".join(t.column("hist").to_pylist()), "<u4").reshape(-1, BUCKETS).astype(np.int64)
+        h = np.stack([unpacked(x) for x in t.column("hist").to_pylist()])
         n, keep = h.sum(1), np.zeros(len(h), bool)
         for i in range(0, len(h), 32):
             most = np.minimum(h[i : i + 32, None], h[None]).sum(2)
@@ -196,118 +239,176 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def compare(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """rows (c, part, x): groups of at most 2 BLOCK members and a centre.  a, b: a spanning forest of the links in each group; and
-    (c, x, d): the distance of each member to the centre if that is in the group, as rows with a null b."""
-    whole = texts.select(F.col("rep").alias("x"), "text").join(small_side(materialise(rows, "groups")), "x").select("c", "part", "x", "text")
+def compare(rows: DataFrame, texts: DataFrame, k: int, percent: int, pivots: DataFrame | None = None) -> DataFrame:
+    """rows (c, part, x): groups of at most 2 BLOCK members.  a, b: a spanning forest of the links in each group.  With pivots (c, x), which stand in every
+    group of their region: also (c, cell, a) with a null b, the cells that member a belongs to."""
+    both = rows.withColumn("pivot", F.lit(False))
+    if pivots is not None:
+        both = rows.join(small_side(pivots.withColumn("pivot", F.lit(True))), ["c", "x"], "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
+    whole = texts.join(small_side(materialise(both, "groups")), "x").select("c", "part", "x", "text", "pivot")
+    eps = (100 - percent) / 100 + 1e-9
 
     def run(key, t):
         c = t.column("c")[0].as_py()
         xs = np.array(t.column("x").to_pylist())
-        sets = [shingles(word_hashes(words(s)), k) for s in t.column("text").to_pylist()]
+        sets = numbered(t.column("text").to_pylist(), k)
         inter = common(sets)
         n = np.array([len(s) for s in sets])
         total = n[:, None] + n[None, :] - inter
         linked = (100 * inter >= percent * total) & (total > 0)
-        edges = [(c, int(xs[i]), int(xs[j]), None) for i, j in forest(linked)]
-        at = np.flatnonzero(xs == c)
+        links = forest(linked)
+        a, b = [int(xs[i]) for i, _ in links], [int(xs[j]) for _, j in links]
+        cells: list = [None] * len(a)
+        at = np.flatnonzero(t.column("pivot").to_numpy(zero_copy_only=False))
         if len(at):
-            d = 1 - inter[at[0]] / np.maximum(total[at[0]], 1)
-            edges += [(c, int(x), None, float(v)) for x, v in zip(xs, d, strict=True)]
-        cols = list(zip(*edges, strict=True)) or [(), (), (), ()]
-        return pa.table([pa.array(v, kind) for v, kind in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["c", "a", "b", "d"])
-
-    return whole.groupBy("c", "part").applyInArrow(run, "c long, a long, b long, d double")
-
-
-def linked_classes(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """node, component of the classes that have links.  members: (region p, class x); reps: (rep, hist).
-
-    Regions with the same centre, the member with the smallest hash, are joined as one: near copies share their centre in nearly
-    all their regions, so a member is sent once instead of once for each shingle.
-    """
-    eps = (100 - percent) / 100
-    centres = members.groupBy("p").agg(F.min_by("x", F.struct(F.xxhash64("x"), "x")).alias("c"))
-    joined = materialise(members.join(centres, "p").select("c", "x").distinct(), "joined")
-    size = joined.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    joined = joined.join(size, "c")
-    small = sieve(joined.where("parts = 1").join(reps.select(F.col("rep").alias("x"), "hist"), "x").select("c", "x", "hist"), percent)
-    joined = materialise(joined.where("parts > 1").select("c", "x", "parts").unionByName(small.withColumn("parts", F.lit(1))), "sieved")
-    size = size.where("parts > 1")
-    wanted = joined.select(F.col("x").alias("rep")).union(size.select("c")).distinct()
-    texts = materialise(docs.join(small_side(wanted), F.col("doc_id") == F.col("rep")).select("rep", "text"), "texts")
-    if not texts.groupBy("rep").count().where("count > 1").isEmpty():  # repeated rows of an id: its longest text
-        texts = materialise(texts.groupBy("rep").agg(F.max_by("text", F.struct(F.octet_length("text"), "text")).alias("text")), "texts")
-    own = joined.withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("string"))
-    # the centre of a region of several parts is in each of them
-    copies = size.select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<string>")).alias("part"), F.col("c").alias("x"))
-    found = materialise(compare(own.select("c", "part", "x").unionByName(copies).distinct(), texts, k, percent), "compared")
-    edges = found.where("b is not null").select("a", "b")
-    comps = None if edges.isEmpty() else materialise(components(edges), "comps")
-
-    # regions of several parts: members of different parts, in zones of their distance to the centre
-    large = joined.where("parts > 1").select("c", "x").join(found.where("b is null").select("c", F.col("a").alias("x"), "d").distinct(), ["c", "x"])
-    if large.isEmpty():
+            d = 1 - inter[:, at] / np.maximum(total[:, at], 1)
+            least = d.min(1, keepdims=True)
+            member, cell = np.nonzero(d <= np.minimum(least + 2 * eps, RADIUS + eps))
+            rest = np.flatnonzero(least[:, 0] > RADIUS)
+            a, b = a + xs[member].tolist() + xs[rest].tolist(), b + [None] * (len(member) + len(rest))
+            cells += xs[at[cell]].tolist() + [REST] * len(rest)
+        return pa.table([pa.array([c] * len(a), pa.int64()), pa.array(cells, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["c", "cell", "a", "b"])
+
+    return whole.groupBy("c", "part").applyInArrow(run, "c long, cell long, a long, b long")
+
+
+def merged(comps: DataFrame | None, edges: DataFrame) -> DataFrame | None:
+    """node, component after more edges (a, b)."""
+    if edges.isEmpty():
         return comps
-    known = None if comps is None else comps.select(F.col("node").alias("x"), "component")
-    large = large.withColumn("comp", F.col("x")) if known is None else large.join(known, "x", "left").withColumn("comp", F.coalesce("component", "x")).drop("component")
-    # by the triangle inequality, members whose distances differ by more than eps have no link: zones of that width meet their neighbours only
-    large = large.withColumn("zone", F.floor(F.col("d") / (eps + 1e-9)).cast("int"))
-    counts = large.groupBy("c", "zone").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("subs"))
-    large = materialise(large.join(counts, ["c", "zone"]).withColumn("sub", F.pmod(F.xxhash64("x", F.lit(1)), F.col("subs")).cast("int")), "zones")
-    blocks = large.groupBy("c", "zone", "sub").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    l, r = blocks.alias("l"), blocks.alias("r")
-    first, second = F.struct("l.zone", "l.sub"), F.struct("r.zone", "r.sub")
-    pairs = l.join(r, (F.col("l.c") == F.col("r.c")) & (F.col("r.zone") - F.col("l.zone")).between(0, 1) & (first <= second))
-    # blocks that hold one component between them need no test
-    pairs = pairs.where((F.least("l.low", "r.low") != F.greatest("l.high", "r.high"))).select(F.col("l.c").alias("c"), F.concat_ws("/", "l.zone", "l.sub", "r.zone", "r.sub").alias("part"), F.explode(F.array_distinct(F.array(first, second))).alias("b"))
-    pairs = pairs.select("c", "part", F.col("b.zone").alias("zone"), F.col("b.sub").alias("sub"))
-    across = materialise(compare(large.join(pairs, ["c", "zone", "sub"]).select("c", "part", "x"), texts, k, percent), "across")
-    new = across.where("b is not null").select("a", "b")
     if comps is not None:
-        new = new.unionAll(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return comps if new.isEmpty() else materialise(components(new), "comps")
+        edges = edges.unionAll(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return materialise(components(edges), "comps")
+
+
+def unsettled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """c, x, comp, size for the members (c, x) of regions that do not lie in one component yet."""
+    if comps is None:
+        members = members.withColumn("comp", F.col("x"))
+    else:
+        known = comps.select(F.col("node").alias("x"), "component")
+        members = members.join(small_side(known), "x", "left").withColumn("comp", F.coalesce("component", "x")).drop("component")
+    members = materialise(members, "named")
+    still = members.groupBy("c").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("c", "size")
+    return materialise(members.join(small_side(still), "c").select("c", "x", "comp", "size"), "unsettled")
+
+
+def in_parts(seed: int) -> Column:
+    """The part that a member x of a region of so many members is dealt to: about BLOCK members in each."""
+    return F.pmod(F.xxhash64("x", F.lit(seed)), F.ceil(F.col("size") / BLOCK)).cast("int")
+
+
+def in_cells(large: DataFrame, texts: DataFrame, k: int, percent: int, level: int) -> DataFrame:
+    """The forests of the parts of regions, and the cells of their members: compare() with PIVOTS members of each region as pivots."""
+    order = W.partitionBy("c").orderBy(F.xxhash64("x", F.lit(level)), "x")
+    pivots = materialise(large.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS).select("c", "x", "size"), "pivots")
+    copies = pivots.select("c", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("part"), "x")
+    rows = large.select("c", in_parts(level).alias("part"), "x").unionByName(copies).distinct()
+    return materialise(compare(rows, texts, k, percent, pivots.select("c", "x")), "split")
+
+
+def across(large: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links of regions by comparing their blocks with each other, but for blocks that hold one component between them."""
+    large = materialise(large.withColumn("block", in_parts(-1)), "blocks")
+    blocks = large.groupBy("c", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    l, r = blocks.alias("l"), blocks.alias("r")
+    pairs = l.join(r, (F.col("l.c") == F.col("r.c")) & (F.col("l.block") <= F.col("r.block"))).where(F.least("l.low", "r.low") != F.greatest("l.high", "r.high"))
+    pairs = pairs.select(F.col("l.c").alias("c"), F.concat_ws("/", "l.block", "r.block").alias("part"), F.explode(F.array_distinct(F.array("l.block", "r.block"))).alias("block"))
+    return materialise(compare(large.join(pairs, ["c", "block"]).select("c", "part", "x"), texts, k, percent).select("a", "b"), "across")
+
+
+def linked_classes(members: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """node, component of the classes that have links.  members: (region c, class x); classes: x, doc_id, h, hist."""
+    size = members.groupBy("c").agg(F.count("*").alias("size"))
+    joined = materialise(members.join(small_side(size), "c"), "sized")
+    hists = joined.where(F.col("size") <= BLOCK).select("c", "x").join(classes.select("x", "hist"), "x")
+    small = materialise(sieve(hists, percent), "sieved")
+    large = joined.where(F.col("size") > BLOCK).select("c", "x")
+    wanted = classes.select("x", "doc_id", "h").join(small_side(small.select("x").union(large.select("x")).distinct()), "x")
+    # a text is found by its id and its hash, for an id may come with several texts
+    texts = materialise(docs.join(small_side(wanted), ["doc_id", "h"]).select("x", "text"), "texts")
+    if not texts.groupBy("x").count().where("count > 1").isEmpty():  # repeated rows
+        texts = materialise(texts.groupBy("x").agg(F.max("text").alias("text")), "texts")
+    own = lambda rows: compare(rows.select("c", F.lit(0).alias("part"), "x"), texts, k, percent).select("a", "b")
+    comps = merged(None, materialise(own(small), "compared"))
+    for level in range(LEVELS + 1):
+        large = unsettled(large, comps)
+        if level:
+            comps = merged(comps, materialise(own(large.where(F.col("size") <= BLOCK)), "compared"))
+            large = large.where(F.col("size") > BLOCK)
+        if large.isEmpty():
+            break
+        found = in_cells(large, texts, k, percent, level)
+        comps = merged(comps, found.where("b is not null").select("a", "b"))
+        cells = found.where("b is null").select("c", "cell", F.col("a").alias("x")).distinct()
+        # the squares of sizes tell what comparisons cost: cells that spare too few are not worth their level
+        cost = cells.groupBy("c", "cell").count().groupBy("c").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("cost"))
+        cost = cost.join(large.groupBy("c").agg(F.first("size").alias("size")), "c").withColumn("deeper", (F.col("cost") < SHRINK * F.col("size") * F.col("size")) & F.lit(level < LEVELS))
+        cost = materialise(cost.select("c", "deeper"), "cost")
+        stuck = large.join(small_side(cost.where("not deeper")), "c").select("c", "x")
+        if not stuck.isEmpty():
+            comps = merged(comps, across(unsettled(stuck, comps), texts, k, percent))
+        cells = cells.join(small_side(cost.where("deeper")), "c")
+        # equal names of two cells would only make one region of them
+        large = materialise(cells.select(F.xxhash64("c", "cell", F.lit(level)).alias("c"), "x").distinct(), "cells")
+    return comps
 
 
 def shared_regions(spread: DataFrame) -> DataFrame:
-    """Rows (p, x) of regions with two classes or more: one shuffle of spread, whatever their number."""
-    counted = spread.withColumn("size", F.count("*").over(W.partitionBy("p")))
-    return materialise(counted.where("size > 1").select("p", "x"), "members")
+    """Rows (c, x) of regions with two classes or more, from (p, x).  A region is named by its member with the smallest hash, so regions with
+    the same centre are one: near copies share it in nearly all their regions, and are sent once instead of once for each shingle."""
+    regions = spread.groupBy("p").agg(F.count("*").alias("n"), F.min_by("x", F.struct(F.xxhash64("x"), "x")).alias("c")).where("n > 1").select("p", "c")
+    return materialise(spread.join(small_side(materialise(regions, "regions")), "p").select("c", "x").distinct(), "members")
 
 
 def jaccard_components(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of df."""
+    return found_rows(df, k, percent, id_col, text_col).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id")).alias("component_id"))
+
+
+def found_rows(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles, first: the smallest (doc_id, h) of the row's component; null without an id or a shingle."""
     bounded_batches(df.sparkSession)
-    return settled(df.sparkSession, "jaccard", lambda: _components(df, k, percent, id_col, text_col))
+    return settled(df.sparkSession, "jaccard", lambda: _found_rows(df, k, percent, id_col, text_col))
 
 
-def _components(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _found_rows(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
     table = spark.sparkContext.broadcast(word_table(docs))
     kept = materialise(described(docs, table, k, percent), "shingled")
     # one row of each class, picked by an aggregate that combines copies before the shuffle
-    known = kept.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min_by(F.struct("doc_id", "pivots", "hist"), "doc_id").alias("r"))
-    known = materialise(known.select("sig", F.col("r.doc_id").alias("rep"), "r.pivots", "r.hist"), "classes")
-    classes, reps = known.select("sig", "rep"), known  # an id with several texts has several rows here, which meet as one member
-    members = shared_regions(reps.select(F.col("rep").alias("x"), F.explode("pivots").alias("p")))
-    comps = linked_classes(members, reps, docs, k, percent)
-    named = classes if comps is None else classes.join(comps, classes.rep == comps.node, "left").select("sig", F.coalesce("component", "rep").alias("rep"))
-    out = kept.select("doc_id", "n", "sig").join(named, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
+    classes = kept.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min_by(F.struct("doc_id", "h", "pivots", "hist"), F.struct("doc_id", "h")).alias("r"))
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("x"), "sig", "r.*"), "classes")
+    members = shared_regions(classes.select("x", F.explode("pivots").alias("p")))
+    comps = linked_classes(members, classes, docs, k, percent)
+    own = F.struct("doc_id", "h")
+    if comps is None:
+        named = classes.select("sig", own.alias("first"))
+    else:
+        comps = comps.select(F.col("node").alias("x"), "component")
+        firsts = classes.select("x", "doc_id", "h").join(small_side(comps), "x").groupBy("component").agg(F.min(own).alias("root"))
+        roots = materialise(comps.join(small_side(firsts), "component").select("x", "root"), "roots")
+        named = classes.join(small_side(roots), "x", "left").select("sig", F.coalesce("root", own).alias("first"))
+    out = kept.select("doc_id", "h", "n", "sig").join(named, "sig", "left")
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
 
 
 def keep_one(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of documents that no smaller id stands for, all columns kept; of repeated rows of one id one stays, and every row
-    without an id stays."""
-    comps = jaccard_components(df.select(id_col, text_col), k, percent, id_col, text_col)
-    gone = comps.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = df.join(small_side(gone), df[id_col].cast("long") == F.col("__gone"), "left_anti")
-    # repeats of a kept id are few: only their rows are compared
-    repeats = materialise(comps.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")), "repeats")
+    """One row of each component, all columns kept: of its rows with the smallest id the one with the smallest hash of the text.  Rows without an id or
+    without a shingle stay, and so do rows that share an id but not a component."""
+    i, h, row, place = unused(df, "__id", "__h", "__row", "__place")
+    found = found_rows(df.select(id_col, text_col), k, percent, id_col, text_col).where("first is not null")
+    gone = found.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("h") != F.col("first.h"))).select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
+    mine = lambda o: (df[id_col].cast("long") == o[i]) & (F.xxhash64(df[text_col]) == o[h])
+    gone = small_side(gone)
+    left = df.join(gone, mine(gone), "left_anti")
+    # repeats of a kept row are few: only they are compared
+    repeats = found.groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.first("first").alias("first")).where("n > 1 and doc_id = first.doc_id and h = first.h")
+    repeats = materialise(repeats.select(F.col("doc_id").alias(i), F.col("h").alias(h)), "repeats")
     if repeats.isEmpty():
         return left
-    again = left.join(repeats, left[id_col].cast("long") == F.col("__id"))
-    order = W.partitionBy("__id").orderBy(F.xxhash64(F.col(text_col)))
-    one = again.withColumn("__k", F.row_number().over(order)).where("__k = 1").select(*(again[c] for c in df.columns))
-    return left.join(repeats, left[id_col].cast("long") == F.col("__id"), "left_anti").unionByName(one)
+    repeats = small_side(repeats)
+    one = left.join(repeats, mine(repeats)).withColumn(row, F.monotonically_increasing_id())
+    one = one.withColumn(place, F.row_number().over(W.partitionBy(i, h).orderBy(row))).where(F.col(place) == 1).select(*(F.col(f"`{c}`") for c in df.columns))
+    return left.join(repeats, mine(repeats), "left_anti").unionByName(one)

@@ -349,8 +349,11 @@ def test_jaccard_components(spark, k, percent, seed):
 
 
 @pytest.mark.parametrize("block", [1, 6])
-def test_jaccard_regions_of_several_parts(spark, monkeypatch, block):
+@pytest.mark.parametrize("levels", [0, 2])
+def test_jaccard_regions_of_several_parts(spark, monkeypatch, block, levels):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "LEVELS", levels)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 3)
     rng = np.random.default_rng(block)
     vocab = [f"w{i}" for i in range(300)]
     base = list(rng.choice(vocab, 120))
@@ -365,6 +368,59 @@ def test_jaccard_regions_of_several_parts(spark, monkeypatch, block):
     assert got == brute_components(data, k, percent)
 
 
+def test_jaccard_cells_spare_comparisons(spark, monkeypatch):
+    """One region of many near, unlinked documents in groups: cells compare far fewer members than all pairs of blocks would."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 24)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 8)
+    rng = np.random.default_rng(1)
+    vocab = [f"w{i}" for i in range(4000)]
+    common, data = ["z1", "z2", "z3"], []
+    for g in range(24):  # all documents share their rarest shingle; those of a group share most of the rest
+        base = list(rng.choice(vocab, 60))
+        for _ in range(12):
+            x = list(base)
+            for j in rng.choice(60, 4, replace=False):
+                x[j] = str(rng.choice(vocab))
+            data.append((len(data) + 1, " ".join(common + x)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    docs = df.selectExpr("doc_id", "text", "xxhash64(text) AS h")
+    zero = spark.sparkContext.broadcast(np.zeros(jaccard_join.SLOTS, np.int64))
+    classes = jaccard_join.described(docs, zero, 3, 90).selectExpr("*", "doc_id AS x").cache()
+    compared = []
+    plain = jaccard_join.compare
+
+    def counted(rows, *args, **kw):
+        rows = rows.cache()
+        compared.append(sum(r["count"] ** 2 for r in rows.groupBy("c", "part").count().collect()))
+        return plain(rows, *args, **kw)
+
+    monkeypatch.setattr(jaccard_join, "compare", counted)
+    comps = jaccard_join.linked_classes(classes.selectExpr("1L AS c", "x"), classes, docs, 3, 90)
+    roots = {r.node: r.component for r in comps.collect()} if comps is not None else {}
+    assert collections.Counter((i, len(jaccard_join.exact_shingles(t, 3)), roots.get(i, i)) for i, t in data) == brute_components(data, 3, 90)
+    blocks = len(data) // 24
+    assert sum(compared) < 0.5 * blocks * (blocks + 1) / 2 * 48**2
+
+
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_numbered_shingles_are_exact(k):
+    texts = [t or "" for _, t in near_copies(6)][:30] + ["one", "one two", "one two one two one two"]
+    texts = [t for t in texts if t.split()]
+    sets = jaccard_join.numbered(texts, k)
+    exact = [jaccard_join.exact_shingles(t, k) for t in texts]
+    assert [len(s) for s in sets] == [len(s) for s in exact]
+    assert all(len(np.intersect1d(a, b)) == len(x & y) for a, x in zip(sets, exact, strict=True) for b, y in zip(sets, exact, strict=True))
+
+
+def test_keep_one_keeps_other_texts_of_an_id(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    rows = [(1, a, 1), (1, b, 2), (1, b, 3), (2, b, 4), (3, a + " eta", 5), (4, a, 6), (None, a, 7), (5, None, 8), (5, "", 9)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, __h long"), 3, 80)
+    assert kept.columns == ["doc_id", "text", "__h"]
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert got == sorted([(1, a), (1, b), (0, a), (5, ""), (5, "")])
+
+
 def test_common_and_forest():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 60 if i % 3 else 9000, int(rng.integers(1, 90)))).astype(np.uint64) for i in range(80)]
