@@ -149,24 +149,55 @@ def test_license_scan(name, request):
     assert got == want
 
 
-def test_license_labels_against_all_blocks(docs):
-    """Labels and score from the containment of every template in every block, without filters."""
-    step = license_scan.BLOCK - license_scan.OVERLAP
-    for r in license_scan.license_scan(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
-        w = WORD.findall(lower(r.text))
-        blocks = [set(w[i : i + license_scan.BLOCK]) for i in range(0, max(1, len(w) - license_scan.OVERLAP), step)]
-        labels, score = set(), 0.0
-        for label, words, threshold, base in license_scan.templates():
-            t = set(words)
-            share = max(len(t & b) for b in blocks) / len(t)
-            if base:
-                here = any(w[i : i + len(words)] == words for i in range(len(w)))
-            else:
-                here = share >= threshold
+def brute_blocks(text, templates):
+    """Every block of every template, without filters: labels, score and the blocks that meet a notice's threshold."""
+    w = WORD.findall(lower(text))
+    labels, score, found = set(), 0.0, set()
+    for t in templates:
+        tokens, base_here = set(t.words), any(w[i : i + len(t.words)] == t.words for i in range(len(w)))
+        for b in range(0, len(w), t.size):
+            block = w[b : b + 2 * t.size]
+            common = len(tokens & set(block))
+            here = common >= t.need and (not t.base or any(block[i : i + len(t.words)] == t.words for i in range(len(block))))
             if here:
-                labels.add(label)
-                score = max(score, share)
-        assert (r.labels, r.score) == (",".join(sorted(labels)), pytest.approx(score))
+                labels.add(t.label)
+                score = max(score, common / len(tokens))
+                if not t.base:
+                    found.add((t.label, b, b + len(block) - 1, round(common / len(tokens), 9)))
+        assert not t.base or base_here == (t.label in labels)
+    return ",".join(sorted(labels)), score, sorted(found)
+
+
+def test_license_labels_against_all_blocks(docs, odd):
+    for df in (docs, odd):
+        got = collections.Counter(str((r.doc_id, r.labels, pytest.approx(r.score), [(b.label, b.first_word, b.last_word, round(b.share, 9)) for b in r.blocks])) for r in license_scan.license_scan(df).collect())
+        want = collections.Counter(str((i, labels, pytest.approx(score), found)) for i, (labels, score, found) in ((r.doc_id, brute_blocks(r.text, license_scan.templates())) for r in df.select("doc_id", "text").collect()))
+        assert got == want
+
+
+def test_license_templates_of_many_lengths(spark):
+    """Templates of 5 to 400 words, whole, with words changed, and cut short; all against brute force."""
+    rng = np.random.default_rng(3)
+    vocab = [f"v{i}" for i in range(900)]
+    notices = {f"t{n}": " ".join(rng.choice(vocab, n)) for n in (5, 8, 9, 17, 64, 65, 130, 257, 400)}
+    texts = []
+    for i in range(60):
+        parts = [" ".join(rng.choice(vocab, int(rng.integers(0, 700))))]
+        for _ in range(int(rng.integers(1, 4))):
+            w = notices[str(rng.choice(list(notices)))].split()
+            for _ in range(int(rng.integers(0, max(2, len(w) // 6)))):
+                w[int(rng.integers(len(w)))] = "changed"
+            parts += [" ".join(w[: int(rng.choice([len(w), len(w) - len(w) // 5]))]), " ".join(rng.choice(vocab, int(rng.integers(0, 40))))]
+        texts.append((i, ", ".join(parts)))
+    wanted = license_scan.templates(notices, 0.9)
+    got = {r.doc_id: (r.labels, pytest.approx(r.score), [(b.label, b.first_word, b.last_word, round(b.share, 9)) for b in r.blocks]) for r in license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string"), notices=notices).collect()}
+    for i, t in texts:
+        assert got[i] == brute_blocks(t, wanted)
+    assert all(any(label in g[0].split(",") for g in got.values()) for label in notices)
+    whole = license_scan.license_scan(spark.createDataFrame([(1, "x " * 777 + notices["t400"] + " y" * 99)], "doc_id long, text string"), notices=notices).first()
+    assert "t400" in whole.labels and whole.score == 1.0
+    with pytest.raises(ValueError):
+        license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string"), notices={"x": "y " * 100_001})
 
 
 def test_license_notices_across_blocks(spark):
