@@ -10,7 +10,7 @@ window reaches over its first ``floor((1 - t) n) + 1`` pivots, and any two linke
 (Documents as first pivots do not work here: unrelated documents are all at distance 1 from
 each other, so every window would hold everything.)
 
-Inside regions the join goes on with documents as pivots.  The member with the smallest hash is a region's centre; regions
+Inside regions the join goes on with documents as pivots.  The member with the smallest number is a region's centre (classes are numbered in the order of a hash); regions
 with the same centre are one.  Members that can't link by the counts of their shingles in hash buckets, a bound on what two sets
 have in common, leave first.  A region of at most ``BLOCK`` members is compared in one task, which returns a spanning
 forest of its links.  A larger one is dealt into parts, each with copies of the same pivots, some of its members: a part returns its forest and,
@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded_batches, materialise, settled, small_side, tidy, unused
+from .common import bounded_batches, materialise, release, settled, small_side, tidy, unused
 from .components import components
 
 WORDS, PERCENT = 3, 90
@@ -267,6 +267,9 @@ def compare(rows: DataFrame, texts: DataFrame, k: int, percent: int, pivots: Dat
             rest = np.flatnonzero(least[:, 0] > RADIUS)
             a, b = a + xs[member].tolist() + xs[rest].tolist(), b + [None] * (len(member) + len(rest))
             cells += xs[at[cell]].tolist() + [REST] * len(rest)
+        if len(sets) > 128:
+            del sets, inter, total, linked
+            release()
         return pa.table([pa.array([c] * len(a), pa.int64()), pa.array(cells, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["c", "cell", "a", "b"])
 
     return whole.groupBy("c", "part").applyInArrow(run, "c long, cell long, a long, b long")
@@ -355,10 +358,12 @@ def linked_classes(members: DataFrame, classes: DataFrame, docs: DataFrame, k: i
 
 
 def shared_regions(spread: DataFrame) -> DataFrame:
-    """Rows (c, x) of regions with two classes or more, from (p, x).  A region is named by its member with the smallest hash, so regions with
-    the same centre are one: near copies share it in nearly all their regions, and are sent once instead of once for each shingle."""
-    regions = spread.groupBy("p").agg(F.count("*").alias("n"), F.min_by("x", F.struct(F.xxhash64("x"), "x")).alias("c")).where("n > 1").select("p", "c")
-    return materialise(spread.join(small_side(materialise(regions, "regions")), "p").select("c", "x").distinct(), "members")
+    """Rows (c, x) of regions with two classes or more, from (p, x).  A region is named by its smallest member, its centre, so regions with
+    the same centre are one: near copies share it in nearly all their regions, and are sent once instead of once for each shingle.
+    Both the centres and the join with them read one shuffle of (p, x)."""
+    dealt = spread.repartition("p")
+    regions = dealt.groupBy("p").agg(F.count("*").alias("n"), F.min("x").alias("c")).where("n > 1").select("p", "c")
+    return materialise(dealt.join(regions.hint("merge"), "p").select("c", "x").distinct(), "members")
 
 
 def jaccard_components(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

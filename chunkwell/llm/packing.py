@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, hash_sample, materialise, tidy
-from .token_counts import unsure
+from .token_counts import load, unsure
 
 LENGTH, END_ID, SHARD_TOKENS, SHARD_DOCS = 2048, 1, 48_000_000, 12_288
 #: Chains side by side in a shard, neighbours that a search brings (a seed asks again for more), the share of a shard's documents from
@@ -60,8 +60,6 @@ class Encoder:
         import public_tokenizers
         import tiktoken
 
-        from .token_counts import load
-
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         with open(json_path, encoding="utf-8") as f:
@@ -69,11 +67,11 @@ class Encoder:
         self.find = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.bpe = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = max([*ranks.values(), *self.special.values()]) + 1
-        self.library = load(json_path)
+        self.json_path = json_path
 
     def ids(self, text: str) -> np.ndarray:
         if unsure(text):  # characters that the two libraries' Unicode tables may class differently
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(load(self.json_path).encode(text, add_special_tokens=False).ids, np.uint32)
         if self.find is None or not self.find.search(text):
             return self.plain(text)
         return np.concatenate([np.array([self.special[p]], np.uint32) if p in self.special else self.plain(p) for p in self.find.split(text)])
