@@ -7,25 +7,24 @@ pivot words only.  A search joins postings with windows on the rarest word, shif
 the word's offset in the window, intersects with the other words at their own offsets, and so
 returns exact phrase matches.  ``proximity_matches`` asks only that the pivots stand within a distance.
 
-Only DataFrame functions run here.  The windows' table is broadcast if it has at most
-``BROADCAST_WINDOWS`` rows, else joined by a shuffle; the pivot words, which filter a document's words in place,
-are taken in blocks of ``BLOCK_WORDS``, each a pass over the documents.
+Only DataFrame functions run here.  Windows, their words and the counts stay in tables of the shared folder.  A benchmark's windows are broadcast only
+if a count shows at most ``BROADCAST_WINDOWS`` of them, else the postings are joined with them by a shuffle.  The pivot words,
+which filter a document's words in place, are taken in blocks of about ``BLOCK_WORDS``, each a pass over the documents; the driver holds one
+block of them at a time.
 
 Defined cases: null or wordless documents have no words and no hits; null or wordless items have
 no windows; equal windows of several items count for each item; repeated rows give one row each;
 the windows of items with a null id count; such items are one
-item, which is left out of the digest of ids.
+item, which is left out of the digest of ids; empty tables give no rows, or rows without hits; a long text is one row of one task; other
+columns are not read.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import materialise, settled, small_side, unused, words_of
+from .common import materialise, scratch_path, settled, small_side, unused, words_of
 
 WINDOW, BLOCK_WORDS, BROADCAST_WINDOWS = 13, 20_000, 200_000
 
@@ -40,65 +39,75 @@ def item_windows(items: DataFrame, n: int = WINDOW, id_col: str = "item_id", tex
     return w.groupBy("win").agg(F.array_sort(F.transform(ids, lambda x: x["id"])).alias("item_ids"))
 
 
-def vocabulary(windows: DataFrame) -> list[str]:
-    return sorted(r[0] for r in windows.select(F.explode("win").alias("x")).distinct().collect())
-
-
-def blocks(words: list[str], size: int = BLOCK_WORDS) -> list[list[str]]:
-    return [words[i : i + size] for i in range(0, len(words), size)] or [[]]
-
-
-def word_counts(docs: DataFrame, words: list[str], text_col: str = "text") -> DataFrame:
-    """word, n: occurrences over all documents of the given words."""
-
-
-    def part(block: list[str]) -> DataFrame:
-        kept = F.filter(words_of(F.col(text_col)), lambda x: x.isin(block))
-        return docs.select(F.explode(kept).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-
-    return reduce(DataFrame.unionAll, map(part, blocks(words)))
+def word_counts(docs: DataFrame, windows: DataFrame, text_col: str = "text") -> DataFrame:
+    """word, n: occurrences over all documents of the windows' words.  Words are counted in each task before they are shuffled."""
+    words = materialise(windows.select(F.explode("win").alias("word")).distinct(), "window-words")
+    if (n := words.count()) <= BLOCK_WORDS:
+        known = [r.word for r in words.collect()]
+        each = docs.select(F.explode(F.filter(words_of(F.col(text_col)), lambda x: x.isin(known))).alias("word"))
+    else:
+        each = docs.select(F.explode(words_of(F.col(text_col))).alias("word"))
+    counted = each.groupBy("word").agg(F.count("*").alias("n"))
+    return counted if n <= BLOCK_WORDS else words.join(counted, "word")
 
 
 def with_pivots(windows: DataFrame, counts: DataFrame, k: int = 1) -> DataFrame:
-    """win, item_ids, pivots: its k rarest words (by count, then word) as structs of n, word and first offset."""
-    each = windows.select("win", "item_ids", F.posexplode("win").alias("o", "word")).join(counts, "word", "left")
-    first = each.groupBy("win", "item_ids", "word").agg(F.min("o").alias("o"), F.first(F.coalesce("n", F.lit(0))).alias("n"))
-    sorted_words = F.array_sort(F.collect_list(F.struct("n", "word", "o")))
-    return first.groupBy("win", "item_ids").agg(F.slice(sorted_words, 1, k).alias("pivots"))
+    """win, item_ids, pivots: its k rarest words (by count, then word) as structs of n, word and first offset.  windows: id, win, item_ids."""
+    counts = small_side(materialise(counts, "word-counts"))
+    each = windows.select("id", F.posexplode("win").alias("o", "word")).join(counts, "word", "left")
+    first = each.groupBy("id", "word").agg(F.min("o").alias("o"), F.first(F.coalesce("n", F.lit(0))).alias("n"))
+    picked = first.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "word", "o"))), 1, k).alias("pivots"))
+    return windows.join(picked, "id").select("win", "item_ids", "pivots")
 
 
-def postings(docs: DataFrame, terms: list[str], reach: int, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The positional index of the terms: keep, n_words, and for each occurrence word, pos and ctx, the words from pos - reach to
-    pos + reach.  A document without any has one row with a null word; own marks one row of each document, so that it stays
-    in the result."""
+def pivoted(items: DataFrame, docs: DataFrame, n: int, text_col: str, k: int = 1) -> tuple[DataFrame, int]:
+    """The windows with their pivots, as a table, and their number."""
+    windows = materialise(item_windows(items, n).withColumn("id", F.monotonically_increasing_id()), "windows")
+    windows = materialise(with_pivots(windows, word_counts(docs, windows, text_col), k), "pivots")
+    return windows, windows.count()
 
 
-    def part(i: int, block: list[str]) -> DataFrame:
+def postings(docs: DataFrame, windows: DataFrame, reach: int, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The positional index of the windows' first pivots: keep, n_words, and for each occurrence word, pos and ctx, the words from pos - reach
+    to pos + reach.  A document without any has one row with a null word; own marks one row of each document, so that it stays in the
+    result.  Written to the shared folder, a block of words at a time."""
+    spark = docs.sparkSession
+    rare = materialise(windows.select(F.col("pivots")[0]["word"].alias("word")).distinct(), "pivot-words")
+    n = max(1, -(-rare.count() // BLOCK_WORDS))
+    path = scratch_path(spark, "postings")
+    for i in range(n):
+        block = sorted(r.word for r in rare.where(F.pmod(F.xxhash64("word"), F.lit(n)) == i).collect())
         w = docs.select(*keep, words_of(F.col(text_col)).alias("__w"))
         at = F.filter(F.transform("__w", lambda x, p: F.when(x.isin(block), p)), lambda p: p.isNotNull())
         hit = F.transform(at, lambda p: F.struct(p.alias("pos"), F.element_at("__w", p + 1).alias("word"), F.slice("__w", F.greatest(p - reach, F.lit(0)) + 1, reach + 1 + F.least(p, F.lit(reach))).alias("ctx")))
         w = w.select(*keep, F.size("__w").cast("long").alias("n_words"), hit.alias("__h"))
         # outer in the first block only: one row at least for each document
-        w = w.select(*keep, "n_words", (F.explode if i else F.posexplode_outer)("__h").alias(*(["h"] if i else ["k", "h"])))
-        return w.select(*keep, "n_words", F.coalesce(F.col("k") == 0, F.lit(True)).alias("own") if not i else F.lit(False).alias("own"), "h.pos", "h.word", "h.ctx")
-
-    return reduce(DataFrame.unionAll, [part(i, b) for i, b in enumerate(blocks(terms))])
+        w = w.select(*keep, "n_words", (F.posexplode if i else F.posexplode_outer)("__h").alias("k", "h"))
+        out = w.select(*keep, "n_words", F.lit(False).alias("own") if i else F.coalesce(F.col("k") == 0, F.lit(True)).alias("own"), "h.pos", "h.word", "h.ctx")
+        out.write.mode("append").parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def phrase_matches(index: DataFrame, windows: DataFrame, reach: int, n_windows: int) -> DataFrame:
-    """index and the windows that stand there: start and len (null: none), item_ids."""
-    key = windows.select("win", "item_ids", F.col("pivots")[0]["word"].alias("word"), F.col("pivots")[0]["o"].alias("o"))
-    # the windows of a word as one row: a posting meets each of them, and documents without any stay
-    key = key.groupBy("word").agg(F.collect_list(F.struct("o", "win", "item_ids")).alias("wins"))
-    both = index.join(F.broadcast(key) if n_windows <= BROADCAST_WINDOWS else key, "word", "left")
+    """Rows of the index with found, the windows that stand there: structs of start, len and item_ids.  Of rows without any only own ones stay."""
+    key = windows.select(F.col("pivots")[0]["word"].alias("word"), F.struct(F.col("pivots")[0]["o"].alias("o"), "win", "item_ids").alias("x"))
 
     def stands(x: Column) -> Column:
         # offset-adjusted: the window's words are those of ctx from the shifted position on
         back = F.least(F.col("pos"), F.lit(reach)) - x["o"]
         return (back >= 0) & (F.slice(F.col("ctx"), F.greatest(back, F.lit(0)) + 1, F.size(x["win"])) == x["win"])
 
-    found = F.transform(F.filter(F.coalesce("wins", F.array().cast(key.schema["wins"].dataType)), stands), lambda x: F.struct((F.col("pos") - x["o"]).alias("start"), F.size(x["win"]).alias("len"), x["item_ids"].alias("item_ids")))
-    return both.withColumn("found", found).drop("wins", "ctx", "word", "pos").where("own or size(found) > 0")
+    match = lambda x: F.struct((F.col("pos") - x["o"]).alias("start"), F.size(x["win"]).alias("len"), x["item_ids"].alias("item_ids"))
+    if n_windows <= BROADCAST_WINDOWS:
+        # the windows of a word as one row: a posting meets each of them, and documents without any stay
+        both = index.join(F.broadcast(key.groupBy("word").agg(F.collect_list("x").alias("wins"))), "word", "left")
+        wins = F.coalesce("wins", F.array().cast(f"array<{key.schema['x'].dataType.simpleString()}>"))
+        both = both.withColumn("found", F.transform(F.filter(wins, stands), match))
+    else:  # a row for each posting and window: no group is gathered, and Spark splits the rows of a hot word
+        both = index.join(key, "word").where(stands(F.col("x"))).withColumn("found", F.array(match(F.col("x"))))
+        none = F.array().cast(both.schema["found"].dataType)
+        both = both.withColumn("own", F.lit(False)).unionByName(index.where("own").withColumn("found", none).select("*"), allowMissingColumns=True)
+    return both.drop("wins", "x", "ctx", "word", "pos").where("own or size(found) > 0")
 
 
 def covered(spans: Column) -> Column:
@@ -118,17 +127,10 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: st
 
 
 def _contamination(docs: DataFrame, items: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    windows = item_windows(items, n)
-    terms = vocabulary(windows)
-    windows = with_pivots(windows, word_counts(docs, terms, text_col))
-    rows = windows.collect()  # a benchmark's windows; the documents' counts are folded in already
-    spark = docs.sparkSession
-    windows = spark.createDataFrame(rows, windows.schema) if rows else spark.createDataFrame([], windows.schema)
-    rare = sorted({r.pivots[0].word for r in rows})
     base = docs.select(F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__row"), F.col(text_col).alias("__text"))
-    reach = n - 1
-    index = materialise(postings(base, rare, reach, ["__row", "__id"], "__text"), "postings")
-    found = phrase_matches(index, windows, reach, len(rows))
+    windows, n_windows = pivoted(items, base, n, "__text")
+    index = postings(base, windows, n - 1, ["__row", "__id"], "__text")
+    found = phrase_matches(index, windows, n - 1, n_windows)
     # a row for each occurrence that matched, and one for each document
     hits = found.groupBy("__row").agg(
         F.first("__id").alias("doc_id"),
@@ -144,15 +146,12 @@ def _contamination(docs: DataFrame, items: DataFrame, n: int, id_col: str, text_
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, n: int = WINDOW, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, item_ids: places where the k rarest words of a window stand within slop words of their own distances."""
-    windows = item_windows(items, n)
-    windows = with_pivots(windows, word_counts(docs, vocabulary(windows), text_col), k)
-    rows = windows.collect()
-    windows = docs.sparkSession.createDataFrame(rows, windows.schema)
-    rare = sorted({r.pivots[0].word for r in rows})
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
+    windows, n_windows = pivoted(items, docs, n, "__text", k)
     reach = n - 1 + slop
-    index = postings(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")), rare, reach, ["doc_id"], "__text").where("word is not null")
+    index = postings(docs, windows, reach, ["doc_id"], "__text").where("word is not null")
     key = windows.select("item_ids", "pivots", F.col("pivots")[0]["word"].alias("word"), F.col("pivots")[0]["o"].alias("o"))
-    both = index.join(F.broadcast(key) if len(rows) <= BROADCAST_WINDOWS else key, "word")
+    both = index.join(F.broadcast(key) if n_windows <= BROADCAST_WINDOWS else key, "word")
     here = F.least(F.col("pos"), F.lit(reach))  # of the posting's own word in ctx
 
     def near(p: Column) -> Column:

@@ -754,7 +754,6 @@ def test_contamination_by_items_without_id(spark):
 
 def test_contamination_in_blocks(spark, sf, docs, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 50)
-    monkeypatch.setattr(decontam, "blocks", lambda words, size=50: [words[i : i + size] for i in range(0, len(words), size)] or [[]])
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
     items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").limit(10)
     got = collections.Counter(tuple(r) for r in decontam.contamination(docs, items).collect())
