@@ -3,17 +3,20 @@
 For every language a variable-order tree of byte contexts holds counts; a text's cost is its exact
 code length in bits when each byte is coded with the longest known context and escapes to shorter
 ones (method C, with exclusion left out).  Counts are frozen while coding, so the cost of a byte
-depends on the bytes before it only, and the whole tree can be laid out as one table of costs:
-a row per context that any language knows, a column per byte value, a plane per language.
+depends on the bytes before it only, and the tree can be laid out as one table of costs:
+a row per context that any language knows, a column per byte value seen, a plane per language.  Contexts that no language knows have no
+row; where the table would pass ``TABLE_BYTES``, the longer contexts that training saw least have none either and back off, so the broadcast is bounded
+whatever the number of languages.
 
 Bytes never seen in training cost the same under every language.  The last context is uniform
 over 256 values.
 
-Training takes at most ``DOCS_PER_LANG`` documents of a language and ``BYTES_PER_LANG`` bytes of
+Training takes the ``LANGS`` most frequent languages, at most ``DOCS_PER_LANG`` documents of a language and ``BYTES_PER_LANG`` bytes of
 them (whole documents of at most ``MAX_DOC_BYTES``); scoring always reads whole texts.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; without any training
-rows every text is ``und``; ties go to the alphabetically first language; a null lang is not learned.
+rows every text is ``und``; ties go to the alphabetically first language; a null lang is not learned; of rows that share id and language
+one is learned; repeated rows give one row each; an empty table gives no rows; a long text is scored in a slice of its own; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import Window as W
 
 from .common import bounded_batches, hash_share, id_bucket, id_bucket_col, tidy
 
-ORDER, DOCS_PER_LANG, BYTES_PER_LANG, MAX_DOC_BYTES = 3, 400, 1_000_000, 65_536
+ORDER, LANGS, DOCS_PER_LANG, BYTES_PER_LANG, MAX_DOC_BYTES, TABLE_BYTES = 3, 256, 400, 1_000_000, 65_536, 64 << 20
 SLICE_BYTES = 256 << 10
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -85,28 +88,40 @@ def train(samples: dict[str, list[bytes]]) -> Model | None:
             s = np.concatenate([[0, 0, 0], symbol[np.frombuffer(t, np.uint8)].astype(np.int64)])
             parts.append(((s[:-3] * k + s[1:-2]) * k + s[2:-1]) * k + s[3:])
         grams.append(np.unique(np.concatenate(parts), return_counts=True))
-    rows3 = np.unique(np.concatenate([g // k for g, _ in grams]))
-    # contexts of order 3 that some language knows have a row each; all others back off to rows of order 2
-    row_of = (np.arange(k**3) % k**2).astype(np.int32)
-    row_of[rows3] = k**2 + np.arange(len(rows3))
-    cost = np.zeros((k**2 + len(rows3), k, len(langs)), np.float32)
+    # rows: all contexts of order 1, then the known ones of orders 2 and 3, as many of the most frequent as the table may hold
+    seen3 = np.concatenate([g // k for g, _ in grams])
+    often = np.concatenate([n for _, n in grams])
+    rows2, n2 = summed(seen3 % k**2, often)
+    rows3, n3 = summed(seen3, often)
+    most = max(0, TABLE_BYTES // (4 * k * len(langs)) - k)
+    if len(rows2) + len(rows3) > most:
+        kept = np.sort(np.argsort(-np.concatenate([n2, n3]), kind="stable")[:most])
+        rows2, rows3 = rows2[kept[kept < len(rows2)]], rows3[kept[kept >= len(rows2)] - len(rows2)]
+    row2 = (np.arange(k**2) % k).astype(np.int32)
+    row2[rows2] = k + np.arange(len(rows2))
+    row_of = row2[np.arange(k**3) % k**2]
+    row_of[rows3] = k + len(rows2) + np.arange(len(rows3))
+    cost = np.zeros((k + len(rows2) + len(rows3), k, len(langs)), np.float32)
     for i, (g, n) in enumerate(grams):
         p0 = np.full(k, 1 / 256)  # order -1
         p = mixed(np.bincount(g % k, n, k)[None], p0[None])[0]  # order 0
-        pair = np.zeros((k, k))
-        np.add.at(pair, ((g // k) % k, g % k), n)
-        p1 = mixed(pair, np.broadcast_to(p, (k, k)))
-        triple = np.zeros((k * k, k))
-        np.add.at(triple, ((g // k) % k**2, g % k), n)
-        p2 = mixed(triple, p1[np.arange(k * k) % k])
-        quad = np.zeros((len(rows3), k))
-        np.add.at(quad, (np.searchsorted(rows3, g // k), g % k), n)
-        p3 = mixed(quad, p2[rows3 % k**2])
-        cost[: k**2, :, i] = -np.log2(p2)
-        cost[k**2 :, :, i] = -np.log2(p3)
+        p1 = mixed(np.bincount(g % k**2, n, k**2).reshape(k, k), np.broadcast_to(p, (k, k)))
+        p2 = mixed(np.bincount(g % k**3, n, k**3).reshape(k * k, k), p1[np.arange(k * k) % k])
+        at = np.searchsorted(rows3, g // k)
+        there = at < len(rows3)
+        there[there] = rows3[at[there]] == (g // k)[there]
+        quad = np.bincount(at[there] * k + (g % k)[there], n[there], len(rows3) * k).reshape(-1, k)
+        for first, p in ((0, p1), (k, p2[rows2]), (k + len(rows2), mixed(quad, p2[rows3 % k**2]))):
+            cost[first : first + len(p), :, i] = -np.log2(p)
     return Model(langs, symbol, row_of, cost)
 
 
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their n."""
+    out, at = np.unique(keys, return_inverse=True)
+    return out, np.bincount(at, n, len(out))
+
+
 def mixed(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     """Probabilities with escape: a context with total t and d distinct symbols codes a seen symbol with n/(t+d)
     and escapes with d/(t+d); a context never seen escapes for free."""
@@ -121,13 +136,14 @@ def learning_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, part
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (id_bucket_col(F.col("doc_id"), parts) != held))
     # ids are chosen without reading texts
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
     if not counts:
         return rows
     share = reduce(lambda a, b: a | b, [(F.col("lang") == lang) & hash_share("doc_id", n, DOCS_PER_LANG) for lang, n in counts.items()])
     order = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), F.col("doc_id"))
     keys = rows.select("doc_id", "lang").where(share).withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS_PER_LANG).select("doc_id", "lang")
-    return rows.where(F.octet_length("text") <= MAX_DOC_BYTES).join(F.broadcast(keys), ["doc_id", "lang"], "left_semi")
+    chosen = rows.where(F.octet_length("text") <= MAX_DOC_BYTES).join(F.broadcast(keys), ["doc_id", "lang"], "left_semi")
+    return chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # an id that comes often is learned once
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, held: int = 2) -> Model | None:

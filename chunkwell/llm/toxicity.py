@@ -14,7 +14,8 @@ scoring reads whole texts.  The prior is the share of toxic documents among the
 the learning fold.
 
 Defined cases: null and empty texts get the score of the bias alone; without positives every
-score is 0; repeated rows give one row each.
+score is 0; of rows that share an id one is learned; repeated rows give one row each; ids may be null; an empty table gives no rows; a long
+text is scored whole by one task; other columns are not read.
 """
 
 from __future__ import annotations
@@ -177,7 +178,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     chosen = hash_sample(known.where("toxic = 1").select("doc_id"), "doc_id", POSITIVES).withColumn("p", F.lit(1))
     chosen = chosen.unionByName(hash_sample(docs.select("doc_id"), "doc_id", UNLABELLED, 1).withColumn("p", F.lit(0)))
     chosen = chosen.groupBy("doc_id").agg(F.max("p").alias("p"), F.min("p").alias("u"))
-    rows = docs.where(F.octet_length("text") <= MAX_DOC_BYTES).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "p", "u").collect()
+    rows = docs.where(F.octet_length("text") <= MAX_DOC_BYTES).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("p").alias("p"), F.min("u").alias("u")).collect()  # an id that comes often is learned once
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return train([r.text for r in rows if r.p == 1][: 2 * POSITIVES], [r.text for r in rows if r.u == 0][: 2 * UNLABELLED], prior)
 

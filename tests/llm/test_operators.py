@@ -520,9 +520,54 @@ def test_ppm_code_lengths_are_exact():
             assert b == pytest.approx(-sum(np.log2(p(counts[lang], tuple(s[i - 3 : i]), s[i])) for i in range(3, len(s))), rel=1e-5)
 
 
+def test_language_table_is_bounded(docs, monkeypatch):
+    """With room for a tenth of the contexts the longer ones back off, and held-out rows are still told apart."""
+    whole = langid.fit(docs)
+    monkeypatch.setattr(langid, "TABLE_BYTES", whole.cost.nbytes // 10)
+    model = langid.fit(docs)
+    assert model.cost.nbytes <= whole.cost.nbytes // 10 + whole.cost[: whole.cost.shape[1]].nbytes
+    held = [r for r in docs.collect() if langid.id_bucket(r.doc_id, 4) == 2]
+    found = langid.predict_texts(model, [r.text for r in held])
+    assert np.mean([f[0] == r.lang for f, r in zip(found, held, strict=True)]) > 0.9
+
+
 # 7
 
 
+def dense_trainer(positive, unlabelled, prior, steps=400):
+    """Non-negative PU learning of a dense linear model over all words, by plain gradient steps."""
+    words = sorted(set().union(*(toxicity.features(t) for t in positive)))
+    at = {w: i for i, w in enumerate(words)}
+    matrix = lambda texts: np.array([[float(w in f) for w in words] for f in (toxicity.features(t) for t in texts)])
+    p, u = matrix(positive), matrix(unlabelled)
+    w, b = np.zeros(len(at)), float(np.log(prior / (1 - prior)))
+    sigma = lambda z: 1 / (1 + np.exp(-z))
+    for _ in range(steps):
+        zp, zu = p @ w + b, u @ w + b
+        gp, gu = prior * (sigma(zp) - 1) / len(zp), sigma(zu) / len(zu)
+        if np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean() >= 0:
+            gp = gp - prior * sigma(zp) / len(zp)
+        else:
+            gu = 0 * gu
+        w, b = w - 0.5 * (p.T @ gp + u.T @ gu), b - 0.5 * (gp.sum() + gu.sum())
+    return lambda t: float(sigma(sum(w[at[f]] for f in toxicity.features(t) if f in at) + b))
+
+
+def test_toxicity_ranks_as_a_dense_trainer():
+    """Made-up texts in which a few words mark the toxic ones: both trainers rank held-out toxic texts above the others, ours no worse."""
+    rng = np.random.default_rng(9)
+    common, bad = [f"word{i}" for i in range(60)], ["grimble", "snark", "vexed"]
+    # features are letters only
+    common = ["".join(chr(97 + int(c)) * 2 for c in w[4:]) + "on" for w in common]
+    text = lambda toxic: " ".join([*rng.choice(common, 25), *(rng.choice(bad, 2) if toxic else [])])
+    positive = [text(True) for _ in range(60)]
+    unlabelled = [text(rng.random() < 0.2) for _ in range(200)]
+    model, plain = toxicity.train(positive, unlabelled, 0.2), dense_trainer(positive, unlabelled, 0.2)
+    good, toxic = [text(False) for _ in range(40)], [text(True) for _ in range(40)]
+    auc = lambda score: np.mean([score(a) > score(b) for a in toxic for b in good])
+    assert auc(plain) > 0.8 and auc(model.score) >= auc(plain) and auc(model.score) > 0.98
+
+
 def test_toxicity(spark, odd):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
