@@ -2,6 +2,10 @@
 
 All stages but the last return the columns of ``documents``.  A run writes each stage's result to the
 shared folder and reads it again.
+
+Defined cases: null and empty texts, and texts without a letter, go in the language stage; rows without an id pass all filters and are packed under a null id;
+of repeated rows one stays; rows that share an id are decided each by its own text; an empty table gives empty stages; long texts are read whole; extra
+columns pass through the filters, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +31,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays: a row of its smallest id."""
+    """One row of each component of near copies stays: of those with its smallest id, the one with the smallest hash of the text."""
     return jaccard_join.keep_one(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Documents in which any window of a benchmark item occurs go."""
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
