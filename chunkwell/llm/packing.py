@@ -36,13 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hash_sample, materialise, tidy
+from .common import bounded_batches, hash_sample, materialise, release, tidy
 from .token_counts import load, unsure
 
 LENGTH, END_ID, SHARD_TOKENS, SHARD_DOCS = 2048, 1, 48_000_000, 12_288
 #: Chains side by side in a shard, neighbours that a search brings (a seed asks again for more), the share of a shard's documents from
 #: which an id's weights are a row of a matrix, rows of it at most, and documents whose best score is looked at together.
-CHAINS, FETCH, DENSE, DENSE_ROWS, GROUP = 128, 16, 0.03, 2048, 64
+CHAINS, FETCH, DENSE, DENSE_ROWS, GROUP = 64, 16, 0.03, 2048, 64
+#: Postings of rare ids that are added at a time.
+POSTINGS = 1 << 19
 #: Leaves at most, documents of each that there should be, and the sample that the centres are fitted on.
 LEAVES, LEAF_DOCS, LEAF_IDS, SAMPLE_DOCS, SAMPLE_TOKENS, CENTRE_STEPS = 256, 1024, 4096, 4096, 2048, 8
 K1, B, USED = 1.2, 0.75, -1e9
@@ -186,25 +188,28 @@ class Index:
     """BM25 inverted index of one shard: postings of each id as slices of two arrays, ids of many documents as rows of a matrix."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
+        self.terms, counts = zip(*((t, n.astype(np.float32)) for t, n in (np.unique(d, return_counts=True) for d in docs)), strict=True)
         size = np.array([len(t) for t in self.terms])
-        term, doc, tf = np.concatenate(self.terms).astype(np.int32), np.repeat(np.arange(len(docs), dtype=np.int32), size), np.concatenate(counts).astype(np.float32)
         norm = (K1 * (1 - B + B * np.array([len(d) for d in docs]) / mean)).astype(np.float32)
-        order = np.argsort(term, kind="stable")
-        self.term, self.doc = term[order], doc[order]
-        tf = tf[order]
-        self.weight = idf.astype(np.float32)[self.term] * tf * np.float32(K1 + 1) / (tf + norm[self.doc])
+        term = np.concatenate(self.terms)
+        order = np.argsort(term, kind="stable").astype(np.int32 if len(term) < 1 << 31 else np.int64)
+        self.term, self.doc, self.weight = term[order], np.repeat(np.arange(len(docs), dtype=np.int32), size)[order], np.concatenate(counts)[order]
+        idf = idf.astype(np.float32)
+        for at in self.chunks():  # counts become weights
+            w = self.weight[at]
+            self.weight[at] = idf[self.term[at]] * w * np.float32(K1 + 1) / (w + norm[self.doc[at]])
         self.size = len(idf)
         self.lay(np.arange(len(docs)))
 
+    def chunks(self):
+        return (slice(i, i + POSTINGS) for i in range(0, len(self.term), POSTINGS))
+
     def lay(self, own: np.ndarray) -> None:
         """Lay out the matrix and the postings for the documents own of the shard."""
-        self.own, self.n = own, len(own)
+        self.own, self.n, self.dense = own, len(own), None  # the old matrix goes before the new one comes
         place = np.full(len(self.terms), -1, np.int32)
         place[own] = np.arange(self.n)
-        here = place[self.doc] >= 0
-        term, doc, weight = self.term[here], place[self.doc[here]], self.weight[here]
-        often = np.bincount(term, minlength=self.size)
+        often = sum(np.bincount(self.term[at][place[self.doc[at]] >= 0], minlength=self.size) for at in self.chunks())
         dense = np.argsort(-often, kind="stable")[:DENSE_ROWS]
         dense = np.sort(dense[often[dense] > DENSE * self.n])
         self.slot = np.full(self.size, -1, np.int32)
@@ -212,10 +217,14 @@ class Index:
         # columns in groups of GROUP; the last row, which every query has, sinks the columns of used documents and those past the last
         self.dense = np.zeros((len(dense) + 1, -(-self.n // GROUP) * GROUP), np.float32)
         self.dense[-1, self.n :] = USED
-        row = self.slot[term]
-        in_matrix = row >= 0
-        self.dense[row[in_matrix], doc[in_matrix]] = weight[in_matrix]
-        self.posted, self.posted_weight = doc[~in_matrix], weight[~in_matrix]
+        rare, weights = [], []
+        for at in self.chunks():
+            doc, row = place[self.doc[at]], self.slot[self.term[at]]
+            here, posted = (doc >= 0) & (row >= 0), (doc >= 0) & (row < 0)
+            self.dense[row[here], doc[here]] = self.weight[at][here]
+            rare.append(doc[posted])
+            weights.append(self.weight[at][posted])
+        self.posted, self.posted_weight = np.concatenate(rare), np.concatenate(weights)
         often[dense] = 0
         self.ends = np.cumsum(often)
 
@@ -237,8 +246,10 @@ class Index:
         rare, row = term[slot < 0], row[slot < 0]
         first = np.where(rare > 0, self.ends[rare - 1], 0)
         n = self.ends[rare] - first
-        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        np.add.at(scores.reshape(-1), np.repeat(row, n) * scores.shape[1] + self.posted[at], self.posted_weight[at])
+        cut = np.searchsorted(np.cumsum(n), np.arange(POSTINGS, n.sum(), POSTINGS))  # so many postings at a time
+        for f, m, r in zip(np.split(first, cut), np.split(n, cut), np.split(row, cut), strict=True):
+            at = np.repeat(f - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            np.add.at(scores.reshape(-1), np.repeat(r * scores.shape[1], m) + self.posted[at], self.posted_weight[at])
         tops = scores.reshape(len(queries), -1, GROUP).max(2)
         for row, top in zip(scores, tops, strict=True):
             # the k best stand in the k groups with the best tops, and in those that tie with them
@@ -403,6 +414,8 @@ def pack(df: DataFrame, json_path: str, ranks_path: str, id_col: str = "doc_id",
     kind = id_kind(json_path)
 
     def run(batches):
+        _LOADED.clear()  # the encoder of the tasks before
+        release()
         idf, mean = shared.value
         sequence = TaskContext.get().partitionId() << 40
         for names, docs in shards(batches, kind):
