@@ -2,13 +2,15 @@
 
 Stored chunks that touch the selection are sorted by address and grouped into partitions: neighbours
 join across a small gap until the partition has its bytes; a chunk is never cut.  Cells of the grid
-without a stored chunk become fill partitions that carry boxes only.  Contiguous data is cut into many
+without a stored chunk become fill partitions: a run of cells, and the numbers of the stored ones in it, from which the task finds the missing ones.  Contiguous data is cut into many
 spans of whole outer rows, so that it reads in parallel.  All of this is arithmetic on the driver; no data is read.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from ..errors import UnsupportedError
@@ -19,7 +21,8 @@ from ..sources.bytesource import ReadOptions
 from . import selection
 from .selection import Box
 
-FILL_CELLS = 1 << 16
+#: Cells of a fill partition, unless that makes more than FILL_PARTS of them.
+FILL_CELLS, FILL_PARTS = 1 << 16, 4096
 
 
 @dataclass(frozen=True)
@@ -35,6 +38,32 @@ class Piece:
     data: bytes | None = None
 
 
+@dataclass(frozen=True)
+class Holes:
+    """The cells without a stored chunk among the cells of a part of the grid, in units of cells; stored: row-major numbers in that part."""
+
+    cells: Box
+    stored: tuple[int, ...]
+    box: Box
+    chunk: tuple[int, ...]
+    shape: tuple[int, ...]
+
+    def pieces(self) -> Iterator[Piece]:
+        there = frozenset(self.stored)
+        for i, at in enumerate(selection.cells(self.cells, (1,) * len(self.cells))):
+            if i not in there:
+                b = selection.intersect(self.box, _extent(tuple(x * c for x, c in zip(at, self.chunk, strict=True)), self.chunk, self.shape))
+                yield Piece(b, tuple(a for a, _ in b), tuple(z - a for a, z in b))
+
+
+def expanded(group: list[Piece | Holes]) -> Iterator[Piece]:
+    for p in group:
+        if isinstance(p, Holes):
+            yield from p.pieces()
+        else:
+            yield p
+
+
 def pieces(ds: Dataset, box: Box, options: ReadOptions) -> list[list[Piece]]:
     """Groups of pieces, one for each partition; every element of box lies in exactly one piece."""
     if selection.is_empty(box) or ds.space.kind == "null":
@@ -88,20 +117,19 @@ def _chunked(ds: Dataset, box: Box, width: int, options: ReadOptions) -> list[li
     for group in group_requests(sorted(stored.values(), key=lambda c: c.address), options.gap, span):
         out.append([Piece(selection.intersect(box, _extent(c.offsets, chunk, ds.shape)), c.offsets, chunk, c.address, c.size, c.mask) for c in group])
     # cells of the grid without a chunk
-    touched = math.prod(-(-z // c) - a // c for (a, z), c in zip(box, chunk, strict=True))
+    grid = tuple((a // c, -(-z // c)) for (a, z), c in zip(box, chunk, strict=True))
+    touched = selection.volume(grid)
     if touched > len(stored):
         cell = width * math.prod(chunk)
-        fills: list[Piece] = []
-        most = max(1, min(FILL_CELLS, options.partition // cell))
-        for at in selection.cells(box, chunk):
-            if at not in stored:
-                b = selection.intersect(box, _extent(at, chunk, ds.shape))
-                fills.append(Piece(b, tuple(a for a, _ in b), tuple(z - a for a, z in b)))
-                if len(fills) >= most:
-                    out.append(fills)
-                    fills = []
-        if fills:
-            out.append(fills)
+        most = max(1, min(FILL_CELLS, options.partition // cell), touched // FILL_PARTS)
+        steps = selection.strides(tuple(z - a for a, z in grid))
+        number = lambda at: sum((x - a) * s for x, (a, _), s in zip(at, grid, steps, strict=True))
+        known = sorted(number(tuple(o // c for o, c in zip(at, chunk, strict=True))) for at in stored)
+        for part in _slabs(grid, most):  # runs of the grid's cells in row-major order
+            first, n = number(tuple(a for a, _ in part)), selection.volume(part)
+            own = known[bisect_left(known, first) : bisect_left(known, first + n)]
+            if len(own) < n:
+                out.append([Holes(part, tuple(k - first for k in own), box, chunk, ds.shape)])
     return out
 
 
@@ -130,12 +158,22 @@ def group_requests(chunks: list[Chunk], gap: int, span: int) -> list[list[Chunk]
     return out
 
 
-def by_rows(groups: list[list[Piece]], ndim: int) -> list[list[Piece]]:
-    """For packed rows: pieces of the same outer box come together, so that no row is split."""
+def by_rows(groups: list[list[Piece | Holes]], ndim: int, target: int = 0, width: int = 1) -> list[list[Piece]]:
+    """For packed rows: pieces of the same outer box come together, so that no row is split; outer boxes share a partition up to target bytes."""
     if ndim < 1:
-        return groups
+        return [list(expanded(g)) for g in groups]
     outer: dict[Box, list[Piece]] = {}
     for g in groups:
-        for p in g:
+        for p in expanded(g):
             outer.setdefault(p.box[:-1], []).append(p)
-    return [sorted(ps, key=lambda p: p.box[-1]) for _, ps in sorted(outer.items())]
+    out: list[list[Piece]] = []
+    size = 0
+    for _, ps in sorted(outer.items()):
+        own = width * sum(selection.volume(p.box) for p in ps)
+        if out and size + own <= target:
+            out[-1] += sorted(ps, key=lambda p: p.box[-1])
+            size += own
+        else:
+            out.append(sorted(ps, key=lambda p: p.box[-1]))
+            size = own
+    return out

@@ -27,7 +27,7 @@ from ..functions import decode, dtype, strings
 from ..plans import planner, selection
 from .bytesource import ByteSource, ReadOptions
 
-BATCH_ROWS = 1 << 17
+BATCH_ROWS, RAW_BYTES = 1 << 17, 64 << 20
 CATALOG = {
     "datasets": "path string, shape array<bigint>, chunk_shape array<bigint>, layout string, is_float boolean, is_signed boolean, element_bytes int, filters array<string>, index string, is_enum boolean, string_kind string",
     "objects": "path string, parent string, name string, kind string",
@@ -223,7 +223,8 @@ class ArrayReader(DataSourceReader):
                 check_readable(ds, self.mode, self.options.get("dtype", ""))
                 groups = planner.pieces(ds, self.box_of(ds), options)
                 if self.mode == "rows":
-                    groups = planner.by_rows(groups, ds.ndim)
+                    box = self.box_of(ds)
+                    groups = planner.by_rows(groups, ds.ndim, options.target(selection.volume(box) * ds.dtype.element_size), ds.dtype.element_size)
                 fill = ds.fill if self.options.get("fill", "zero") == "stored" else None
                 out += [ArrayPart(len(out) + i, file, ds.shape, ds.dtype, ds.filters, fill, g) for i, g in enumerate(groups)]
         return out
@@ -247,15 +248,14 @@ class ArrayReader(DataSourceReader):
             if self.mode == "rows":
                 yield from self._rows(source, part, blocks, cache)
             else:
-                for box, values in blocks:
-                    yield from self._elements(source, part, box, values, cache)
+                yield from self._elements(source, part, blocks, cache)
         finally:
             source.close()
 
     def _blocks(self, source: ByteSource, part: ArrayPart, options: ReadOptions) -> Iterator[tuple[selection.Box, np.ndarray]]:
         """(box, its elements as an array of that shape), with one request for neighbouring pieces of at most options.span bytes."""
         kind = np.dtype(f"V{part.dtype.element_size}")
-        stored = [p for p in part.pieces if p.address != UNDEFINED]
+        stored = [p for p in part.pieces if isinstance(p, planner.Piece) and p.address != UNDEFINED]
         group_of: dict[int, int] = {}  # by address, the request that brings it
         spans: list[tuple[int, int]] = []
         for group in planner.group_requests(sorted(stored, key=lambda p: p.address), options.gap, options.span):
@@ -266,7 +266,7 @@ class ArrayReader(DataSourceReader):
         coming = source.prefetch([spans[g] for g in order])
         fetched = iter(order)
         held: dict[int, bytes] = {}
-        for p in part.pieces:
+        for p in planner.expanded(part.pieces):
             dims = tuple(z - a for a, z in p.box)
             if p.data is not None:
                 raw, mask = p.data, 0
@@ -306,7 +306,8 @@ class ArrayReader(DataSourceReader):
         """A column of flat elements."""
         t = part.dtype
         if self.mode == "raw":
-            return pa.array([x.tobytes() for x in flat], pa.binary())
+            size = flat.dtype.itemsize  # all elements are of one size: the offsets are arithmetic
+            return pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(np.arange(len(flat) + 1, dtype=np.int32) * np.int32(size)), pa.py_buffer(flat.tobytes())])
         if t.cls == messages.STRING:
             return pa.array(strings.fixed_strings(flat.tobytes(), t.size), pa.string())
         if t.cls == messages.VARIABLE:
@@ -314,17 +315,38 @@ class ArrayReader(DataSourceReader):
         spark = dtype.spark_type(t, self.options.get("u64", "decimal"), self.options.get("enum", "int"))
         return dtype.to_arrow(flat.view(dtype.numpy_type(t)), spark)
 
-    def _elements(self, source: ByteSource, part: ArrayPart, box: selection.Box, values: np.ndarray, cache: dict) -> Iterator[pa.RecordBatch]:
-        dims = values.shape
-        flat = np.ascontiguousarray(values).reshape(-1)
+    def _elements(self, source: ByteSource, part: ArrayPart, blocks, cache: dict) -> Iterator[pa.RecordBatch]:
+        """Batches of up to BATCH_ROWS elements: a large block is cut, small ones are joined."""
         coords = self.options.get("coords", "true") == "true"
-        names = [*(["file"] if self.options.get("file_column") == "true" else []), *(f"i{d}" for d in range(len(dims) * coords)), "value"]
-        for at in range(0, len(flat), BATCH_ROWS):
-            end = min(len(flat), at + BATCH_ROWS)
-            columns = [pa.array([part.file] * (end - at))] * ("file" in names)
-            if coords and dims:
-                columns += [pa.array(p) for p in places(at, end, box)]
-            yield pa.RecordBatch.from_arrays([*columns, self._values(source, part, flat[at:end], cache)], names)
+        named = self.options.get("file_column") == "true"
+        rows = BATCH_ROWS if self.mode != "raw" else max(1, min(BATCH_ROWS, RAW_BYTES // max(1, part.dtype.element_size)))
+        held: list[tuple[selection.Box, np.ndarray, int]] = []  # box, its elements from a number on
+        size = 0
+
+        def emit() -> pa.RecordBatch:
+            flat = np.concatenate([x for _, x, _ in held]) if len(held) > 1 else held[0][1]
+            columns, names = [], []
+            if named:
+                columns, names = [pa.repeat(pa.scalar(part.file), len(flat))], ["file"]
+            if coords and held[0][0]:
+                each = [places(at, at + len(x), box) for box, x, at in held]
+                columns += [pa.array(np.concatenate(c) if len(c) > 1 else c[0]) for c in zip(*each, strict=True)]
+                names += [f"i{d}" for d in range(len(held[0][0]))]
+            return pa.RecordBatch.from_arrays([*columns, self._values(source, part, flat, cache)], [*names, "value"])
+
+        for box, values in blocks:
+            flat = np.ascontiguousarray(values).reshape(-1)
+            at = 0
+            while at < len(flat):
+                take = min(len(flat) - at, rows - size)
+                held.append((box, flat[at : at + take], at))
+                at, size = at + take, size + take
+                if size >= rows:
+                    yield emit()
+                    held.clear()
+                    size = 0
+        if held:
+            yield emit()
 
     def _rows(self, source: ByteSource, part: ArrayPart, blocks, cache: dict) -> Iterator[pa.RecordBatch]:
         """Blocks of one outer box, side by side along the last dimension, as a list for each row."""
