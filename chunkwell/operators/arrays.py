@@ -92,3 +92,16 @@ def touched(chunks: DataFrame, chunk_shape: list[int], selections: DataFrame, nd
     s = s.withColumn("cell", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
     rest = [(F.col("offsets")[d] < F.col("hi")[d]) & (F.col("offsets")[d] + chunk_shape[d] > F.col("lo")[d]) for d in range(ndim)]
     return c.join(s, "cell").where(reduce(lambda a, b: a & b, rest)).drop("cell")
+
+
+def asof(left: DataFrame, right: DataFrame, key: str, on: str) -> DataFrame:
+    """left rows with the other columns of the right row of their key that has the largest on not above theirs; nulls if there is none.
+
+    One shuffle by key: right rows are merged among left rows and carried forward.
+    """
+    carried = [c for c in right.columns if c not in (key, on)]
+    r = right.select(key, on, F.struct(*carried).alias("__r"), F.lit(0).alias("__side"))
+    both = left.withColumn("__l", F.struct(*left.columns)).select(key, on, "__l", F.lit(1).alias("__side")).unionByName(r, allowMissingColumns=True)
+    order = W.partitionBy(key).orderBy(on, "__side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = both.withColumn("__r", F.last("__r", ignorenulls=True).over(order)).where("__side = 1")
+    return found.select("__l.*", *(F.col(f"__r.{c}").alias(c) for c in carried))

@@ -18,6 +18,7 @@ from . import api
 from .fixtures.h5writer import UNLIMITED, Enum, Fixed, Vl, Writer
 from .fixtures.stage import column, home, staged
 from .operators import arrays, heap_join, intervals
+from .sources.hdf5 import ArrayReader
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -423,9 +424,13 @@ def dense_links(spark, sf_dir):
 # I/O planning
 
 
-@query()
+@query("SELECT true AS requested, true AS covers_stored, true AS fewer_than_chunks")
 def io_stats(spark, sf_dir):
-    return api.io_stats(spark, events(spark, sf_dir), "/events/value")
+    """What a read costs, as facts: some requests, all stored bytes, and not a request for each chunk."""
+    path = events(spark, sf_dir)
+    cost = api.io_stats(spark, path, "/events/value").agg(F.sum("requests").alias("requests"), F.sum("bytes").alias("bytes"))
+    stored = api.list_chunks(spark, path).where("path = '/events/value'").agg(F.sum("stored_bytes").alias("stored"), F.count("*").alias("chunks"))
+    return cost.join(stored).select((F.col("requests") >= 1).alias("requested"), (F.col("bytes") >= F.col("stored")).alias("covers_stored"), (F.col("requests") <= F.col("chunks")).alias("fewer_than_chunks"))
 
 
 @query("SELECT user_id, CAST(epoch(min(ts)) AS BIGINT) AS start, CAST(epoch(max(ts)) + 600 AS BIGINT) AS \"end\" FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT user_id, date_trunc('second', ts) AS ts, CASE WHEN epoch(date_trunc('second', ts)) <= lag(epoch(date_trunc('second', ts))) OVER (PARTITION BY user_id ORDER BY ts) + 600 + 3600 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, g")
@@ -434,7 +439,17 @@ def coalesce_gaps(spark, sf_dir):
     return intervals.merged(_spans(spark, sf_dir, 600), "user_id", 3600, 1 << 20)
 
 
-@query()
+_SPANS = "SELECT user_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS s, CAST(epoch(date_trunc('second', ts)) AS BIGINT) + 600 AS e FROM events"
+_JOINS = 'r.s <= t.e + 3600 AND greatest(r.e, t.e) - t.s <= 86400'
+
+
+@query(f"""
+WITH RECURSIVE r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, e) AS k FROM ({_SPANS})),
+t AS (SELECT user_id, k, s, e, 1 AS g FROM r WHERE k = 1
+  UNION ALL SELECT r.user_id, r.k, CASE WHEN {_JOINS} THEN t.s ELSE r.s END, CASE WHEN {_JOINS} THEN greatest(r.e, t.e) ELSE r.e END, CASE WHEN {_JOINS} THEN t.g ELSE t.g + 1 END
+  FROM t JOIN r ON r.user_id = t.user_id AND r.k = t.k + 1)
+SELECT user_id, min(s) AS start, max(e) AS "end" FROM t GROUP BY user_id, g
+""")
 def coalesce_capped(spark, sf_dir):
     """The same with a cap on the cover, as reads are grouped."""
     return intervals.coalesce_ranges(_spans(spark, sf_dir, 600), "user_id", 3600, 86_400)
@@ -552,8 +567,6 @@ def _after(name: str, sql: str, spark_sql: str | None = None) -> None:
 _after("join_inner", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 _after("join_left", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 _after("join_full", "SELECT count(*) AS n, count(c_custkey) AS c, count(o_orderkey) AS o FROM customer FULL JOIN orders ON o_custkey = c_custkey")
-_after("join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-_after("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 _after("join_range", "SELECT r.r_name, count(*) AS n FROM region r JOIN nation n ON n.n_nationkey >= r.r_regionkey * 5 AND n.n_nationkey < r.r_regionkey * 5 + 5 GROUP BY r.r_name")
 _after("aggregate_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), (o_orderstatus, o_orderpriority), ())")
 _after("aggregate_rollup", "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -561,11 +574,24 @@ _after("aggregate_cube", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM c
 _after("window_rank", "SELECT i0, user_id, CAST(rank() OVER (PARTITION BY user_id ORDER BY value DESC, i0) AS BIGINT) AS place, lag(i0) OVER (PARTITION BY user_id ORDER BY i0) AS previous FROM ev")
 _after("sort_limit_offset", "SELECT i0, value FROM ev ORDER BY value DESC, i0 LIMIT 20 OFFSET 5")
 _after("set_union", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey AS k FROM region")
-_after("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier")
-_after("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders")
-_after("asof_join", "SELECT user_id, i0, (SELECT max(b.event_id) FROM events b WHERE b.user_id = ev.user_id AND b.event_id < ev.i0) AS before FROM ev", "SELECT user_id, i0, max(i0) OVER (PARTITION BY user_id ORDER BY i0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ev")
-_after("recursive_traversal", "WITH RECURSIVE t AS (SELECT 1 AS n, CAST(1 AS BIGINT) AS total UNION ALL SELECT n + 1, total * 2 FROM t WHERE n < 20) SELECT n, total FROM t")
-_after("functions_mixed", "SELECT n_nationkey, upper(n_name) AS big, CAST(length(n_name) AS BIGINT) AS n, substr(n_name, 1, 3) AS head FROM nation")
+_after("join_semi", "SELECT i0 FROM ev WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_nationkey < 10)")
+_after("join_anti", "SELECT i0 FROM ev WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_nationkey < 10)")
+_after("join_right", "SELECT c_custkey, count(i0) AS n FROM ev RIGHT JOIN customer ON c_custkey = user_id GROUP BY c_custkey")
+_after("join_merge", "SELECT c_nationkey, count(*) AS n FROM ev JOIN customer ON c_custkey = user_id GROUP BY c_nationkey", "SELECT /*+ MERGE(customer) */ c_nationkey, count(*) AS n FROM ev JOIN customer ON c_custkey = user_id GROUP BY c_nationkey")
+_after("join_shuffled_hash", "SELECT c_mktsegment, count(*) AS n FROM ev JOIN customer ON c_custkey = user_id GROUP BY c_mktsegment", "SELECT /*+ SHUFFLE_HASH(customer) */ c_mktsegment, count(*) AS n FROM ev JOIN customer ON c_custkey = user_id GROUP BY c_mktsegment")
+_after("set_intersect", "SELECT user_id AS k FROM ev WHERE value > 300 INTERSECT SELECT user_id AS k FROM ev WHERE value < 1")
+_after("set_intersect_all", "SELECT user_id AS k FROM ev WHERE value > 100 INTERSECT ALL SELECT user_id AS k FROM ev WHERE value < 5")
+_after("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT user_id AS k FROM ev WHERE value > 200")
+_after("approx_distinct", "SELECT count(DISTINCT user_id) AS users, true AS near FROM ev", "SELECT count(DISTINCT user_id) AS users, abs(approx_count_distinct(user_id, 0.02) - count(DISTINCT user_id)) <= 0.1 * count(DISTINCT user_id) AS near FROM ev")
+_after("approx_quantile", "SELECT user_id, count(*) AS n, true AS inside FROM ev GROUP BY user_id", "SELECT user_id, count(*) AS n, approx_percentile(value, 0.5, 1000) BETWEEN percentile(value, 0.45) AND percentile(value, 0.55) AS inside FROM ev GROUP BY user_id")
+_after("functions_mixed", "SELECT n_nationkey, upper(n_name) AS big, CAST(length(n_name) AS BIGINT) AS n, substr(n_name, 1, 3) AS head, regexp_replace(n_name, '[AEIOU]', '-', 'g') AS masked, regexp_extract(n_name, '([A-Z])[A-Z]*$', 1) AS tail FROM nation", "SELECT n_nationkey, upper(n_name) AS big, CAST(length(n_name) AS BIGINT) AS n, substr(n_name, 1, 3) AS head, regexp_replace(n_name, '[AEIOU]', '-') AS masked, regexp_extract(n_name, '([A-Z])[A-Z]*$', 1) AS tail FROM nation")
+_after("functions_math", "SELECT i0, CAST(floor(value) AS BIGINT) AS low, CAST(ceil(value) AS BIGINT) AS high, round(sqrt(value), 6) AS root, round(ln(value + 1), 6) AS log, user_id % 7 AS rest, CAST(sign(value - 50) AS INT) AS side FROM ev", "SELECT i0, CAST(floor(value) AS BIGINT) AS low, CAST(ceil(value) AS BIGINT) AS high, round(sqrt(value), 6) AS root, round(ln(value + 1), 6) AS log, user_id % 7 AS rest, CAST(sign(value - 50) AS INT) AS side FROM ev")
+_after("functions_dates", "SELECT event_id, CAST(year(ts) AS INT) AS y, CAST(month(ts) AS INT) AS m, CAST(day(ts) AS INT) AS d, CAST(hour(ts) AS INT) AS h, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS since, CAST(CAST(ts AS DATE) + INTERVAL 1 MONTH AS DATE) AS later FROM events", "SELECT event_id, year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) AS h, datediff(ts, DATE '2024-01-01') AS since, add_months(CAST(ts AS DATE), 1) AS later FROM events")
+_after(
+    "functions_nested",
+    "SELECT user_id, CAST(len(list(value)) AS BIGINT) AS n, list_max(list(value)) AS high, CAST(len(list_filter(list(value), lambda x: x > 50)) AS BIGINT) AS above, CAST(json_extract_string(json_object('u', user_id), '$.u') AS BIGINT) AS json, CAST(cardinality(map_from_entries(list(DISTINCT (i0 % 5, i0 % 5)))) AS BIGINT) AS keys FROM ev GROUP BY user_id",
+    "SELECT user_id, CAST(size(collect_list(value)) AS BIGINT) AS n, array_max(collect_list(value)) AS high, CAST(size(filter(collect_list(value), x -> x > 50)) AS BIGINT) AS above, CAST(get_json_object(to_json(named_struct('u', user_id)), '$.u') AS BIGINT) AS json, CAST(cardinality(map_from_entries(collect_set(struct(i0 % 5, i0 % 5)))) AS BIGINT) AS keys FROM ev GROUP BY user_id",
+)
 _after("pivot_counts", "SELECT o_orderpriority, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS pending, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS done FROM orders GROUP BY o_orderpriority")
 
 
@@ -625,3 +651,112 @@ def stream_arrivals(spark, sf_dir):
         w.save(f"{folder}/{t}.h5")
     drain(catalog_stream(spark, folder), f"{folder}/out", f"{folder}/c")
     return spark.read.parquet(f"{folder}/out").select("path", "elements")
+
+
+@query("SELECT l.event_id AS i0, l.user_id, r.event_id AS seen_i0, r.value AS seen FROM (SELECT * FROM events WHERE event_id % 3 = 0) AS l ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 3 = 1) AS r ON l.user_id = r.user_id AND l.event_id >= r.event_id")
+def asof_join(spark, sf_dir):
+    """For each third element the latest element of the next kind before it, by user."""
+    ev = arrays.assemble({c: api.read(spark, events(spark, sf_dir), dataset=f"/events/{c}") for c in ("user_id", "value")})
+    seen = ev.where("i0 % 3 = 1").select("user_id", "i0", F.col("i0").alias("seen_i0"), F.col("value").alias("seen"))
+    return arrays.asof(ev.where("i0 % 3 = 0").select("i0", "user_id"), seen, "user_id", "i0")
+
+
+@query("""
+WITH RECURSIVE o(path, parent) AS (VALUES ('/customer', '/'), ('/customer/balance', '/customer'), ('/customer/key', '/customer'), ('/many', '/'), ('/nation', '/'), ('/nation/name', '/nation')),
+t AS (SELECT path, 1 AS depth, path AS top FROM o WHERE parent = '/' UNION ALL SELECT o.path, depth + 1, top FROM t JOIN o ON o.parent = t.path)
+SELECT path, depth, top FROM t
+""")
+def recursive_traversal(spark, sf_dir):
+    """The group tree of a file, walked from the root by a recursive query."""
+    api.list_objects(spark, tables(spark, sf_dir)).createOrReplaceTempView("objects_of_file")
+    return spark.sql("WITH RECURSIVE t AS (SELECT path, 1 AS depth, path AS top FROM objects_of_file WHERE parent = '/' UNION ALL SELECT o.path, depth + 1, top FROM t JOIN objects_of_file o ON o.parent = t.path) SELECT path, depth, top FROM t")
+
+
+@query("SELECT (SELECT count(*) FROM region) || ',' || (SELECT count(*) FROM nation) || ',' || (SELECT count(*) FROM customer) AS sizes, 'by hand' AS created, 'by hand' AS strs, true AS no_ints, true AS missing, 'balance,key' AS children")
+def attribute_values(spark, sf_dir):
+    """Attributes by name, as integers, a string and strings, and the children of an object."""
+    path = tables(spark, sf_dir)
+    created, sizes = api.attr(spark, path, "created"), api.attr(spark, path, "sizes")
+    row = (",".join(map(str, sizes.as_ints())), created.as_str(), ",".join(created.as_strs()), created.as_ints() is None, api.attr(spark, path, "none of them") is None)
+    found = spark.createDataFrame([row], "sizes string, created string, strs string, no_ints boolean, missing boolean")
+    names = api.open_object(spark, path, "customer").select(F.array_join(F.transform("children", lambda c: c["name"]), ",").alias("children"))
+    return found.join(names)
+
+
+@query("SELECT * FROM (VALUES ('backwards', 'InvalidSelection'), ('rank', 'InvalidSelection'), ('type', 'TypeMismatch'), ('missing', 'InvalidSelection'), ('store', 'Store')) AS t(attempt, kind)")
+def error_kinds(spark, sf_dir):
+    """The kinds of error that wrong reads raise."""
+    from .errors import EngineError
+
+    path = events(spark, sf_dir)
+    attempts = {
+        "backwards": lambda: ArrayReader("array", {"dataset": "/events/value", "selection": "9:3"}, [path]).partitions(),
+        "rank": lambda: ArrayReader("array", {"dataset": "/events/value", "selection": "0:3,0:3"}, [path]).partitions(),
+        "type": lambda: ArrayReader("array", {"dataset": "/events/value", "dtype": "i32"}, [path]).partitions(),
+        "missing": lambda: ArrayReader("array", {"dataset": "/events/none"}, [path]).partitions(),
+        "store": lambda: ArrayReader("array", {"dataset": "/events/value"}, [path + ".gone"]).partitions(),
+    }
+    out = []
+    for name, attempt in attempts.items():
+        try:
+            attempt()
+        except EngineError as e:
+            out.append((name, e.kind))
+    return spark.createDataFrame(out, "attempt string, kind string")
+
+
+@query("SELECT 4 AS ranges, true AS in_order, true AS streamed, true AS one_batch")
+def byte_ranges(spark, sf_dir):
+    """Ranges of a file's bytes in the order asked for, in one batch, and the same bytes as a stream."""
+    from .sources.bytesource import ByteSource, ReadOptions
+
+    source = ByteSource.open(events(spark, sf_dir), ReadOptions())
+    ranges = [(100, 200), (0, 8), (150, 160), (512, 4096)]
+    whole = source.get_range(0, 4096)
+    before = source.stats.batches
+    found = source.read_ranges(ranges)
+    batches = source.stats.batches - before
+    row = (len(found), found == [whole[a:b] for a, b in ranges], b"".join(source.stream(0, 4096, 1000)) == whole, batches == 1)
+    source.close()
+    return spark.createDataFrame([row], "ranges int, in_order boolean, streamed boolean, one_batch boolean")
+
+
+def _arrivals(spark, sf_dir, *parts: str):
+    """A stream of event rows: one file, and so one batch, for each condition; the files arrive in that order."""
+    import os
+    import tempfile
+
+    folder = tempfile.mkdtemp(dir=home(spark))
+    source = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    for i, part in enumerate(parts):
+        spark_rows = source.selectExpr("event_id", part, "user_id", "event_type", "value") if " AS ts" in part else source.where(part).select("event_id", "ts", "user_id", "event_type", "value")
+        (spark_rows.limit(1) if " AS ts" in part else spark_rows).coalesce(1).write.parquet(f"{folder}/{i}")
+        for f in sorted(os.listdir(f"{folder}/{i}")):
+            if f.endswith(".parquet"):
+                os.makedirs(f"{folder}/in", exist_ok=True)
+                os.replace(f"{folder}/{i}/{f}", f"{folder}/in/{i}.parquet")
+                os.utime(f"{folder}/in/{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+
+
+@query("SELECT w AS start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY w")
+def stream_sliding(spark, sf_dir):
+    """Windows of two hours every hour over a stream, in append mode; a row that comes far too late is dropped, a last row closes the windows."""
+    from .streaming.arrivals import drain, sliding
+
+    stream, folder = _arrivals(spark, sf_dir, "event_id % 2 = 0", "event_id % 2 = 1", "TIMESTAMP'2000-01-01 00:00:00' AS ts", "TIMESTAMP'2100-01-01 00:00:00' AS ts")
+    drain(sliding(stream), f"{folder}/out", f"{folder}/c")
+    return spark.read.parquet(f"{folder}/out").select(F.col("window.start").alias("start"), "n")
+
+
+@query("SELECT user_id, count(*) AS n, max(value) AS high FROM events GROUP BY user_id")
+def stream_stateful(spark, sf_dir):
+    """Running counts and maxima by user, kept as state over the batches of a stream."""
+    from .streaming.arrivals import running
+
+    stream, folder = _arrivals(spark, sf_dir, "event_id % 3 = 0", "event_id % 3 = 1", "event_id % 3 = 2")
+    name = f"running_{folder.rsplit('/', 1)[-1]}".replace("-", "_")
+    q = running(stream, "user_id", "value").writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).groupBy("user_id").agg(F.max("n").alias("n"), F.max("high").alias("high"))
