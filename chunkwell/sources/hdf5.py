@@ -6,6 +6,7 @@ tasks read, decode and emit Arrow batches without any other state; a lost task r
 
 from __future__ import annotations
 
+import fnmatch
 import glob
 import math
 import os
@@ -25,6 +26,7 @@ from ..fmt.file import Dataset, H5File
 from ..functions import attributes as attrs
 from ..functions import decode, dtype, strings
 from ..plans import planner, selection
+from . import bytesource
 from .bytesource import ByteSource, ReadOptions
 
 BATCH_ROWS, RAW_BYTES = 1 << 17, 64 << 20
@@ -50,7 +52,7 @@ def files_of(path: str) -> list[str]:
     for p in [x.strip() for x in path.split(",") if x.strip()]:
         local = p.removeprefix("file://")
         if "://" in p and not p.startswith("file://"):
-            out.append(p)
+            out += remote_files(p)
         elif os.path.isdir(local):
             out += sorted(f for e in ("h5", "hdf5") for f in glob.glob(os.path.join(glob.escape(local), f"*.{e}")))
         elif any(c in local for c in "*?["):
@@ -62,6 +64,30 @@ def files_of(path: str) -> list[str]:
     return out
 
 
+def remote_files(uri: str, system=None) -> list[str]:
+    """The same of a store: a folder or a pattern is listed by the file system that pyarrow has for it; files of web servers and of one's own
+    schemes stand for themselves.  system: (file system, path in it) of the part before the first wildcard."""
+    from pyarrow import fs
+
+    scheme = uri.split("://", 1)[0]
+    if scheme in bytesource._SCHEMES or scheme in ("http", "https"):
+        return [uri]
+    wild = re.search(r"[*?\[]", uri)
+    base = uri[: uri.rindex("/", 0, wild.start())] if wild else uri.rstrip("/")
+    try:
+        files, path = system or fs.FileSystem.from_uri(base)
+        if not wild and files.get_file_info(path).type != fs.FileType.Directory:
+            return [uri]
+        found = [i.path for i in files.get_file_info(fs.FileSelector(path, recursive=bool(wild))) if i.type == fs.FileType.File]
+    except (OSError, ValueError, NotImplementedError) as e:
+        raise StoreError(f"{uri}: {e}") from None
+    names = sorted(base + f[len(path) :] if path else f"{base}/{f}" for f in found)
+    if not wild:
+        return [n for n in names if n.endswith((".h5", ".hdf5"))]
+    # a wildcard stays within its folder
+    return [n for n in names if n.count("/") == uri.count("/") and fnmatch.fnmatchcase(n, uri)]
+
+
 @dataclass
 class FilePart(InputPartition):
     file: str | bytes

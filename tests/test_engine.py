@@ -246,3 +246,79 @@ def test_http_store(spark, tmp_path):
         assert api.where(spark, url, "x", "i0 < 10").count() == 10
     finally:
         server.shutdown()
+
+
+def test_remote_files(tmp_path):
+    from pyarrow import fs
+
+    from chunkwell.sources.hdf5 import remote_files
+
+    for name in ("a.h5", "b.hdf5", "c.txt", "sub/d.h5"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"")
+    here = (fs.LocalFileSystem(), str(tmp_path))
+    assert remote_files("store://bucket/x/", here) == ["store://bucket/x/a.h5", "store://bucket/x/b.hdf5"]
+    assert remote_files("store://bucket/x/*.h5", here) == ["store://bucket/x/a.h5"]
+    assert remote_files("store://bucket/x/*/?.h5", here) == ["store://bucket/x/sub/d.h5"]
+    assert remote_files("store://bucket/x/a.h5", (fs.LocalFileSystem(), str(tmp_path / "a.h5"))) == ["store://bucket/x/a.h5"]
+    assert remote_files("https://host/x/*.h5") == ["https://host/x/*.h5"]
+
+
+def test_small_chunks_share_batches(tmp_path):
+    from chunkwell.sources.hdf5 import ArrayReader
+
+    data = np.arange(30_000, dtype="i4").reshape(300, 100)
+    w = Writer(True)
+    w.dataset("/x", data, chunk=(3, 4))
+    reader = ArrayReader("array", {"dataset": "/x", "parallelism": "1"}, [w.save(str(tmp_path / "x.h5"))])
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert len(batches) <= 2 * len(reader.partitions())
+    got = np.zeros_like(data)
+    for b in batches:
+        got[b.column("i0").to_numpy(), b.column("i1").to_numpy()] = b.column("value").to_numpy()
+    assert (got == data).all()
+
+
+def test_missing_cells_plan_as_runs():
+    """10^9 missing cells are planned at once; the runs and the stored cells cover the grid once."""
+    import time
+
+    from chunkwell.plans import planner
+    from chunkwell.sources.bytesource import ReadOptions
+
+    class Sparse:
+        class layout:
+            kind, chunk = "Chunked", (2, 2)
+
+        class space:
+            kind = "simple"
+
+        class dtype:
+            element_size = 1
+
+        def __init__(self, shape, stored):
+            self.shape, self.ndim = shape, 2
+            self.chunks = [planner.Chunk(at, 1000 + i, 4, 0) for i, at in enumerate(stored)]
+
+    began = time.perf_counter()
+    n = 63_246
+    groups = planner.pieces(Sparse((n, n), [(0, 0), (2 * 20_000, 4)]), ((0, n), (0, n)), ReadOptions())
+    holes = [p for g in groups for p in g if isinstance(p, planner.Holes)]
+    assert time.perf_counter() - began < 2 and len(holes) < 10_000
+    assert sum(planner.selection.volume(h.cells) - len(h.stored) for h in holes) == (n // 2) ** 2 - 2
+    box, seen = ((3, 21), (1, 30)), np.zeros((40, 40), int)
+    for g in planner.pieces(Sparse((40, 40), [(4, 4), (20, 28), (38, 38)]), box, ReadOptions()):
+        for p in planner.expanded(g):
+            seen[tuple(slice(a, z) for a, z in p.box)] += 1
+    assert (seen[3:21, 1:30] == 1).all() and seen.sum() == 18 * 29
+
+
+def test_asof_join(spark):
+    from chunkwell.operators import arrays
+
+    rng = np.random.default_rng(2)
+    left = [(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 4, 60), rng.integers(0, 50, 60), strict=True))]
+    right = list({(int(k), int(t)): (int(k), int(t), float(i)) for i, (k, t) in enumerate(zip(rng.integers(0, 4, 30), rng.integers(0, 50, 30), strict=True))}.values())
+    got = arrays.asof(spark.createDataFrame(left, "k long, t long, n long"), spark.createDataFrame(right, "k long, t long, v double"), "k", "t")
+    want = {n: max(((u, v) for j, u, v in right if j == k and u <= t), default=(0, None))[1] for k, t, n in left}
+    assert {r.n: r.v for r in got.collect()} == want and got.count() == 60
