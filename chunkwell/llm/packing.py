@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hash_sample, materialise, release, tidy
+from .common import bounded_batches, hash_share, materialise, release, tidy
 from .token_counts import load, unsure
 
 LENGTH, END_ID, SHARD_TOKENS, SHARD_DOCS = 2048, 1, 48_000_000, 12_288
@@ -78,6 +78,14 @@ class Encoder:
             return self.plain(text)
         return np.concatenate([np.array([self.special[p]], np.uint32) if p in self.special else self.plain(p) for p in self.find.split(text)])
 
+    def ended(self, text: str) -> np.ndarray:
+        """Ids and the end id, in 16 bits where the vocabulary allows."""
+        if not unsure(text) and (self.find is None or not self.find.search(text)):
+            out = array("H" if self.size <= 1 << 16 else "I", self.bpe.encode_ordinary(text))
+            out.append(END_ID)
+            return np.frombuffer(out, np.uint16 if self.size <= 1 << 16 else np.uint32)
+        return np.append(self.ids(text), END_ID).astype(np.uint16 if self.size <= 1 << 16 else np.uint32)
+
     def plain(self, text: str) -> np.ndarray:
         return np.frombuffer(array("I", self.bpe.encode_ordinary(text)), np.uint32)
 
@@ -140,7 +148,8 @@ def fitted(df: DataFrame, json_path: str, ranks_path: str, id_col: str, text_col
     if wanted < 2:
         return Leaves([], 0)
     part = F.substring(F.col(text_col), 1, 4 * SAMPLE_TOKENS).alias("text")
-    texts = [r.text for r in hash_sample(df.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), part), "h", SAMPLE_DOCS).select("text").collect()]
+    # about SAMPLE_DOCS rows by a hash of the id, whatever the number of rows; many rows of one id don't make it larger than twice that
+    texts = [r.text for r in df.where(hash_share(id_col, rows, SAMPLE_DOCS // 2)).select(part).limit(2 * SAMPLE_DOCS).collect()]
     enc = encoder(json_path, ranks_path)
     return Leaves([enc.ids(t)[:SAMPLE_TOKENS].astype(np.int64) for t in texts if t], wanted)
 
@@ -154,12 +163,11 @@ def encoded(df: DataFrame, json_path: str, ranks_path: str, leaves=None, id_col:
 
     def run(batches):
         enc = encoder(json_path, ranks_path)
-        kind = np.uint16 if enc.size <= 1 << 16 else np.uint32
         row, docs, tokens, seen = TaskContext.get().partitionId() << 33, 0, 0, np.zeros(enc.size + 2, np.int64)
         for b in batches:
             for first in range(0, b.num_rows, 256):
                 part = b.slice(first, 256)
-                ids = [np.append(enc.ids(t or ""), END_ID).astype(kind) for t in part.column(1).to_pylist()]
+                ids = [enc.ended(t or "") for t in part.column(1).to_pylist()]
                 terms = [np.unique(x) for x in ids]
                 for t in terms:
                     seen[t] += 1
