@@ -1,6 +1,6 @@
 """Lexical retrieval packing into sequences of at most 2048 tokens.
 
-Documents are encoded once; ids are kept in the shared folder, with each document's leaf: the nearest of at most ``LEAVES`` centres of
+Documents are encoded once, equal units between spaces together (``Encoder.ended``); ids are kept in the shared folder, with each document's leaf: the nearest of at most ``LEAVES`` centres of
 ids, fitted on a bounded sample (``SAMPLE_DOCS``, ``SAMPLE_TOKENS``) and put in an order in which similar leaves are neighbours.  Documents are
 then sorted by leaf over the partitions (a range partitioning, so a leaf with a third of all rows is split), and a shard is a run of them:
 at most ``SHARD_DOCS`` documents and ``SHARD_TOKENS`` tokens, or one longer document.  So every document is indexed, and documents with
@@ -32,11 +32,12 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hash_share, materialise, release, tidy
+from .common import BATCH_BYTES, bounded_batches, hash_share, materialise, release, tidy
 from .token_counts import load, unsure
 
 LENGTH, END_ID, SHARD_TOKENS, SHARD_DOCS = 2048, 1, 48_000_000, 12_288
@@ -45,6 +46,8 @@ LENGTH, END_ID, SHARD_TOKENS, SHARD_DOCS = 2048, 1, 48_000_000, 12_288
 CHAINS, FETCH, DENSE, DENSE_ROWS, GROUP = 64, 16, 0.03, 2048, 64
 #: Postings of rare ids that are added at a time.
 POSTINGS = 1 << 19
+#: Rows and bytes of text that are encoded together (whole batches of the scan, so up to one more), and tokens of which sets are made together.
+ENCODE_ROWS, ENCODE_BYTES, SET_TOKENS = 2048, BATCH_BYTES // 2, 1 << 20
 #: Leaves at most, documents of each that there should be, and the sample that the centres are fitted on.
 LEAVES, LEAF_DOCS, LEAF_IDS, SAMPLE_DOCS, SAMPLE_TOKENS, CENTRE_STEPS = 256, 1024, 4096, 4096, 2048, 8
 K1, B, USED = 1.2, 0.75, -1e9
@@ -52,6 +55,10 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _LOADED: dict = {}
 
 
+def joined_by_space(texts: pa.Array) -> pa.Scalar:
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(texts)], texts), " ")[0]
+
+
 class Encoder:
     """Ids as the library for the .json file gives them by default: special strings inside texts become their ids.
 
@@ -69,6 +76,8 @@ class Encoder:
         self.find = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.bpe = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = max([*ranks.values(), *self.special.values()]) + 1
+        self.bytes = np.zeros(self.size, np.int64)  # of each id but the special ones
+        self.bytes[list(ranks.values())] = [len(b) for b in ranks]
         self.json_path = json_path
 
     def ids(self, text: str) -> np.ndarray:
@@ -78,13 +87,61 @@ class Encoder:
             return self.plain(text)
         return np.concatenate([np.array([self.special[p]], np.uint32) if p in self.special else self.plain(p) for p in self.find.split(text)])
 
-    def ended(self, text: str) -> np.ndarray:
-        """Ids and the end id, in 16 bits where the vocabulary allows."""
-        if not unsure(text) and (self.find is None or not self.find.search(text)):
-            out = array("H" if self.size <= 1 << 16 else "I", self.bpe.encode_ordinary(text))
-            out.append(END_ID)
-            return np.frombuffer(out, np.uint16 if self.size <= 1 << 16 else np.uint32)
-        return np.append(self.ids(text), END_ID).astype(np.uint16 if self.size <= 1 << 16 else np.uint32)
+    def ended(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts and the end id after each, one after the other, in 16 bits where the vocabulary allows; and where each text's
+        begin, with the end of all.
+
+        A space after a character that is no white space always begins a pre-token, so the units between such spaces are encoded by themselves,
+        equal ones once, and ids are gathered.  Texts with special strings or unsure characters are encoded whole.
+        """
+        kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        n = len(texts)
+        if not n:
+            return np.zeros(0, kind), np.zeros(1, np.int64)
+        texts = texts.fill_null("")
+        lists = pc.split_pattern(texts, " ")
+        count = pc.list_value_length(lists).to_numpy()
+        head = np.cumsum(count, dtype=np.int64) - count
+        units = lists.flatten().dictionary_encode()
+        unit, names = units.indices.to_numpy(), units.dictionary
+        size = pc.binary_length(names).to_numpy() + 1
+        odd = pc.or_(pc.equal(pc.binary_length(names), 0), pc.not_equal(pc.utf8_rtrim_whitespace(names), names)).to_numpy(zero_copy_only=False)
+
+        # the space after an odd unit follows white space: the next unit is glued to it
+        first, glued = np.zeros(len(unit), bool), np.zeros(len(unit), bool)
+        first[head] = True
+        glued[1:] = odd[unit[:-1]]
+        glued &= ~first
+        own = first | odd[unit] & ~glued  # encoded from the text: the first unit, which has no space before it, and glued ones
+        plain = texts.to_pylist()
+        doubt = unsure(joined_by_space(names).as_py())
+        whole = np.array([bool(self.find and self.find.search(t)) or doubt and unsure(t) for t in plain])
+        row = np.repeat(np.arange(n, dtype=np.int32), count)
+        used = np.zeros(len(names), bool)
+        used[unit[~(own | glued | whole[row])]] = True
+        joined = " " + joined_by_space(pc.if_else(pa.array(used), names, pa.scalar("x", names.type))).as_py()
+        ids = np.array(self.bpe.encode_ordinary(joined), kind)
+        stop = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(np.where(used, size, 2), dtype=np.int64)).astype(np.int32) + 1
+        start = np.concatenate([np.zeros(1, np.int32), stop[:-1]])
+        text, end = joined_by_space(texts).as_buffer(), np.cumsum(size[unit], dtype=np.int64)
+        many = np.where(glued | whole[row], 0, (stop - start)[unit])
+        begin = start[unit]
+        at = np.flatnonzero(own & (first | ~whole[row]))
+        opens = np.append(np.flatnonzero(~glued), len(unit))
+        to = end[opens[np.searchsorted(opens, at, "right")] - 1] - 1
+        view = memoryview(text)
+        extra = [
+            self.ids(plain[r]) if w else self.bpe.encode_ordinary(str(view[i:j], "utf-8"))
+            for r, w, i, j in zip(row[at].tolist(), whole[row[at]].tolist(), (end[at] - size[unit[at]] - np.where(first[at], 0, 1)).tolist(), to.tolist(), strict=True)
+        ]
+        long = np.array([len(x) for x in extra], np.int32)
+        many[at], begin[at] = long, len(ids) + np.cumsum(long) - long
+        pool = np.concatenate([ids, *(np.array(x, kind) for x in extra)])
+        last = np.cumsum(np.add.reduceat(many, head), dtype=np.int64)
+        place = np.int32 if max(len(pool), last[-1]) < 1 << 31 else np.int64
+        source = np.repeat((begin - (np.cumsum(many, dtype=np.int64) - many)).astype(place), many)
+        source += np.arange(len(source), dtype=place)
+        return np.insert(pool[source], last, END_ID), np.concatenate([np.zeros(1, np.int64), last + np.arange(1, n + 1)])
 
     def plain(self, text: str) -> np.ndarray:
         return np.frombuffer(array("I", self.bpe.encode_ordinary(text)), np.uint32)
@@ -103,6 +160,29 @@ def id_kind(json_path: str) -> type:
     return np.uint16 if max([*t["model"]["vocab"].values(), *(x["id"] for x in t["added_tokens"])]) < 1 << 16 else np.uint32
 
 
+def sets(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids of each document, sorted, one document after the other; how often each stands there; and where each document's begin,
+    with the end of all."""
+    if not docs:
+        return np.zeros(0, np.uint16), np.zeros(0, np.int32), np.zeros(1, np.int64)
+    ends = np.cumsum([len(d) for d in docs])
+    terms, counts, size, first = [], [], [0], 0
+    while first < len(docs):  # so many tokens at a time, or one longer document; a document's place and an id share 64 bits, 32 where they fit
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SET_TOKENS, "right")))
+        part, n = np.concatenate(docs[first:last]), last - first
+        kind, shift = (np.uint32, 16) if part.itemsize == 2 and n <= 1 << 16 else (np.uint64, 32)
+        keys = np.repeat(np.arange(n, dtype=kind) << kind(shift), [len(d) for d in docs[first:last]])
+        keys |= part
+        keys.sort()
+        at = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        counts.append(np.diff(at, append=len(keys)).astype(np.int32))
+        keys = keys[at]
+        terms.append((keys & kind((1 << shift) - 1)).astype(part.dtype))
+        size.extend(np.bincount((keys >> kind(shift)).astype(np.int64), minlength=n).tolist())
+        first = last
+    return np.concatenate(terms), np.concatenate(counts), np.cumsum(size)
+
+
 class Leaves:
     """Centres of documents as sets of ids, in an order in which each is followed by the most similar one that is left.  The ids are the
     LEAF_IDS most frequent of the sample, without those of a single document."""
@@ -131,14 +211,17 @@ class Leaves:
             order.append(left.pop(max(range(len(left)), key=lambda j: float(centres[order[-1]] @ centres[left[j]])) if order else 0))
         self.centres = np.ascontiguousarray(centres[order].T)  # a row for each id
 
-    def of(self, terms: list[np.ndarray]) -> np.ndarray:
-        """For each document, a set of ids: the leaf whose centre has the largest cosine with it."""
-        x = np.zeros((len(terms), len(self.weight)), np.float32)
-        for row, t in zip(x, terms, strict=True):
-            s = self.slot[t[t < len(self.slot)]]
-            s = s[s >= 0]
-            row[s] = self.weight[s]
-        return (x @ self.centres).argmax(1)
+    def of(self, terms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """For each document, a set of ids (as sets gives them): the leaf whose centre has the largest cosine with it."""
+        out = []
+        for first in range(0, len(bounds) - 1, 256):
+            b = bounds[first : first + 257]
+            row, t = np.repeat(np.arange(len(b) - 1), np.diff(b)), terms[b[0] : b[-1]]
+            s = np.where(t < len(self.slot), self.slot[np.minimum(t, len(self.slot) - 1)], -1)
+            x = np.zeros((len(b) - 1, len(self.weight)), np.float32)
+            x[row[s >= 0], s[s >= 0]] = self.weight[s[s >= 0]]
+            out.append((x @ self.centres).argmax(1))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def fitted(df: DataFrame, json_path: str, ranks_path: str, id_col: str, text_col: str) -> Leaves:
@@ -154,6 +237,18 @@ def fitted(df: DataFrame, json_path: str, ranks_path: str, id_col: str, text_col
     return Leaves([enc.ids(t)[:SAMPLE_TOKENS].astype(np.int64) for t in texts if t], wanted)
 
 
+def gathered(batches):
+    """Batches joined until they have ENCODE_ROWS rows or ENCODE_BYTES: equal units of texts are encoded once in each."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= ENCODE_ROWS or sum(x.nbytes for x in held) >= ENCODE_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encoded(df: DataFrame, json_path: str, ranks_path: str, leaves=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids: little-endian unsigned 32-bit, cut to 16 bits where the vocabulary allows; with the end id.  leaf; row numbers the
     rows: the scan's partition, and a running number in it.  The last row of a task has no ids but seen: how many of its documents
@@ -164,18 +259,17 @@ def encoded(df: DataFrame, json_path: str, ranks_path: str, leaves=None, id_col:
     def run(batches):
         enc = encoder(json_path, ranks_path)
         row, docs, tokens, seen = TaskContext.get().partitionId() << 33, 0, 0, np.zeros(enc.size + 2, np.int64)
-        for b in batches:
-            for first in range(0, b.num_rows, 256):
-                part = b.slice(first, 256)
-                ids = [enc.ended(t or "") for t in part.column(1).to_pylist()]
-                terms = [np.unique(x) for x in ids]
-                for t in terms:
-                    seen[t] += 1
-                docs, tokens = docs + len(ids), tokens + sum(map(len, ids))
-                leaf = leaves.value.of(terms) if leaves else np.zeros(len(ids))
-                where = pa.array(np.arange(row, row + len(ids)))
-                row += len(ids)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(leaf.astype(np.int32)), where, pa.nulls(len(ids), pa.list_(pa.int64()))], names)
+        for b in gathered(batches):
+            ids, bounds = enc.ended(b.column(1))
+            terms, _, ends = sets(np.split(ids, bounds[1:-1]))
+            n = b.num_rows
+            seen += np.bincount(terms, minlength=len(seen))
+            docs, tokens = docs + n, tokens + len(ids)
+            leaf = leaves.value.of(terms, ends) if leaves else np.zeros(n)
+            where = pa.array(np.arange(row, row + n))
+            row += n
+            kept = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), kept, pa.array(leaf.astype(np.int32)), where, pa.nulls(n, pa.list_(pa.int64()))], names)
         seen[-2:] = docs, tokens
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([seen], pa.list_(pa.int64()))], names)
 
@@ -196,12 +290,11 @@ class Index:
     """BM25 inverted index of one shard: postings of each id as slices of two arrays, ids of many documents as rows of a matrix."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.terms, counts = zip(*((t, n.astype(np.float32)) for t, n in (np.unique(d, return_counts=True) for d in docs)), strict=True)
-        size = np.array([len(t) for t in self.terms])
+        term, counts, bounds = sets(docs)
+        self.terms, size = np.split(term, bounds[1:-1]), np.diff(bounds)
         norm = (K1 * (1 - B + B * np.array([len(d) for d in docs]) / mean)).astype(np.float32)
-        term = np.concatenate(self.terms)
         order = np.argsort(term, kind="stable").astype(np.int32 if len(term) < 1 << 31 else np.int64)
-        self.term, self.doc, self.weight = term[order], np.repeat(np.arange(len(docs), dtype=np.int32), size)[order], np.concatenate(counts)[order]
+        self.term, self.doc, self.weight = term[order], np.repeat(np.arange(len(docs), dtype=np.int32), size)[order], counts[order].astype(np.float32)
         idf = idf.astype(np.float32)
         for at in self.chunks():  # counts become weights
             w = self.weight[at]

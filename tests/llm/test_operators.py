@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from chunkwell.llm import components, decontam, html_text, jaccard_join, langid, license_scan, media, packing, queries, token_counts, toxicity, warc
@@ -333,6 +334,48 @@ def test_encoder_equals_library_on_all_code_points():
         assert e.ids(text).tolist() == want.ids
 
 
+def test_packing_encodes_units_of_a_batch_as_the_library_does():
+    """Units between spaces, white space of all kinds in runs and at ends, special strings, unsure characters, nulls; and slices of an array."""
+    t, e = tokenizer(), packing.Encoder(queries.TOKENIZER, queries.RANKS)
+    rng = np.random.default_rng(7)
+    parts = ["a", "word", " the", " of", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "'s", "'", "1", "½", "é", "日", "🙂", "\u0301", "<|endoftext|>", "\ua7ce", "\x00", "."]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(4000)] + [t for _, t in ODD]
+    want = [[*x.ids, 1] for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    for step in (5, 4096):
+        got = []
+        for first in range(0, len(texts), step):
+            ids, bounds = e.ended(pa.array(texts, pa.string()).slice(first, step))
+            got += [x.tolist() for x in np.split(ids, bounds[1:-1])]
+        assert got == want
+    assert [len(x) for x in e.ended(pa.array([], pa.string()))] == [0, 1]
+
+
+def test_packing_encodes_equal_units_once(monkeypatch):
+    """What reaches the BPE: each unit of a batch once, and the first of each text; whole texts only where white space stands before a space."""
+    e = packing.Encoder(queries.TOKENIZER, queries.RANKS)
+    seen = []
+    monkeypatch.setattr(e, "bpe", type("Counting", (), {"encode_ordinary": lambda _, t, bpe=e.bpe: seen.append(len(t)) or bpe.encode_ordinary(t)})())
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice([f"unit{i}," for i in range(50)], 300)) for _ in range(40)]
+    ids, bounds = e.ended(pa.array(texts))
+    assert sum(seen) < 0.02 * sum(map(len, texts))
+    t = tokenizer()
+    assert [x.tolist() for x in np.split(ids, bounds[1:-1])] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+
+
+@pytest.mark.parametrize("kind", [np.uint16, np.uint32])
+@pytest.mark.parametrize("tokens", [1, 50, 1 << 20])
+def test_packing_sets_of_documents(monkeypatch, kind, tokens):
+    monkeypatch.setattr(packing, "SET_TOKENS", tokens)
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, rng.choice([3, 200, np.iinfo(kind).max]), rng.integers(0, 60), dtype=kind, endpoint=True) for _ in range(90)]
+    terms, counts, bounds = packing.sets(docs)
+    for d, a, b in zip(docs, bounds, bounds[1:], strict=False):
+        want, n = np.unique(d, return_counts=True)
+        assert terms[a:b].tolist() == want.tolist() and counts[a:b].tolist() == n.tolist()
+    assert len(bounds) == 91 and terms.dtype == kind and len(terms) == len(counts) == bounds[-1]
+
+
 # 5
 
 
