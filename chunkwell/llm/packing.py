@@ -48,6 +48,8 @@ CHAINS, FETCH, DENSE, DENSE_ROWS, GROUP = 64, 16, 0.03, 2048, 64
 POSTINGS = 1 << 19
 #: Rows and bytes of text that are encoded together (whole batches of the scan, so up to one more), and tokens of which sets are made together.
 ENCODE_ROWS, ENCODE_BYTES, SET_TOKENS = 2048, BATCH_BYTES // 2, 1 << 20
+#: Units whose ids are made, or gathered, together.
+UNITS = 1 << 16
 #: Leaves at most, documents of each that there should be, and the sample that the centres are fitted on.
 LEAVES, LEAF_DOCS, LEAF_IDS, SAMPLE_DOCS, SAMPLE_TOKENS, CENTRE_STEPS = 256, 1024, 4096, 4096, 2048, 8
 K1, B, USED = 1.2, 0.75, -1e9
@@ -92,7 +94,8 @@ class Encoder:
         begin, with the end of all.
 
         A space after a character that is no white space always begins a pre-token, so the units between such spaces are encoded by themselves,
-        equal ones once, and ids are gathered.  Texts with special strings or unsure characters are encoded whole.
+        equal ones once, and ids are gathered.  Texts with special strings or unsure characters are encoded whole.  Both go a block
+        of units at a time: the lists and arrays of the way there are a block's, whatever the batch.
         """
         kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         n = len(texts)
@@ -101,47 +104,68 @@ class Encoder:
         texts = texts.fill_null("")
         lists = pc.split_pattern(texts, " ")
         count = pc.list_value_length(lists).to_numpy()
-        head = np.cumsum(count, dtype=np.int64) - count
+        head = np.concatenate([np.zeros(1, np.int64), np.cumsum(count, dtype=np.int64)])
         units = lists.flatten().dictionary_encode()
         unit, names = units.indices.to_numpy(), units.dictionary
+        del lists, units
         size = pc.binary_length(names).to_numpy() + 1
         odd = pc.or_(pc.equal(pc.binary_length(names), 0), pc.not_equal(pc.utf8_rtrim_whitespace(names), names)).to_numpy(zero_copy_only=False)
 
         # the space after an odd unit follows white space: the next unit is glued to it
         first, glued = np.zeros(len(unit), bool), np.zeros(len(unit), bool)
-        first[head] = True
+        first[head[:-1]] = True
         glued[1:] = odd[unit[:-1]]
         glued &= ~first
         own = first | odd[unit] & ~glued  # encoded from the text: the first unit, which has no space before it, and glued ones
-        plain = texts.to_pylist()
-        doubt = unsure(joined_by_space(names).as_py())
-        whole = np.array([bool(self.find and self.find.search(t)) or doubt and unsure(t) for t in plain])
-        row = np.repeat(np.arange(n, dtype=np.int32), count)
+        blocks = range(0, len(names), UNITS)
+        doubt = any(unsure(joined_by_space(names.slice(i, UNITS)).as_py()) for i in blocks)
+        whole = np.array([bool(self.find and self.find.search(t)) or doubt and unsure(t) for t in (x.as_py() for x in texts)])
         used = np.zeros(len(names), bool)
-        used[unit[~(own | glued | whole[row])]] = True
-        joined = " " + joined_by_space(pc.if_else(pa.array(used), names, pa.scalar("x", names.type))).as_py()
-        ids = np.array(self.bpe.encode_ordinary(joined), kind)
-        stop = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(np.where(used, size, 2), dtype=np.int64)).astype(np.int32) + 1
-        start = np.concatenate([np.zeros(1, np.int32), stop[:-1]])
+        used[unit[~(own | glued | np.repeat(whole, count))]] = True
+        parts, long = [], np.zeros(len(names), np.int32)
+        for i in blocks:
+            here, part = used[i : i + UNITS], names.slice(i, UNITS)
+            ids = self.plain(" " + joined_by_space(pc.if_else(pa.array(here), part, pa.scalar("x", names.type))).as_py())
+            stop = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(np.where(here, size[i : i + UNITS], 2), dtype=np.int64)) + 1
+            long[i : i + UNITS] = np.diff(stop, prepend=0)
+            parts.append(ids.astype(kind))
+        pool = np.concatenate(parts)
+        start = np.cumsum(long, dtype=np.int64) - long
+        del parts, ids
+
+        out, ends, r = [], [np.zeros(1, np.int64)], 0
+        while r < n:  # so many units at a time, or one longer text
+            to = max(r + 1, int(np.searchsorted(head, head[r] + UNITS, "right")) - 1)
+            at, rows = slice(head[r], head[to]), slice(r, to)
+            ids, last = self.laid(texts.slice(r, to - r), unit[at], size, first[at], glued[at], own[at], whole[rows], count[rows], pool, start, long)
+            out.append(ids)
+            ends.append(ends[-1][-1] + last)
+            r = to
+        return np.concatenate(out), np.concatenate(ends)
+
+    def laid(self, texts: pa.Array, unit, size, first, glued, own, whole, count, pool, start, long) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts and the end id after each, and where each text's end.  unit: the texts' units; pool: the ids of units that are
+        encoded once, which begin at start, so many as long says; first, glued, own: of each unit; whole, count: of each text."""
+        row, head = np.repeat(np.arange(len(texts), dtype=np.int32), count), np.cumsum(count, dtype=np.int64) - count
         text, end = joined_by_space(texts).as_buffer(), np.cumsum(size[unit], dtype=np.int64)
-        many = np.where(glued | whole[row], 0, (stop - start)[unit])
+        many = np.where(glued | whole[row], 0, long[unit])
         begin = start[unit]
         at = np.flatnonzero(own & (first | ~whole[row]))
         opens = np.append(np.flatnonzero(~glued), len(unit))
         to = end[opens[np.searchsorted(opens, at, "right")] - 1] - 1
         view = memoryview(text)
         extra = [
-            self.ids(plain[r]) if w else self.bpe.encode_ordinary(str(view[i:j], "utf-8"))
+            self.ids(texts[r].as_py()) if w else self.plain(str(view[i:j], "utf-8"))
             for r, w, i, j in zip(row[at].tolist(), whole[row[at]].tolist(), (end[at] - size[unit[at]] - np.where(first[at], 0, 1)).tolist(), to.tolist(), strict=True)
         ]
-        long = np.array([len(x) for x in extra], np.int32)
-        many[at], begin[at] = long, len(ids) + np.cumsum(long) - long
-        pool = np.concatenate([ids, *(np.array(x, kind) for x in extra)])
+        more = np.array([len(x) for x in extra], np.int32)
+        many[at], begin[at] = more, len(pool) + np.cumsum(more) - more
+        pool = np.concatenate([pool, *(x.astype(pool.dtype) for x in extra)])
         last = np.cumsum(np.add.reduceat(many, head), dtype=np.int64)
         place = np.int32 if max(len(pool), last[-1]) < 1 << 31 else np.int64
         source = np.repeat((begin - (np.cumsum(many, dtype=np.int64) - many)).astype(place), many)
         source += np.arange(len(source), dtype=place)
-        return np.insert(pool[source], last, END_ID), np.concatenate([np.zeros(1, np.int64), last + np.arange(1, n + 1)])
+        return np.insert(pool[source], last, END_ID), last + np.arange(1, len(texts) + 1)
 
     def plain(self, text: str) -> np.ndarray:
         return np.frombuffer(array("I", self.bpe.encode_ordinary(text)), np.uint32)
@@ -243,8 +267,10 @@ def gathered(batches):
     for b in batches:
         held.append(b)
         if sum(x.num_rows for x in held) >= ENCODE_ROWS or sum(x.nbytes for x in held) >= ENCODE_BYTES:
-            yield pa.concat_batches(held)
-            held = []
+            joined, held = pa.concat_batches(held), []
+            del b
+            yield joined
+            del joined
     if held:
         yield pa.concat_batches(held)
 
@@ -270,6 +296,7 @@ def encoded(df: DataFrame, json_path: str, ranks_path: str, leaves=None, id_col:
             row += n
             kept = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), kept, pa.array(leaf.astype(np.int32)), where, pa.nulls(n, pa.list_(pa.int64()))], names)
+            del b, ids, bounds, terms, ends, leaf, where, kept  # they go before the next batch comes
         seen[-2:] = docs, tokens
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([seen], pa.list_(pa.int64()))], names)
 

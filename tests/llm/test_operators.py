@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -363,6 +364,33 @@ def test_packing_encodes_equal_units_once(monkeypatch):
     assert [x.tolist() for x in np.split(ids, bounds[1:-1])] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
 
 
+@pytest.mark.parametrize("units", [1, 7, 1000])
+def test_packing_encodes_in_blocks_of_units_as_the_library_does(monkeypatch, units):
+    monkeypatch.setattr(packing, "UNITS", units)
+    t, e = tokenizer(), packing.Encoder(queries.TOKENIZER, queries.RANKS)
+    rng = np.random.default_rng(10)
+    parts = ["a", "word", " the", " ", "  ", "\n", "\u3000", "1", "é", "日", "<|endoftext|>", "\ua7ce", "."]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(300)] + [t for _, t in ODD]
+    ids, bounds = e.ended(pa.array(texts, pa.string()))
+    want = [[*x.ids, 1] for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, bounds[1:-1])] == want
+
+
+def test_packing_encodes_a_batch_in_few_times_its_memory():
+    """7 MB of texts of many different units: what Python and numpy hold at once on the way to the ids."""
+    e = packing.Encoder(queries.TOKENIZER, queries.RANKS)
+    rng = np.random.default_rng(11)
+    texts = pa.array([" ".join(f"unit{i}," for i in rng.integers(0, 400_000, 320)) for _ in range(2048)])
+    e.ended(texts.slice(0, 8))
+    tracemalloc.start()
+    try:
+        e.ended(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 6 * texts.nbytes
+
+
 @pytest.mark.parametrize("kind", [np.uint16, np.uint32])
 @pytest.mark.parametrize("tokens", [1, 50, 1 << 20])
 def test_packing_sets_of_documents(monkeypatch, kind, tokens):
