@@ -1,5 +1,7 @@
 """Staging by tasks: the same files as by the driver, and no rows on the driver."""
 
+import glob
+
 import numpy as np
 import pytest
 
@@ -98,3 +100,14 @@ def test_no_rows_on_the_driver(spark, sf, name, monkeypatch, tmp_path):
     monkeypatch.setattr(stage, "_HOME", [str(tmp_path)])
     monkeypatch.setattr(DataFrame, "toArrow", refuse)
     assert engine.QUERIES[name](spark, sf).count() > 0
+
+
+def test_single_chunks_hold_the_whole_table(spark, tmp_path):
+    """The one chunk held the first million of the events, the rest read as zeros."""
+    n = (1 << 20) + 100
+    spark.range(n).selectExpr("id AS event_id", "CAST(id + 1 AS DOUBLE) AS value", "id AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    got = engine.QUERIES["index_single"](spark, str(tmp_path))
+    r = got.selectExpr("count(*) AS n", "count(DISTINCT i0) AS places", "max(i0) AS last", "sum(CASE WHEN value = i0 + 1 THEN 0 ELSE 1 END) AS wrong").first()
+    assert (r.n, r.places, r.last, r.wrong) == (n, n, n - 1, 0)
+    files = sorted(glob.glob(f"{engine.home(spark)}/*-single-*/part*.h5"))
+    assert {r.index for r in api.list_datasets(spark, ",".join(files)).collect()} == {"SingleChunk"}  # one chunk in each file
