@@ -110,4 +110,59 @@ def test_single_chunks_hold_the_whole_table(spark, tmp_path):
     r = got.selectExpr("count(*) AS n", "count(DISTINCT i0) AS places", "max(i0) AS last", "sum(CASE WHEN value = i0 + 1 THEN 0 ELSE 1 END) AS wrong").first()
     assert (r.n, r.places, r.last, r.wrong) == (n, n, n - 1, 0)
     files = sorted(glob.glob(f"{engine.home(spark)}/*-single-*/part*.h5"))
-    assert {r.index for r in api.list_datasets(spark, ",".join(files)).collect()} == {"SingleChunk"}  # one chunk in each file
+    assert {r["index"] for r in api.list_datasets(spark, ",".join(files)).collect()} == {"SingleChunk"}  # one chunk in each file
+
+
+def test_many_small_chunks_are_planned_in_few_bytes():
+    """Each chunk was an object on the driver and in its partition, some hundred bytes for 24 of data."""
+    import pickle
+
+    from chunkwell.plans import planner
+    from chunkwell.sources.bytesource import ReadOptions
+
+    class Small:
+        class layout:
+            kind, chunk = "Chunked", (3,)
+
+        class space:
+            kind = "simple"
+
+        class dtype:
+            element_size = 8
+
+        shape, ndim = (600_000,), 1
+        chunks = [planner.Chunk((3 * i,), 4096 + 24 * i, 24, 0) for i in range(200_000)]
+
+    groups = planner.pieces(Small(), ((10, 599_990),), ReadOptions())
+    assert len(pickle.dumps(groups)) < 100_000
+    found = [p for g in groups for p in planner.expanded(g)]
+    assert [p.box for p in found] == [((max(10, 3 * i), min(599_990, 3 * i + 3)),) for i in range(3, 199_997)]
+    assert [(p.origin, p.address, p.size, p.mask) for p in found] == [((3 * i,), 4096 + 24 * i, 24, 0) for i in range(3, 199_997)]
+    assert max(sum(1 for _ in planner.expanded(g)) for g in groups) <= planner.CELLS
+
+
+def test_repeated_and_scattered_chunks_are_planned_once():
+    from chunkwell.fmt.cursor import UNDEFINED
+    from chunkwell.plans import planner
+    from chunkwell.sources.bytesource import ReadOptions
+
+    class Odd:
+        class layout:
+            kind, chunk = "Chunked", (2, 2)
+
+        class space:
+            kind = "simple"
+
+        class dtype:
+            element_size = 1
+
+        shape, ndim = (6, 5), 2
+        chunks = [planner.Chunk((4, 4), 900, 4, 0), planner.Chunk((0, 0), 100, 4, 1), planner.Chunk((0, 0), 500, 4, 0), planner.Chunk((2, 2), UNDEFINED, 0, 0), planner.Chunk((2, 0), 10_000_000, 7, 2)]
+
+    groups = planner.pieces(Odd(), ((0, 6), (0, 5)), ReadOptions())
+    found = [p for g in groups for p in planner.expanded(g)]
+    assert [(p.origin, p.address, p.size, p.mask, p.box) for p in found if p.address != UNDEFINED] == [((0, 0), 100, 4, 1, ((0, 2), (0, 2))), ((4, 4), 900, 4, 0, ((4, 6), (4, 5))), ((2, 0), 10_000_000, 7, 2, ((2, 4), (0, 2)))]
+    seen = np.zeros((6, 5), int)
+    for p in found:
+        seen[tuple(slice(a, z) for a, z in p.box)] += 1
+    assert (seen == 1).all()
