@@ -38,13 +38,16 @@ def heap_objects(addresses: DataFrame, path: str) -> DataFrame:
                 found = collection(source, a)
                 yield pa.RecordBatch.from_arrays([pa.array([a] * len(found), pa.int64()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["address", "object", "data"])
 
-    return addresses.select("address").where("address is not null and address <> 0").distinct().mapInArrow(run, "address bigint, object bigint, data binary")
+    # few bytes name many: without a number of tasks, adaptive execution would read all collections in one
+    tasks = 4 * addresses.sparkSession.sparkContext.defaultParallelism
+    return addresses.select("address").where("address is not null and address <> 0").distinct().repartition(tasks, "address").mapInArrow(run, "address bigint, object bigint, data binary")
 
 
 def strings(spark, path: str, dataset: str, ndim: int = 1) -> DataFrame:
     """Index columns and value.  Empty references give empty strings; a reference without its object is an error."""
     refs = references(spark, path, dataset, ndim)
-    found = refs.join(heap_objects(refs, path), ["address", "object"], "left")
+    # adaptive execution takes the objects to be as small as their addresses, and would broadcast them
+    found = refs.join(heap_objects(refs, path).hint("merge"), ["address", "object"], "left")
     empty = (F.col("length") == 0) | F.col("address").isNull() | (F.col("address") == 0)
     missing = F.raise_error(F.concat(F.lit("Corrupt: no object "), F.col("object"))).cast("string")
     value = F.when(empty, F.lit("")).when(F.col("data").isNull(), missing).otherwise(F.expr("decode(substring(data, 1, length), 'utf-8')"))

@@ -166,3 +166,10 @@ def test_repeated_and_scattered_chunks_are_planned_once():
     for p in found:
         seen[tuple(slice(a, z) for a, z in p.box)] += 1
     assert (seen == 1).all()
+
+
+def test_heap_objects_are_not_broadcast(spark, sf):
+    """Their size was taken for that of their addresses, so all texts went to the driver."""
+    df = engine.QUERIES["vl_heap_join"](spark, sf)
+    assert len(df.collect()) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
